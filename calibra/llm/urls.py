@@ -57,7 +57,7 @@ class Cascade:
         k = max(1, round(m / n * math.log(2))) if n else 1
         k = min(k, 8)
         places = keys.select(F.explode(F.array(*_bits(F.col("key"), level, m, k))).alias("b"))
-        rows = places.groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("v")).collect()
+        rows = places.groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("v")).collect()
         words = dict((r.w, r.v) for r in rows)
         self.levels.append((m, k, [words.get(w, 0) for w in range(m // 64)]))
 

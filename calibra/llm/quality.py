@@ -79,42 +79,49 @@ def rules() -> list[Rule]:
     return [
         Rule("length", n >= 50, n < 20),
         Rule("word_length", mean.between(3, 12), (mean < 2) | (mean > 20)),
-        Rule("symbols", symbols < 0.05, symbols > 0.15),
+        Rule("symbols", symbols < 0.05, symbols > 0.2),
         Rule("dup_lines", lines < 0.1, lines > 0.3),
         Rule("repeats", repeats < 0.2, repeats > 0.4),
-        Rule("upper", upper < 0.15, upper > 0.5),
-        Rule("letters", letters > 0.8, letters < 0.5),
+        Rule("upper", upper < 0.2, upper > 0.5),
+        Rule("letters", letters > 0.85, letters < 0.7),
         Rule("digits", digits < 0.1, digits > 0.3),
         Rule("stop_words", (n >= 30) & (stop >= 0.05), (n >= 30) & (stop < 0.01)),
         Rule("shouting", shout < 0.02, shout > 0.1),
     ]
 
 
+VOTES = (1, 0, -1)
+
+
 class Model(NamedTuple):
-    """prior: share of good documents. accuracy: for each rule, the chances of a good vote given good, and of a bad vote given bad, where it votes."""
+    """prior: share of good documents. chances: for each rule, the chances of each of VOTES given good, and given bad."""
 
     prior: float
-    accuracy: tuple[tuple[float, float], ...]
+    chances: tuple[tuple[tuple[float, ...], tuple[float, ...]], ...]
 
 
-def estimate(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50, floor: float = 0.51, ceiling: float = 0.999) -> Model:
-    """Expectation-maximisation over vote patterns (1 good, -1 bad, 0 abstains) and their counts, from the majority's view.
+def estimate(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50) -> Model:
+    """Expectation-maximisation over vote patterns (1 good, -1 bad, 0 abstains) and their counts.
 
-    A rule is held to be better than chance on either side (floor), so that the classes can't swap names.
+    Starts from the view that a document with a bad vote is bad; chances are smoothed by half a vote. Wherever the bad
+    would get more of a rule's good votes than the good, or fewer of its bad votes, the rule's votes count for nothing,
+    so the classes can't swap names.
     """
     if not patterns:
         return Model(0.5, ())
     votes, weight = np.array([p for p, _ in patterns], np.int8), np.array([c for _, c in patterns], float)
-    total = votes.sum(axis=1)
-    good = np.where(total > 0, 0.9, np.where(total < 0, 0.1, 0.5))
+    good = np.where((votes == -1).any(axis=1), 0.1, 0.9)
+    prior, chances = 0.5, np.full((2, len(VOTES), votes.shape[1]), 1 / len(VOTES))
     for _ in range(rounds):
-        prior = min(max(float((weight * good).sum() + 1) / float(weight.sum() + 2), 0.01), 0.99)
-        w, v = (weight * good)[:, None], (weight * (1 - good))[:, None]
-        right = np.clip(((w * (votes == 1)).sum(0) + 2) / ((w * (votes != 0)).sum(0) + 3), floor, ceiling)
-        wrong = np.clip(((v * (votes == -1)).sum(0) + 2) / ((v * (votes != 0)).sum(0) + 3), floor, ceiling)
-        odds = math.log(prior / (1 - prior)) + np.where(votes == 1, np.log(right / (1 - wrong)), np.where(votes == -1, np.log((1 - right) / wrong), 0.0)).sum(1)
-        good = 1 / (1 + np.exp(-odds))
-    return Model(prior, tuple(zip(right.tolist(), wrong.tolist())))
+        prior = min(max(float((weight * good).sum() + 0.5) / float(weight.sum() + 1), 0.01), 0.99)
+        for k, share in enumerate((weight * good, weight * (1 - good))):
+            have = np.stack([(share[:, None] * (votes == v)).sum(0) for v in VOTES]) + 0.5
+            chances[k] = have / have.sum(0)
+        for j, turned in ((0, chances[1, 0] > chances[0, 0]), (2, chances[0, 2] > chances[1, 2])):
+            chances[:, j, turned] = chances[:, j, turned].mean(0)
+        odds = math.log(prior / (1 - prior)) + sum(((votes == v) * np.log(chances[0, j] / chances[1, j])).sum(1) for j, v in enumerate(VOTES))
+        good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    return Model(prior, tuple((tuple(chances[0, :, k].tolist()), tuple(chances[1, :, k].tolist())) for k in range(votes.shape[1])))
 
 
 def assess(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,9 +139,10 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, t
     counts = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
     model = estimate(sorted((tuple(r.votes), r.n) for r in counts))
     odds = F.lit(math.log(model.prior / (1 - model.prior)))
-    for k, (right, wrong) in enumerate(model.accuracy):
+    for k, (good, bad) in enumerate(model.chances):
         vote = F.get("votes", F.lit(k))
-        odds = odds + F.when(vote == 1, math.log(right / (1 - wrong))).when(vote == -1, math.log((1 - right) / wrong)).otherwise(0.0)
+        gain = [math.log(g / b) for g, b in zip(good, bad)]
+        odds = odds + F.when(vote == 1, gain[0]).when(vote == -1, gain[2]).otherwise(gain[1])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = voted.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

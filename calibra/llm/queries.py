@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import chat, decontam, langid, licenses, passages, quality, simhash, tokenfiles, urls
+from calibra.llm import chat, decontam, langid, licenses, passages, pieces, quality, simhash, tokenfiles, urls
 from calibra.llm.common import checkpoint_dir, table
 
 
@@ -30,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,7 +65,7 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_simhash, op4_decontaminate, op5_token_files, op6_weak_quality, op7_language_id, op8_chat_perspectives, op9_passages, op10_url_cascade)}
+    return {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_sentencepiece, op4_decontaminate, op5_token_files, op6_weak_quality, op7_language_id, op8_chat_perspectives, op9_passages, op10_url_cascade)}
 
 
 OP8_SQL = r"""

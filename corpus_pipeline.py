@@ -1,15 +1,68 @@
-"""Corpus pipeline, from the operators in calibra.llm."""
+"""Corpus pipeline: the documents whose language is known, one of each group of near-duplicates, without repeated
+passages and without benchmark items, as SentencePiece ids.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and gives a DataFrame; all but the
+last give the columns of documents. A driver writes each stage's rows as Parquet and gives the next one what it reads.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from calibra.llm import decontam, langid, passages, pieces, simhash
+from calibra.llm.common import checkpoint_dir, table
+
+#: Least score of an identified language.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identified language go."""
+    return langid.keep_identified(docs, LEAST_LANGUAGE_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with linked fingerprints the one with the least doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document of a lower doc_id holds as well are cut out; n_chars follows the text."""
+    return passages.drop_repeats(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document's pieces, with what decoding them gives back."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark),
+    ("SentencePiece encoding", tokens),
+]
+
+#: Classifiers, fingerprint groups, passage search and merges are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; each but the last is written to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{checkpoint_dir(spark)}/calibra-pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

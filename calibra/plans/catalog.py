@@ -4,12 +4,446 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from calibra.functions import geometry as g
+from calibra.functions import text as tx
+from calibra.functions import tolerance as tol
+from calibra.operators import evaluate, predicates, session, spatial
+from calibra.plans.synthetic import HEIGHT, LINES_SQL, WIDTH, lines, read
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[name or f.__name__] = f
+        if sql:
+            _oracles[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def _case(value: str, table: tuple, otherwise: str = "NULL") -> str:
+    """A table of limits as SQL."""
+    open_end = f"ELSE {table[-1][1]}::DOUBLE" if table[-1][0] is None else f"ELSE {otherwise}"
+    return "CASE " + " ".join(f"WHEN {value} <= {limit} THEN {entry}::DOUBLE" for limit, entry, *_ in table if limit is not None) + f" {open_end} END"
+
+
+def _lookup_sql(standard: str, kind: str, value: str = "value") -> str:
+    corner = kind in ("chamfer", "radius")
+    if standard == "pisco":
+        return _case(value, tol.PISCO_CORNER) if corner else f"CASE WHEN {value} >= 0.1 THEN {_case(value, tol.PISCO['diameter' if kind == 'diameter' else 'linear'])} END"
+    return f"CASE WHEN {value} <= 0 THEN NULL WHEN {value} <= 0.099 THEN {value} WHEN {value} < 0.5 THEN 0.1::DOUBLE ELSE {_case(value, tol.CORNER if corner else tol.LINEAR[standard])} END"
+
+
+def _tolerance_lookup(standard: str, kind: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nominal = F.col("value")
+        return read(spark, sf_dir, "events").select("event_id", nominal.alias("nominal"), tol.general(nominal, standard, F.lit(kind)).alias("tolerance"))
+
+    name = f"tolerance_lookup_{'jis_' if standard != 'pisco' else ''}{standard}_{kind}"
+    _query(f"SELECT event_id, value AS nominal, {_lookup_sql(standard, kind)} AS tolerance FROM events", name)(run)
+
+
+for _standard in ("f", "m", "pisco"):
+    for _kind in ("linear", "diameter", "chamfer", "radius"):
+        _tolerance_lookup(_standard, _kind)
+
+
+@_query("""
+SELECT CASE WHEN value <= 0.099 THEN 0.099::DOUBLE WHEN value < 0.5 THEN 0.5::DOUBLE WHEN value <= 3 THEN 3.0::DOUBLE WHEN value <= 6 THEN 6.0::DOUBLE WHEN value <= 30 THEN 30.0::DOUBLE
+            WHEN value <= 120 THEN 120.0::DOUBLE WHEN value <= 400 THEN 400.0::DOUBLE WHEN value <= 1000 THEN 1000.0::DOUBLE ELSE 4000.0::DOUBLE END AS bracket,
+       count(*) AS n, min(value) AS least, max(value) AS most
+FROM events GROUP BY 1
+""")
+def tolerance_bracket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    bracket = F.when(v <= 0.099, 0.099).when(v < 0.5, 0.5)
+    for limit in (3.0, 6.0, 30.0, 120.0, 400.0, 1000.0):
+        bracket = bracket.when(v <= limit, limit)
+    return read(spark, sf_dir, "events").groupBy(bracket.otherwise(4000.0).alias("bracket")).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@_query(f"""
+WITH b(lo, hi, tolerance) AS (VALUES {", ".join(f"({lo}::DOUBLE, {hi}::DOUBLE, {t}::DOUBLE)" for lo, (hi, t) in zip((0.5, *(x[0] for x in tol.LINEAR["m"])), tol.LINEAR["m"]))})
+SELECT event_type, tolerance, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events JOIN b ON value > lo AND value <= hi GROUP BY ALL
+""")
+def tolerance_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup as a join with the table of brackets, eight rows whatever the input."""
+    limits = [x[0] for x in tol.LINEAR["m"]]
+    rows = spark.createDataFrame([(float(lo), float(hi), float(t)) for lo, (hi, t) in zip([0.5, *limits], tol.LINEAR["m"])], "lo double, hi double, tolerance double")
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return events.join(F.broadcast(rows), (F.col("value") > F.col("lo")) & (F.col("value") <= F.col("hi"))).groupBy("event_type", "tolerance").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@_query(f"""
+SELECT p_partkey, CAST(p_size * 10 AS DOUBLE) AS short_side, {_case("p_size * 10", tol.ANGLE)} AS tolerance,
+       CASE WHEN p_size * 10 <= 10 THEN '±1°' WHEN p_size * 10 <= 50 THEN '±30′' WHEN p_size * 10 <= 120 THEN '±20′' WHEN p_size * 10 <= 400 THEN '±10′' ELSE '±5′' END AS label FROM part
+""")
+def angle_tolerance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = (F.col("p_size") * 10).cast("double")
+    value, label = tol.angle(side)
+    return read(spark, sf_dir, "part").select("p_partkey", side.alias("short_side"), value.alias("tolerance"), label.alias("label"))
+
+
+@_query(f"""
+SELECT p_size, CAST(grade AS INTEGER) AS grade, round([{", ".join(f"{x}::DOUBLE" for x in tol.IT_FACTORS)}][grade] * (0.45::DOUBLE * pow(p_size, 1.0::DOUBLE / 3.0) + 0.001::DOUBLE * p_size) / 1000.0, 6) AS width
+FROM (SELECT DISTINCT p_size FROM part), range(1, 19) t(grade)
+""")
+def iso_fit_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select("p_size").distinct().withColumn("grade", F.explode(F.sequence(F.lit(1), F.lit(18))))
+    return rows.select("p_size", "grade", F.round(tol.fit_width(F.col("p_size").cast("double"), F.col("grade")), 6).alias("width"))
+
+
+@_query(f"""
+WITH n AS (SELECT o_orderkey AS page_key, CASE WHEN o_orderkey % 5 = 0 THEN 0.05::DOUBLE END AS chamfer_note, CASE WHEN o_orderkey % 7 = 0 THEN 0.25::DOUBLE END AS radius_note FROM orders), {LINES_SQL.strip()}
+SELECT l.page_key, l.line_id, k.kind, CASE WHEN k.kind = 'chamfer' THEN coalesce(chamfer_note, {_lookup_sql("m", "chamfer", "nominal")}) WHEN k.kind = 'radius' THEN coalesce(radius_note, {_lookup_sql("m", "radius", "nominal")}) ELSE {_lookup_sql("m", "linear", "nominal")} END AS tolerance
+FROM lines l LEFT JOIN n ON n.page_key = l.page_key, LATERAL (SELECT CASE prefix WHEN 'C' THEN 'chamfer' WHEN 'R' THEN 'radius' WHEN 'φ' THEN 'diameter' ELSE 'linear' END AS kind) k
+""")
+def note_override_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    pages = read(spark, sf_dir, "orders").select(key.alias("page_key"), F.when(key % 5 == 0, 0.05).alias("chamfer_note"), F.when(key % 7 == 0, 0.25).alias("radius_note"))
+    rows = lines(spark, sf_dir).join(pages, "page_key", "left").withColumn("kind", tx.kind(F.col("prefix"), F.lit("")))
+    return rows.select("page_key", "line_id", "kind", tol.with_notes(F.col("nominal"), "m", F.col("kind"), F.col("chamfer_note"), F.col("radius_note")).alias("tolerance"))
+
+
+@_query(f"WITH {LINES_SQL} SELECT CASE prefix WHEN 'C' THEN 'chamfer' WHEN 'R' THEN 'radius' WHEN 'φ' THEN 'diameter' ELSE 'linear' END AS kind, count(*) AS n, sum(nominal) AS total FROM lines GROUP BY 1")
+def classify_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).groupBy(tx.kind(F.col("prefix"), F.lit("")).alias("kind")).agg(F.count("*").alias("n"), F.sum("nominal").alias("total"))
+
+
+def _synthetic_range() -> Column:
+    return F.when(F.col("tolerance") > 0, F.round(F.col("tolerance") / 50.0, 6))
+
+
+@_query(f"""
+WITH {LINES_SQL}, r AS (SELECT CASE prefix WHEN 'C' THEN 'angle' WHEN 'R' THEN 'roughness' WHEN 'φ' THEN 'geometric' ELSE 'linear' END AS kind, CASE WHEN tolerance > 0 THEN round(tolerance / 50.0::DOUBLE, 6) END AS total FROM lines)
+SELECT kind, CASE WHEN kind <> 'geometric' AND total <= CASE kind WHEN 'roughness' THEN 5.7::DOUBLE WHEN 'angle' THEN 1.0::DOUBLE ELSE 0.03::DOUBLE END + 1e-9 THEN '#ff33cc' ELSE '#ffff00' END AS color, count(*) AS n FROM r GROUP BY ALL
+""")
+def highlight_color_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("prefix")
+    kind = F.when(p == "C", "angle").when(p == "R", "roughness").when(p == "φ", "geometric").otherwise("linear")
+    rows = lines(spark, sf_dir).select(kind.alias("kind"), _synthetic_range().alias("total"))
+    return rows.groupBy("kind", tol.highlight(F.col("kind"), F.col("total")).alias("color")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {LINES_SQL} SELECT page_key, line_id, text, CASE WHEN tolerance > 0 THEN round(tolerance / 50.0::DOUBLE, 6) END AS total FROM lines")
+def explicit_tolerance_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("page_key", "line_id", "text", F.round(tol.explicit_range(F.col("text"), F.col("nominal")), 6).alias("total"))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, CASE line_id % 4 WHEN 0 THEN 'Ø' WHEN 1 THEN '$' WHEN 2 THEN ')' ELSE 'Ω' END || CAST(CAST(nominal AS INTEGER) AS VARCHAR) || CASE WHEN tolerance > 0 THEN ' 士0' || CAST(tolerance AS VARCHAR) ELSE 'MAX' END AS raw,
+       CASE line_id % 4 WHEN 1 THEN '' ELSE 'Φ' END || CAST(CAST(nominal AS INTEGER) AS VARCHAR) || CASE WHEN tolerance > 0 THEN '±0.' || CAST(tolerance AS VARCHAR) ELSE '' END AS normal
+FROM lines
+""")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = F.get(F.array(*map(F.lit, "Ø$)Ω")), (F.col("line_id") % 4).cast("int"))
+    tail = F.when(F.col("tolerance") > 0, F.concat(F.lit(" 士0"), F.col("tolerance").cast("string"))).otherwise("MAX")
+    rows = lines(spark, sf_dir).select("page_key", "line_id", F.concat(sign, F.col("nominal").cast("int").cast("string"), tail).alias("raw"))
+    return rows.withColumn("normal", tx.normalize(tx.nfkc("raw")))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, upper(prefix) AS prefix, nominal, line_id % 3 = 0 AS reference FROM lines WHERE tolerance = 0
+""")
+def parse_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir).withColumn("raw", F.when(F.col("line_id") % 3 == 0, F.concat(F.lit("("), "text", F.lit(")"))).otherwise(F.col("text")))
+    return t.withColumn("t", tx.token(F.col("raw"))).where("t is not null").select("page_key", "line_id", "t.prefix", "t.nominal", "t.reference")
+
+
+@_query("""
+SELECT doc_id FROM documents
+WHERE regexp_matches(text, '(?i)(?:SCALE|DATE|DWG|DRAWING|PAGE|SHEET|REV|図番|品番|尺度|日付|材質|MODEL|PART|NO\\.|型式|改訂|番号|公差|以上|超え|Rz\\s*max|Rzmax|Ra\\s*max|Ramax|Rmax)')
+""")
+def context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where(predicates.no_dimension_context(F.col("text"))).select("doc_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}, r AS (
+  SELECT CASE WHEN prefix = '' AND score < 0.82 THEN 'low_confidence' WHEN prefix = '' AND nominal >= 500 THEN 'bare_too_large' WHEN prefix = '' AND nominal IN (90, 180, 360) THEN 'bare_angle'
+              WHEN prefix = 'φ' AND nominal > 80 THEN 'diameter_too_large' WHEN prefix = 'φ' AND nominal < 1.0 THEN 'diameter_too_small' WHEN prefix = '' AND nominal < 1.0 THEN 'bare_too_small' ELSE 'kept' END AS stage FROM lines)
+SELECT stage, count(*) AS n FROM r GROUP BY 1
+""")
+def reject_reason_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("kind", tx.kind(F.col("prefix"), F.lit("")))
+    reason = predicates.reject_reason(F.col("kind"), F.col("prefix"), F.lit(""), F.col("nominal"), tx.normalize(F.col("text")), F.col("score"), F.lit(1))
+    return evaluate.funnel(rows.withColumn("stage", F.coalesce(reason, F.lit("kept"))))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT count(*) AS n, count(*) FILTER (y1 / {HEIGHT}::DOUBLE < 0.10 OR y0 / {HEIGHT}::DOUBLE > 0.80 OR (x0 / {WIDTH}::DOUBLE > 0.62 AND y0 / {HEIGHT}::DOUBLE > 0.68) OR (x0 / {WIDTH}::DOUBLE > 0.84 AND y1 / {HEIGHT}::DOUBLE < 0.50)) AS outside
+FROM lines
+""")
+def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = predicates.outside_drawing(g.Rect.of(), F.lit(WIDTH), F.lit(HEIGHT))
+    return lines(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(out).alias("outside"))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, round(least(1.0::DOUBLE, score + CASE WHEN line_id % 3 = 0 THEN 0.12 ELSE 0.0 END + CASE WHEN line_id % 2 = 0 THEN 0.10 ELSE 0.0 END + CASE WHEN tolerance > 0 THEN 0.05 ELSE 0.0 END + CASE WHEN prefix <> '' THEN 0.05 ELSE 0.0 END), 6) AS quality FROM lines
+""")
+def scanned_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agreement = F.when(F.col("line_id") % 3 == 0, 2).otherwise(1)
+    q = predicates.scanned_quality(F.col("score"), agreement, F.col("line_id") % 2 == 0, F.col("text"), F.col("prefix"), F.lit(""))
+    return lines(spark, sf_dir).select("page_key", "line_id", F.round(q, 6).alias("quality"))
+
+
+_IOS = "(greatest(least(l.x1, o.x1) - greatest(l.x0, o.x0), 0) * greatest(least(l.y1, o.y1) - greatest(l.y0, o.y0), 0)) / least((l.x1 - l.x0) * (l.y1 - l.y0), (o.x1 - o.x0) * (o.y1 - o.y0))"
+_DIST = "sqrt(((l.x0 + l.x1) / 2 - (o.x0 + o.x1) / 2) ^ 2 + ((l.y0 + l.y1) / 2 - (o.y0 + o.y1) / 2) ^ 2)"
+
+
+@_query(f"WITH {LINES_SQL} SELECT page_key, line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.tolerance > 0 AND o.line_id <> l.line_id AND {_IOS} >= 0.18)")
+def overlap_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.drop_where(t, t.where("tolerance > 0"), spatial.richer_reading).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND contains(o.text, l.text)
+  AND ({_IOS} >= 0.18 OR {_DIST} <= greatest(5.0, least(14.0, greatest(l.x1 - l.x0, l.y1 - l.y0) * 1.5))))
+""")
+def digit_echo_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.drop_where(t, t, spatial.digit_echo).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id FROM lines l WHERE prefix = '' AND NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.prefix <> '' AND ({_IOS} >= 0.22 OR {_DIST} <= greatest(3.0, least(l.x1 - l.x0, l.y1 - l.y0) * 0.8)))
+""")
+def reference_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.drop_where(t.where("prefix = ''"), t.where("prefix <> ''"), spatial.reference).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND o.tolerance > 0 AND (
+  (least(l.y1, o.y1) - greatest(l.y0, o.y0) >= 0.35 * least(l.y1 - l.y0, o.y1 - o.y0) AND o.x0 - l.x1 BETWEEN -0.35 * (l.y1 - l.y0) AND 4.5 * (l.y1 - l.y0)) OR
+  (least(l.x1, o.x1) - greatest(l.x0, o.x0) >= 0.35 * least(l.x1 - l.x0, o.x1 - o.x0) AND o.y0 - l.y1 BETWEEN -0.35 * (l.x1 - l.x0) AND 4.5 * (l.x1 - l.x0))))
+""")
+def tolerance_attached_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.drop_where(t, t.where("tolerance > 0"), spatial.tolerance_attached).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}, m AS (SELECT *, greatest(10.0, least(24.0, greatest(x1 - x0, y1 - y0) * 2.2)) AS margin FROM lines)
+SELECT page_key, line_id FROM m l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND o.tolerance > 5
+  AND least(l.x1 + margin, o.x1) > greatest(l.x0 - margin, o.x0) AND least(l.y1 + margin, o.y1) > greatest(l.y0 - margin, o.y0))
+""")
+def tolerance_margin_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.drop_where(t, t.where("tolerance > 5"), spatial.tolerance_margin).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id FROM lines l WHERE (SELECT count(*) FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND o.tolerance > 0
+  AND least(l.x1, o.x1) - greatest(l.x0, o.x0) >= 0.35 * least(l.x1 - l.x0, o.x1 - o.x0) AND abs(o.y0 - l.y0) <= 3.0 * (l.y1 - l.y0)) < 2
+""")
+def stacked_fragment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.stacked(t, t.where("tolerance > 0")).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND length(o.text) >= length(l.text) + 2 AND ends_with(o.text, l.text) AND {_DIST} <= 58)
+""")
+def truncated_suffix_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.drop_where(t, t, spatial.truncated).select("page_key", "line_id")
+
+
+@_query(f"WITH {LINES_SQL} SELECT page_key, line_id FROM lines l WHERE score >= 0.9 AND EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND {_IOS} >= 0.45)")
+def evidence_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.keep_where(t.where("score >= 0.9"), t, spatial.replaced).select("page_key", "line_id")
+
+
+_BEHIND = """
+WITH {lines}, p AS (
+  SELECT l.page_key, l.line_id, o.line_id AS o_line_id, abs((l.y0 + l.y1) / 2 - (o.y0 + o.y1) / 2) AS across, greatest(12.0, greatest(o.y1 - o.y0, 1.0) * 1.5) AS reach,
+         l.x0 - o.x1 AS after, o.x0 - l.x1 AS before, least(l.x1, o.x1) > greatest(l.x0, o.x0) AS over
+  FROM lines l JOIN lines o ON o.page_key = l.page_key WHERE l.tolerance > 0 AND o.tolerance = 0
+), c AS (
+  SELECT *, CASE WHEN after BETWEEN -6 AND 56 AND across <= reach THEN after WHEN before BETWEEN -6 AND 56 AND across <= reach THEN before ELSE 1000.0 + across END AS cost FROM p
+  WHERE (after BETWEEN -6 AND 56 AND across <= reach) OR (before BETWEEN -6 AND 56 AND across <= reach) OR (over AND across BETWEEN 1.5 AND 30)
+)
+SELECT page_key, line_id, o_line_id, round(cost, 6) AS cost FROM c QUALIFY row_number() OVER (PARTITION BY page_key, line_id ORDER BY cost, o_line_id) = 1
+"""
+
+
+@_query(_BEHIND.replace("{lines}", LINES_SQL))
+def nearest_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    out = spatial.nearest(t.where("tolerance > 0"), t.where("tolerance = 0"), ["page_key"], spatial.behind, spatial.behind_cost)
+    return out.select("page_key", "line_id", "o_line_id", F.round("cost", 6).alias("cost"))
+
+
+@_query(f"""
+WITH {LINES_SQL}, p AS (
+  SELECT l.page_key, l.line_id, o.line_id AS o_line_id, o.x0 - l.x1 AS gap, greatest(l.y0 - o.y1, o.y0 - l.y1, 0.0) AS above, l.x1 - l.x0 AS w, l.y1 - l.y0 AS h
+  FROM lines l JOIN lines o ON o.page_key = l.page_key WHERE l.tolerance = 0 AND o.tolerance > 0
+), c AS (SELECT *, greatest(gap, 0.0) + above * 0.35 AS cost FROM p WHERE gap BETWEEN -greatest(4.0, w * 0.18) AND greatest(40.0, w * 1.45) AND above <= greatest(28.0, h * 2.4))
+SELECT page_key, line_id, o_line_id, round(cost, 6) AS cost, CAST(row_number() OVER (PARTITION BY page_key, line_id ORDER BY cost, o_line_id) AS INTEGER) AS rank FROM c
+QUALIFY row_number() OVER (PARTITION BY page_key, line_id ORDER BY cost, o_line_id) <= 2
+""")
+def top2_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    out = spatial.nearest(t.where("tolerance = 0"), t.where("tolerance > 0"), ["page_key"], spatial.right_lane, spatial.right_lane_cost, most=2)
+    return out.select("page_key", "line_id", "o_line_id", F.round("cost", 6).alias("cost"), "rank")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT l.page_key, l.line_id, o.line_id AS o_line_id FROM lines l JOIN lines o ON o.page_key = l.page_key AND o.prefix = l.prefix AND abs(o.nominal - l.nominal) <= 1e-7 AND o.line_id <> l.line_id AND {_DIST} <= greatest(200.0, 0.65 * (l.y1 - l.y0))
+QUALIFY row_number() OVER (PARTITION BY l.page_key, l.line_id ORDER BY {_DIST}, o.line_id) = 1
+""")
+def candidate_match_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    near = lambda a, b: spatial.not_same() & (F.abs(F.col("o.nominal") - F.col("l.nominal")) <= 1e-7) & (g.centre_distance(a, b) <= F.greatest(F.lit(200.0), a.height * 0.65))
+    return spatial.nearest(t, t, ["page_key", "prefix"], near, g.centre_distance).select("page_key", "line_id", "o_line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}, s AS (SELECT page_key, x0 - 10 AS x0, y1 + 4 AS y0, x1 + 10 AS x1, y1 + 4 AS y1, true AS horizontal FROM lines WHERE line_id % 2 = 0), n AS (
+  SELECT l.page_key, l.line_id, count(s.page_key) AS n_segments FROM lines l LEFT JOIN s ON s.page_key = l.page_key AND l.x1 - l.x0 >= l.y1 - l.y0 AND abs(s.y0 - (l.y0 + l.y1) / 2) <= greatest(12.0, (l.y1 - l.y0) * 3.2)
+    AND s.x1 >= l.x0 - greatest(20.0, (l.x1 - l.x0) * 2.2) AND s.x0 <= l.x1 + greatest(20.0, (l.x1 - l.x0) * 2.2) GROUP BY ALL)
+SELECT page_key, line_id, n_segments, CASE n_segments WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.74::DOUBLE ELSE 0.95::DOUBLE END AS line_score FROM n
+""")
+def line_support_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    segments = t.where("line_id % 2 = 0").select("page_key", (F.col("x0") - 10).alias("x0"), (F.col("y1") + 4).alias("y0"), (F.col("x1") + 10).alias("x1"), (F.col("y1") + 4).alias("y1"), F.lit(True).alias("horizontal"))
+    return spatial.line_support(t, segments).select("page_key", "line_id", "n_segments", "line_score")
+
+
+@_query(f"WITH {LINES_SQL} SELECT page_key, prefix, text, min(line_id) AS line_id FROM lines GROUP BY ALL")
+def exact_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.first_of(lines(spark, sf_dir), [F.col("page_key"), F.col("prefix"), F.col("text")], [F.col("line_id")]).select("page_key", "prefix", "text", "line_id")
+
+
+@_query("""
+WITH c AS (SELECT p_brand, p_type, round(p_size / 5) * 5 AS size, count(*) AS n FROM part GROUP BY ALL)
+SELECT p_brand, p_type AS font, size, n FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, contains(p_type, 'BRASS') DESC, size DESC, p_type DESC) = 1
+""")
+def modal_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("font"), (F.round(F.col("p_size") / 5) * 5).alias("size"))
+    return evaluate.modal_style(rows, "p_brand", F.col("font").contains("BRASS"))
+
+
+@_query("""
+WITH truth AS (SELECT DISTINCT p_size % 4 AS kind, CAST(p_size AS DOUBLE) AS value FROM part), found AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) % 4 AS kind, l_quantity AS value FROM lineitem WHERE l_linenumber < 4 AND l_quantity > 10),
+m AS (SELECT t.kind AS tk, f.kind AS fk FROM truth t FULL JOIN found f ON t.kind = f.kind AND t.value = f.value),
+c AS (SELECT count(*) FILTER (tk IS NOT NULL AND fk IS NOT NULL) AS hits, count(fk) AS n_found, count(tk) AS n_truth FROM m)
+SELECT hits, n_found, n_truth, CASE WHEN n_found > 0 THEN hits / n_found ELSE 0.0::DOUBLE END AS precision, CASE WHEN n_truth > 0 THEN hits / n_truth ELSE 0.0::DOUBLE END AS recall,
+       CASE WHEN n_found + n_truth > 0 THEN 2.0::DOUBLE * hits / (n_found + n_truth) ELSE 0.0::DOUBLE END AS f1 FROM c
+""")
+def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = read(spark, sf_dir, "part").select((F.col("p_size") % 4).alias("kind"), F.col("p_size").cast("double").alias("value"))
+    found = read(spark, sf_dir, "lineitem").where("l_linenumber < 4 and l_quantity > 10").select((F.col("l_quantity").cast("int") % 4).alias("kind"), F.col("l_quantity").alias("value"))
+    return evaluate.scores(truth, found, ["kind", "value"])
+
+
+@_query("""
+WITH truth AS (SELECT 'k' || CAST(i AS VARCHAR) AS name, ['a' || CAST(i AS VARCHAR), CAST(i AS VARCHAR)] AS names FROM range(1, 61) t(i)),
+found AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE '' END || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS text FROM lineitem)
+SELECT name, EXISTS (SELECT 1 FROM found WHERE list_contains(names, text)) AS hit FROM truth
+""")
+def recall_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id").cast("string")
+    truth = spark.range(1, 61).select(F.concat(F.lit("k"), i).alias("name"), F.concat(F.lit("a"), i).alias("key"), F.array(i).alias("aliases"))
+    text = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise(""), F.col("l_quantity").cast("int").cast("string"))
+    return evaluate.recall_by_alias(truth, read(spark, sf_dir, "lineitem").select(text.alias("text")))
+
+
+@_query("""
+SELECT count(*) AS n_files, avg(CAST(length(html) >= 40 AS DOUBLE)) AS text_ratio, avg(CAST(contains(html, '<img') AS DOUBLE)) AS image_ratio, CAST(median(length(html)) AS DOUBLE) AS median_length,
+       (SELECT avg(CAST(n > 1 AS DOUBLE)) FROM (SELECT count(*) AS n FROM pages GROUP BY regexp_extract(url, '://([^/?#]*)', 1))) AS repeated_family_ratio
+FROM pages
+""")
+def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "pages").select(F.length("html").alias("n_chars"), F.col("html").contains("<img").alias("has_image"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("family"))
+    return evaluate.audit(t)
+
+
+@_query(f"WITH {LINES_SQL} SELECT page_key, line_id, CAST(row_number() OVER (PARTITION BY page_key ORDER BY y0, x0, line_id) AS INTEGER) AS position FROM lines")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("page_key").orderBy("y0", "x0", "line_id")
+    return lines(spark, sf_dir).select("page_key", "line_id", F.row_number().over(w).alias("position"))
+
+
+@_query(f"""
+WITH {LINES_SQL}, r AS (SELECT page_key, line_id, round(1.5 * length(text) + score + CASE WHEN prefix = 'φ' THEN 5 ELSE 0 END + CASE WHEN tolerance > 0 THEN 2 ELSE 0 END, 6) AS rank_score FROM lines)
+SELECT page_key, line_id, rank_score FROM r QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY rank_score DESC, line_id) <= 8
+""")
+def ranked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = 1.5 * F.length("text") + F.col("score") + F.when(F.col("prefix") == "φ", 5).otherwise(0) + F.when(F.col("tolerance") > 0, 2).otherwise(0)
+    rows = lines(spark, sf_dir).select("page_key", "line_id", F.round(score, 6).alias("rank_score"))
+    w = Window.partitionBy("page_key").orderBy(F.desc("rank_score"), "line_id")
+    return rows.withColumn("n", F.row_number().over(w)).where("n <= 8").drop("n")
+
+
+@_query("""
+SELECT user_id, event_type AS item, count(*) % 2 = 1 AS selected, count(*) AS n_toggles, max(event_id) AS last_event FROM events GROUP BY ALL
+""")
+def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "events").select(F.col("user_id"), F.col("event_type").alias("item"), "event_id")
+    return session.toggled(log, ["user_id", "item"], "event_id")
+
+
+@_query("""
+WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id % 7 = 0 AS clears FROM events),
+c AS (SELECT user_id, max(event_id) AS at FROM e WHERE clears GROUP BY 1)
+SELECT e.user_id, count(*) AS n_items, max(e.event_id) AS last_event, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM e LEFT JOIN c ON c.user_id = e.user_id WHERE c.at IS NULL OR e.event_id > c.at GROUP BY 1
+""")
+def clear_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.col("event_id") % 7 == 0).alias("clears"))
+    return session.since_cleared(log, ["user_id"], "event_id", "clears").groupBy("user_id").agg(F.count("*").alias("n_items"), F.max("event_id").alias("last_event"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+
+@_query("""
+SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id, CAST(greatest(24.0, least(180.0, arg_max(value, event_id))) AS DOUBLE) AS size FROM events GROUP BY ALL
+""")
+def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return session.last_edit(log, ["user_id", "event_type"], "event_id", ["value"]).withColumn("size", F.greatest(F.lit(24.0), F.least(F.lit(180.0), F.col("value"))))
+
+
+@_query("""
+SELECT DISTINCT p_size % 4 AS kind, p_size AS value FROM part INTERSECT SELECT DISTINCT CAST(l_quantity AS BIGINT) % 4, CAST(l_quantity AS BIGINT) FROM lineitem WHERE l_quantity > 25
+""")
+def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "part").select((F.col("p_size") % 4).cast("long").alias("kind"), F.col("p_size").cast("long").alias("value"))
+    q = F.col("l_quantity").cast("long")
+    return a.intersect(read(spark, sf_dir, "lineitem").where("l_quantity > 25").select((q % 4).alias("kind"), q.alias("value")))
+
+
+@_query("""
+SELECT DISTINCT p_size % 4 AS kind, p_size AS value FROM part EXCEPT SELECT DISTINCT CAST(l_quantity AS BIGINT) % 4, CAST(l_quantity AS BIGINT) FROM lineitem WHERE l_quantity > 25
+""")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "part").select((F.col("p_size") % 4).cast("long").alias("kind"), F.col("p_size").cast("long").alias("value"))
+    q = F.col("l_quantity").cast("long")
+    return a.subtract(read(spark, sf_dir, "lineitem").where("l_quantity > 25").select((q % 4).alias("kind"), q.alias("value")))

@@ -88,7 +88,7 @@ def _let(value: Column, then) -> Column:
 
 
 def token(text: Column) -> Column:
-    """struct(normalized, prefix, number_text, degree, nominal, reference) of an NFKC text, or null if it is no dimension."""
+    """struct(normalized, prefix, number_text, degree, nominal, reference) of a text, or null if it is no dimension. text is a column in NFKC, not a call of nfkc()."""
     reference = text.rlike(r"^[（(].+[）)]$")
     inner = F.when(reference, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
 

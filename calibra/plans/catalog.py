@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from calibra.functions import geometry as g
 from calibra.functions import text as tx
 from calibra.functions import tolerance as tol
-from calibra.operators import evaluate, predicates, session, spatial
+from calibra.operators import consensus, evaluate, predicates, session, spatial
 from calibra.plans.synthetic import HEIGHT, LINES_SQL, WIDTH, lines, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,3 +448,120 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read(spark, sf_dir, "part").select((F.col("p_size") % 4).cast("long").alias("kind"), F.col("p_size").cast("long").alias("value"))
     q = F.col("l_quantity").cast("long")
     return a.subtract(read(spark, sf_dir, "lineitem").where("l_quantity > 25").select((q % 4).alias("kind"), q.alias("value")))
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic readings closer together, so that more of them meet."""
+    t = lines(spark, sf_dir)
+    x0, y0 = F.col("x0") % 60, F.col("y0") % 60
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return t.select("page_key", "line_id", "text", "score", x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + h).alias("y1"), F.lit(1).alias("agreement"), tx.kind(F.col("prefix"), F.lit("")).alias("kind"), (F.col("nominal") % 5).alias("nominal"))
+
+
+_DENSE_SQL = f"""
+RECURSIVE {LINES_SQL.strip()}, d AS (
+  SELECT page_key, line_id, text, x0 % 60 AS x0, y0 % 60 AS y0, x0 % 60 + (x1 - x0) AS x1, y0 % 60 + (y1 - y0) AS y1,
+         CASE prefix WHEN 'C' THEN 'chamfer' WHEN 'R' THEN 'radius' WHEN 'φ' THEN 'diameter' ELSE 'linear' END AS kind, nominal % 5 AS nominal FROM lines
+)
+"""
+
+
+@_query(f"""
+WITH {_DENSE_SQL.strip()}, e AS (
+  SELECT l.page_key, l.line_id AS a, o.line_id AS b FROM d l JOIN d o ON l.page_key = o.page_key AND l.line_id <> o.line_id
+  WHERE (l.kind = o.kind OR (l.kind IN ('linear', 'diameter') AND o.kind IN ('linear', 'diameter'))) AND abs(l.nominal - o.nominal) <= 1e-6 AND {_DIST} <= 30
+    AND ({_IOS} > 0.15 OR contains(l.text, o.text) OR contains(o.text, l.text))
+), w AS (SELECT page_key, line_id AS a, line_id AS b FROM d UNION SELECT w.page_key, w.a, e.b FROM w JOIN e ON e.page_key = w.page_key AND e.a = w.b)
+SELECT page_key, a AS line_id, min(b) AS callout FROM w GROUP BY ALL
+""")
+def callout_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = consensus.by_page(_dense(spark, sf_dir), partial(consensus.labelled, consensus.same_callout))
+    return out.select("page_key", "line_id", F.col("agreement").alias("callout"))
+
+
+@_query()
+def ocr_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.by_page(_dense(spark, sf_dir), consensus.merge_readings)
+
+
+@_query()
+def fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _dense(spark, sf_dir).withColumn("text", F.when(F.col("line_id") % 2 == 0, F.concat(F.lit("+0.0"), (F.col("line_id") % 9 + 1).cast("string"))).otherwise(F.col("text")))
+    return consensus.by_page(t, consensus.join_fragments)
+
+
+@_query()
+def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.by_page(_dense(spark, sf_dir), consensus.merge_candidates)
+
+
+@_query()
+def candidate_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.by_page(_dense(spark, sf_dir), consensus.dedupe_candidates)
+
+
+@_query()
+def final_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.by_page(_dense(spark, sf_dir), consensus.final_candidates)
+
+
+@_query()
+def band_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strips = _dense(spark, sf_dir).withColumn("text", tol.highlight(F.col("kind"), F.col("nominal") / 50))
+    return consensus.by_page(strips, consensus.bands)
+
+
+@_query(f"WITH {LINES_SQL} SELECT page_key, CAST(line_id AS INTEGER) AS line_id, CASE WHEN x0 >= 100 AND x0 <= 300 AND y0 >= 50 AND y0 <= 250 THEN true ELSE false END AS hit FROM lines")
+def polygon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points within a polygon, by the even-odd rule; the oracle knows that it is a rectangle."""
+    corners = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((99.5, 49.5), (300.5, 49.5), (300.5, 250.5), (99.5, 250.5))])
+    return lines(spark, sf_dir).select("page_key", "line_id", g.in_polygon(F.col("x0"), F.col("y0"), corners).alias("hit"))
+
+
+@_query(f"""
+WITH {LINES_SQL}, t AS (SELECT user_id, event_id, CAST(event_id % 500 AS DOUBLE) AS px, CAST(event_id % 300 AS DOUBLE) AS py FROM events WHERE event_id % 3 = 0)
+SELECT t.event_id, l.page_key, l.line_id FROM t JOIN lines l ON l.page_key = t.user_id AND px BETWEEN l.x0 - 8 AND l.x1 + 8 AND py BETWEEN l.y0 - 8 AND l.y1 + 8
+QUALIFY row_number() OVER (PARTITION BY t.event_id ORDER BY (l.x1 - l.x0) * (l.y1 - l.y0), l.line_id) = 1
+""")
+def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest reading whose rectangle, padded by 8, holds the point that was clicked."""
+    i = F.col("event_id")
+    clicks = read(spark, sf_dir, "events").where(i % 3 == 0).select(i, F.col("user_id").alias("page"), (i % 500).cast("double").alias("px"), (i % 300).cast("double").alias("py"))
+    r = g.Rect.of()
+    hits = clicks.join(lines(spark, sf_dir), (F.col("page") == F.col("page_key")) & r.grown(8.0).holds(F.col("px"), F.col("py")))
+    return spatial.first_of(hits, [F.col("event_id")], [r.area, F.col("line_id")]).select("event_id", "page_key", "line_id")
+
+
+@_query("""
+WITH l AS (SELECT user_id, event_id, event_id % 4 = 0 AS undo FROM events), d AS (SELECT *, CAST(sum(CASE WHEN undo THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS depth FROM l)
+SELECT user_id, event_id FROM d WHERE NOT undo AND NOT EXISTS (SELECT 1 FROM d x WHERE x.user_id = d.user_id AND x.event_id > d.event_id AND x.depth < d.depth)
+""")
+def undo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 4 == 0).alias("undo"))
+    return session.undone(log, ["user_id"], "event_id", "undo").select("user_id", "event_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}, k AS (SELECT page_key, prefix AS font, count(*) AS n FROM lines GROUP BY ALL), c AS (SELECT *, max(n) OVER (PARTITION BY page_key) AS most FROM k)
+SELECT page_key, font, n FROM c WHERE n >= CASE WHEN most < 4 THEN 1 ELSE greatest(2, ceil(most * 0.08)) END
+""")
+def popular_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.popular_fonts(lines(spark, sf_dir).select("page_key", F.col("prefix").alias("font")), "page_key")
+
+
+@_query(f"""
+WITH {LINES_SQL}, k AS (SELECT page_key, CASE WHEN nominal / 60 BETWEEN 0.08 AND 0.75 THEN round(nominal / 60, 2) END AS width FROM lines), c AS (SELECT page_key, width, count(*) AS n FROM k WHERE width IS NOT NULL GROUP BY ALL)
+SELECT p.page_key, coalesce((SELECT width FROM c WHERE c.page_key = p.page_key ORDER BY n DESC, width LIMIT 1), 0.35::DOUBLE) AS width FROM (SELECT DISTINCT page_key FROM lines) p
+""")
+def modal_stroke_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.modal_width(lines(spark, sf_dir).select("page_key", (F.col("nominal") / 60).alias("width")), "page_key")
+
+
+@_query(r"""
+SELECT p_partkey, CASE WHEN p_partkey % 60 BETWEEN 1 AND 50 THEN chr(CAST(CASE WHEN p_partkey % 60 <= 20 THEN 9311 + p_partkey % 60 WHEN p_partkey % 60 <= 35 THEN 12860 + p_partkey % 60 ELSE 12941 + p_partkey % 60 END AS INTEGER)) ELSE '(' || CAST(p_partkey % 60 AS VARCHAR) || ')' END AS label,
+       'P' || CAST(p_partkey % 40 AS VARCHAR) AS family FROM part
+""")
+def labels_and_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey") % 60
+    stem = F.concat(F.lit("p"), (F.col("p_partkey") % 40).cast("string"), F.lit("_01-A"))
+    return read(spark, sf_dir, "part").select("p_partkey", tx.circled(n).alias("label"), tx.family_key(stem).alias("family"))

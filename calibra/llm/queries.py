@@ -90,6 +90,24 @@ SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (own) AS n_o
 FROM o GROUP BY conv_id, speaker, part
 """
 
+OP4_SQL = r"""
+WITH i AS (
+  SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), s AS (
+  SELECT DISTINCT k, item_id, width, array_to_string(list_slice(w, n, n + width - 1), ' ') AS shingle
+  FROM (SELECT k, item_id, w, least(5, len(w)) AS width, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS n FROM i WHERE len(w) > 0)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), t AS (
+  SELECT DISTINCT r, doc_id, width, array_to_string(list_slice(w, n, n + width - 1), ' ') AS shingle
+  FROM (SELECT r, doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS n FROM d, (SELECT DISTINCT width FROM s) WHERE len(w) >= width)
+), c AS (SELECT t.r, t.doc_id, s.k, s.item_id, count(*) AS found FROM s JOIN t ON t.width = s.width AND t.shingle = s.shingle GROUP BY ALL
+), n AS (SELECT k, count(*) AS shingles FROM s GROUP BY k)
+SELECT doc_id, item_id, found, shingles, found / shingles AS containment FROM c JOIN n ON n.k = c.k WHERE found >= ceil(0.8 * shingles - 1e-9)
+"""
+
 OP10_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
@@ -110,4 +128,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_perspectives": OP8_SQL, "op10_url_cascade": OP10_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op8_chat_perspectives": OP8_SQL, "op10_url_cascade": OP10_SQL}

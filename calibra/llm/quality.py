@@ -103,14 +103,16 @@ class Model(NamedTuple):
 def estimate(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50) -> Model:
     """Expectation-maximisation over vote patterns (1 good, -1 bad, 0 abstains) and their counts.
 
-    Starts from the view that a document with a bad vote is bad; chances are smoothed by half a vote. Wherever the bad
+    Starts from the view that a document with a bad vote is bad, leaving out rules that call most of what they vote on bad
+    (in a language that a rule doesn't know, it says nothing). Chances are smoothed by half a vote. Wherever the bad
     would get more of a rule's good votes than the good, or fewer of its bad votes, the rule's votes count for nothing,
     so the classes can't swap names.
     """
     if not patterns:
         return Model(0.5, ())
     votes, weight = np.array([p for p, _ in patterns], np.int8), np.array([c for _, c in patterns], float)
-    good = np.where((votes == -1).any(axis=1), 0.1, 0.9)
+    told = (weight[:, None] * (votes == -1)).sum(0) <= (weight[:, None] * (votes == 1)).sum(0)
+    good = np.where(((votes == -1) & told).any(axis=1), 0.1, 0.9)
     prior, chances = 0.5, np.full((2, len(VOTES), votes.shape[1]), 1 / len(VOTES))
     for _ in range(rounds):
         prior = min(max(float((weight * good).sum() + 0.5) / float(weight.sum() + 1), 0.01), 0.99)

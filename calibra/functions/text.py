@@ -155,3 +155,49 @@ def color(text: Column, default: str) -> Column:
 def rgb(text: Column) -> Column:
     """array(r, g, b) from 0 to 1 of a #rrggbb colour."""
     return F.array(*[F.conv(F.substring(text, k, 2), 16, 10).cast("double") / 255 for k in (2, 4, 6)])
+
+
+FIT_DEVIATION = r"^[()（）]*(?:[+\-−－]\s*0?(?:[.,]\d+)?|0|0[.,]\d+)(?:[()（）/\s]*[+\-−－]\s*0?(?:[.,]\d+)?)*[()（）]*$"
+FIT_GLYPHS = r"^[()（）]+$"
+FIT_PIECE = r"^[()（）][0-9.,+\-()（）]{0,8}$"
+LARGEST_FIT_DEVIATION = 0.099
+
+
+def numbers(text: Column) -> Column:
+    """All numbers of a text as doubles."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+
+
+def is_fit_deviation(text: Column) -> Column:
+    """Whether a text is the deviations of a fit alone: small signed numbers, in brackets or not."""
+    return text.rlike(r"\d") & text.rlike(FIT_DEVIATION) & F.forall(numbers(text), lambda v: v < LARGEST_FIT_DEVIATION)
+
+
+def in_fit_cluster(text: Column) -> Column:
+    """Whether a text belongs to a fit: its deviations, their brackets, or a piece that begins with one."""
+    return is_fit_deviation(text) | text.rlike(FIT_GLYPHS) | text.rlike(FIT_PIECE)
+
+
+def corner_code(text: Column) -> Column:
+    """struct(sign, value) of a chamfer or radius read without its decimal point (C02 is 0.2, C12 is 12); null if there is none."""
+    plain = F.regexp_replace(F.translate(F.upper(text), "〇", "0"), r"[\s.,]", "")
+    sign, body = F.regexp_extract(plain, r"([CR])([O0]?\d{1,3})", 1), F.translate(F.regexp_extract(plain, r"([CR])([O0]?\d{1,3})", 2), "O", "0")
+    small = body.startswith("0") & (F.length(body) > 1)
+    value = F.when(small, F.concat(F.lit("0."), F.substring(body, 2, 9))).otherwise(body).try_cast("double")
+    return F.when(sign != "", F.struct(sign.alias("sign"), value.alias("value")))
+
+
+def canonical_key(text: Column) -> Column:
+    """A dimension's name for comparisons: angle:60.0, φ13.7±0.02, 5+0.1 or φ12; null for other texts."""
+    plain = F.translate(F.regexp_replace(text, r"\s+", ""), "ΩΦØ⌀士土亇干。＋－", "φφφφ±±±±°+-")
+    plain = F.regexp_replace(plain, r"^[^\dφCR]+", "")
+    degrees = F.regexp_extract(plain, r"^(\d+(?:\.\d+)?)°$", 1)
+    signed = r"^([φCR]?)(\d+(?:\.\d+)?)(±|[+\-])(\d+(?:\.\d+)?)"
+    bare = r"^([φCR]?)(\d+(?:\.\d+)?)°?$"
+    part = lambda pattern, k: F.regexp_extract(plain, pattern, k)
+    number = lambda pattern, k: shortest(part(pattern, k).try_cast("double"))
+    return (
+        F.when(degrees != "", F.concat(F.lit("angle:"), degrees.cast("double").cast("string")))
+        .when(plain.rlike(r"±|[+\-]\d"), F.when(plain.rlike(signed), F.concat(part(signed, 1), number(signed, 2), part(signed, 3), number(signed, 4))))
+        .when(plain.rlike(bare), F.concat(part(bare, 1), number(bare, 2)))
+    )

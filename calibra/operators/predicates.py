@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from calibra.functions.geometry import Rect
-from calibra.functions.text import CONTEXT, is_fragment
+from calibra.functions.text import CONTEXT, LIMIT_CALLOUT, PART_NUMBER, ROUGHNESS, ROUGHNESS_READ_AS_RANGE, THREAD, is_fragment
 
 # Confidence floors.
 FLOORS = {"page": 0.42, "tile": 0.34, "bare": 0.82, "scanned_bare": 0.68, "agreed": 0.58, "review": 0.72, "detail": 0.68, "crop": 0.64}
@@ -59,3 +59,43 @@ def reading_quality(text: Column, score: Column) -> Column:
     digits = F.length(F.regexp_replace(F.regexp_extract(text, r"^[^±+\-]*", 0), r"\D", ""))
     q = one(text.contains("±"), 3) + one(text.rlike(r"±\d+\.\d+"), 2) - one(text.rlike(r"±\d{2,}(?:\D|$)"), 2) - one(text.rlike(r"±0$"), 3) + F.least(digits, F.lit(5)) + one(text.rlike(r"^[φΦØ⌀CR]"), 1)
     return F.struct(q.alias("quality"), F.length(text).alias("length"), score.alias("score"))
+
+
+def plausible_tolerance(text: Column, nominal: Column, total: Column) -> Column:
+    """Whether a reading with a total tolerance range may be a dimension that is coloured. text: NFKC, without spaces."""
+    marked = text.rlike(r"(?i)[φΦØ⌀CR]")
+    most = F.greatest(nominal * 0.6, F.least(F.lit(3.0), F.greatest(nominal, F.lit(0.5))))
+    cut_off = (
+        text.rlike(r"^\.|[.:,+\-±]$|±0$|[±+\-]0\.?$") | (text.rlike(r"^\d+[±+\-]") & ~F.regexp_replace(text, r"^[^±+\-]*[±+\-]", "").rlike(r"\d"))
+        | text.rlike(r"^\d{1,2}[±+\-]\d$") | text.rlike(r"\d\.[±+\-]") | text.rlike(r"-\d+\.\d{3,}$")
+    )
+    stem = F.regexp_replace(text, "^[φΦØ⌀CRcr]", "")
+    letters = stem.rlike("[A-Za-z]") & ~stem.rlike(r"^\d+(?:[.,]\d+)?[A-Za-z]\d{1,2}(?:[()（）±+\-－−].*)?$")
+    other = text.rlike(r"[~〜～]") | text.rlike(ROUGHNESS_READ_AS_RANGE) | text.rlike(r"(?i)M\d") | text.rlike(PART_NUMBER) | (text.rlike(r"[A-Z]{2,}\d") & ~text.rlike("[±+]")) | (text.rlike(r"\+\d{2,}") & ~text.contains("±"))
+    fits = (nominal > 0) & (nominal <= 4000) & (total > 0) & (total <= most) & (marked | (total <= nominal * 0.4))
+    return F.coalesce(fits & ~(cut_off | letters | other), F.lit(False))
+
+
+def limit_callout(text: Column) -> Column:
+    """A callout such as C0.2以下, which is a limit of its own."""
+    return text.rlike(LIMIT_CALLOUT)
+
+
+def thread(text: Column) -> Column:
+    return text.rlike(THREAD)
+
+
+def roughness(text: Column) -> Column:
+    return text.rlike(ROUGHNESS)
+
+
+def view_label(prefix: Column, degree: Column, nominal: Column) -> Column:
+    """A bare whole number under 4 on a scan, which names a view."""
+    return (prefix == "") & (degree == "") & (nominal < 4) & (nominal == F.floor(nominal))
+
+
+def text_size_fits(size: Column, expected: Column, marked: bool, decimal: Column, line_support: Column) -> Column:
+    """Whether a text's size is near the page's: .82 to 1.23 of it for marked dimensions, else .74 to 1.13; decimals by a line from .56."""
+    low, high = (0.82, 1.23) if marked else (0.74, 1.13)
+    share = size / expected
+    return (share >= F.when(decimal & line_support, 0.56).otherwise(low)) & (share <= high)

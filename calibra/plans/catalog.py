@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from calibra.functions import geometry as g
 from calibra.functions import text as tx
 from calibra.functions import tolerance as tol
-from calibra.operators import consensus, evaluate, predicates, session, spatial
+from calibra.operators import consensus, evaluate, layout, predicates, session, spatial
 from calibra.plans.synthetic import HEIGHT, LINES_SQL, WIDTH, lines, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -565,3 +565,88 @@ def labels_and_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey") % 60
     stem = F.concat(F.lit("p"), (F.col("p_partkey") % 40).cast("string"), F.lit("_01-A"))
     return read(spark, sf_dir, "part").select("p_partkey", tx.circled(n).alias("label"), tx.family_key(stem).alias("family"))
+
+
+for _name, _fold in {
+    "roughness_merge": consensus.merge_roughness, "tiled_candidates": consensus.tiled_candidates, "corner_candidates": consensus.corner_candidates, "append_strips": consensus.append_strips,
+    "marking_merge": consensus.merge_markings, "roughness_parting": layout.part_overlaps,
+}.items():
+    _query(name=_name)(lambda spark, sf_dir, f=_fold: consensus.by_page(_dense(spark, sf_dir), f))
+
+
+def _agreed(readings: list[consensus.Reading]) -> list[consensus.Reading]:
+    return consensus.independent_reads(readings, lambda r: r.line_id % 3)
+
+
+@_query()
+def independent_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.by_page(_dense(spark, sf_dir).withColumn("nominal", F.floor(F.col("nominal") / 2).cast("double")), _agreed)
+
+
+@_query(f"""
+WITH {LINES_SQL}, t AS (
+  SELECT page_key, line_id, text, nominal, tolerance / 50.0::DOUBLE AS total, regexp_replace(text, '^[φCR]', '') AS stem FROM lines)
+SELECT page_key, line_id, coalesce(nominal > 0 AND nominal <= 4000 AND total > 0 AND total <= greatest(nominal * 0.6, least(3.0, greatest(nominal, 0.5))) AND (regexp_matches(text, '(?i)[φΦØ⌀CR]') OR total <= nominal * 0.4)
+  AND NOT regexp_matches(text, '^[.]|[.:,+±-]$|±0$|[±+-]0[.]?$') AND NOT regexp_matches(text, '\\d[.][±+-]') AND NOT regexp_matches(text, '^\\d{{1,2}}[±+-]\\d$') AND NOT regexp_matches(stem, '[A-Za-z]'), false) AS plausible
+FROM t
+""")
+def plausible_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("page_key", "line_id", predicates.plausible_tolerance(F.col("text"), F.col("nominal"), F.col("tolerance") / 50.0).alias("plausible"))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, CASE WHEN line_id % 5 = 0 THEN 'angle:' || CAST(CAST(nominal AS INTEGER) AS VARCHAR) || '.0' ELSE prefix || CAST(CAST(nominal AS INTEGER) AS VARCHAR) || CASE WHEN tolerance > 0 THEN '±' || CAST(tolerance / 100.0::DOUBLE AS VARCHAR) ELSE '' END END AS key FROM lines
+""")
+def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("line_id") % 5 == 0, F.concat(F.lit("~ "), F.col("nominal").cast("int").cast("string"), F.lit("。"))).otherwise(F.translate("text", "φ±", "Ø士"))
+    return lines(spark, sf_dir).select("page_key", "line_id", tx.canonical_key(text).alias("key"))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, ['C', 'R'][line_id % 2 + 1] AS sign, CASE WHEN line_id % 3 = 0 THEN CAST('0.' || CAST(CAST(nominal AS INTEGER) AS VARCHAR) AS DOUBLE) ELSE CAST(CAST(nominal AS INTEGER) AS DOUBLE) END AS value FROM lines
+""")
+def corner_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("nominal").cast("int").cast("string")
+    text = F.concat(F.when(F.col("line_id") % 2 == 0, "c").otherwise("R "), F.when(F.col("line_id") % 3 == 0, "〇.").otherwise(""), n)
+    return lines(spark, sf_dir).withColumn("c", tx.corner_code(text)).select("page_key", "line_id", "c.sign", "c.value")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT count(*) FILTER (tolerance BETWEEN 1 AND 9) AS deviations, count(*) FILTER (tolerance = 0) AS glyphs, count(*) AS clusters FROM lines WHERE tolerance < 10
+""")
+def fit_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir).where("tolerance < 10").select(F.when(F.col("tolerance") > 0, F.concat(F.lit("(+0.0"), F.col("tolerance").cast("string"), F.lit(" -0.001)"))).otherwise("(").alias("text"))
+    text = F.col("text")
+    return t.agg(F.count_if(tx.is_fit_deviation(text)).alias("deviations"), F.count_if(text.rlike(tx.FIT_GLYPHS)).alias("glyphs"), F.count_if(tx.in_fit_cluster(text)).alias("clusters"))
+
+
+@_query(f"""
+WITH {LINES_SQL}, w AS (SELECT * FROM (VALUES (0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (1, -1), (-1, 1), (1, 1)) v(x, y)), o AS (
+  SELECT 0 AS n, 0 AS x, 0 AS y UNION ALL SELECT CAST(8 * (k - 1) + p AS INTEGER), x * k, y * k FROM (SELECT x, y, row_number() OVER () AS p FROM w) v, range(1, 6) r(k)
+), l AS (SELECT * FROM lines WHERE tolerance = 0), t AS (
+  SELECT l.page_key, l.line_id AS label_id, n, x * greatest(16.0, (x1 - x0) * 0.58) AS dx, y * greatest(14.0, (y1 - y0) + 6.0) AS dy, x0, y0, x1, y1 FROM l, o
+), c AS (
+  SELECT t.page_key, label_id, n, dx, dy, count(b.page_key) AS collisions FROM t LEFT JOIN lines b ON b.page_key = t.page_key AND b.tolerance > 0
+    AND least(t.x1 + dx, b.x1) > greatest(t.x0 + dx, b.x0) AND least(t.y1 + dy, b.y1) > greatest(t.y0 + dy, b.y0)
+  WHERE t.x0 + dx >= 3 AND t.y0 + dy >= 3 AND t.x1 + dx <= {WIDTH} - 3 AND t.y1 + dy <= {HEIGHT} - 3 GROUP BY ALL
+)
+SELECT page_key, label_id, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, collisions FROM c
+QUALIFY row_number() OVER (PARTITION BY page_key, label_id ORDER BY CASE WHEN collisions = 0 THEN 0 ELSE 1 END, CASE WHEN collisions = 0 THEN 0 ELSE sqrt(dx * dx + dy * dy) + collisions * 10000 END, n) = 1
+""")
+def label_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return layout.place_labels(t.where("tolerance = 0").withColumnRenamed("line_id", "label_id"), t.where("tolerance > 0"), WIDTH, HEIGHT)
+
+
+@_query(f"""
+WITH {LINES_SQL}, s AS (SELECT *, CASE WHEN tolerance BETWEEN 1 AND 4 THEN '#ff33cc' ELSE '#ffff00' END AS color, x0 - 30 AS a0, x1 + CASE WHEN tolerance BETWEEN 1 AND 4 THEN 0 ELSE 60 END AS a1 FROM lines)
+SELECT l.page_key, l.line_id, CASE WHEN l.color = '#ff33cc' AND EXISTS (SELECT 1 FROM s o WHERE o.page_key = l.page_key AND o.color = '#ffff00' AND o.a1 - o.x0 >= greatest(18.0, (l.a1 - l.x0) * 1.2) AND l.a1 - l.x0 <= 36
+  AND greatest(0, greatest(l.x0, o.x0) - least(l.a1, o.a1)) <= 6 AND least(l.y1, o.y1) - greatest(l.y0, o.y0) >= 0.65 * least(l.y1 - l.y0, o.y1 - o.y0)) THEN '#ffff00' ELSE l.color END AS color FROM s l
+""")
+def absorbed_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pink = F.col("tolerance").between(1, 4)
+    t = lines(spark, sf_dir).withColumn("color", F.when(pink, tol.PINK).otherwise(tol.YELLOW)).withColumn("x1", F.col("x1") + F.when(pink, 0).otherwise(60))
+    return layout.absorb(t, tol.PINK, tol.YELLOW).select("page_key", "line_id", "color")

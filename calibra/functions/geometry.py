@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import hypot
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 class Rect(NamedTuple):
@@ -140,3 +143,62 @@ def point_segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Col
     t = F.when(length > 0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / length).otherwise(0.0)
     t = F.greatest(F.least(t, F.lit(1.0)), F.lit(0.0))
     return distance(x, y, ax + t * (bx - ax), ay + t * (by - ay))
+
+
+def _struct(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def quad_of(along: tuple[Column, Column], across: tuple[Column, Column], dx: Column, dy: Column) -> Column:
+    """The quadrilateral of two intervals, along a direction and across it."""
+    at = lambda a, c: _struct(a * dx - c * dy, a * dy + c * dx)
+    return F.array(at(along[0], across[0]), at(along[1], across[0]), at(along[1], across[1]), at(along[0], across[1]))
+
+
+def extended(base: Column, extra: Column, dx: Column, dy: Column, by: float = 0.8) -> Column:
+    """base, as long as both quadrilaterals and a bit more, as thick as it was."""
+    a, b = axis_bounds(base, dx, dy), axis_bounds(extra, dx, dy)
+    return quad_of((F.least(a[0], b[0]) - by, F.greatest(a[1], b[1]) + by), axis_bounds(base, -dy, dx), dx, dy)
+
+
+def as_thick(points: Column, dx: Column, dy: Column, thickness: Column, by: float = 0.6) -> Column:
+    """A strip of the given thickness (2.8 at least) around points, a bit longer than they are."""
+    along, across = axis_bounds(points, dx, dy), axis_bounds(points, -dy, dx)
+    middle, half = (across[0] + across[1]) / 2, F.greatest(thickness, F.lit(2.8)) / 2
+    return quad_of((along[0] - by, along[1] + by), (middle - half, middle + half), dx, dy)
+
+
+def same_region(a: Column, b: Column) -> Column:
+    """Whether two polygons are one: their boxes share 88 % of the smaller, or all points lie within 0.5 of each other."""
+    ra, rb = (Rect(*(bounds(p)[c] for c in Rect._fields)) for p in (a, b))
+    close = (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda p, q: distance(p.x, p.y, q.x, q.y) < 0.5), lambda ok: ok)
+    return (share_of_smaller(ra, rb) >= 0.88) | close
+
+
+def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """A line without the points that lie within the tolerance of what is left (Ramer, Douglas, Peucker), without recursion."""
+    keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while todo:
+        lo, hi = todo.pop()
+        (ax, ay), (bx, by) = points[lo], points[hi]
+        length = hypot(bx - ax, by - ay)
+        far, at = 0.0, -1
+        for k in range(lo + 1, hi):
+            x, y = points[k]
+            d = abs((by - ay) * (x - ax) - (bx - ax) * (y - ay)) / length if length else hypot(x - ax, y - ay)
+            if d > far:
+                far, at = d, k
+        if far > tolerance:
+            keep.add(at)
+            todo += [(lo, at), (at, hi)]
+    return [points[k] for k in sorted(keep) if k >= 0]
+
+
+def simplify(tolerance: float):
+    """A function of a column of lines (arrays of structs x, y) that simplifies each; runs in Python, batch by batch."""
+
+    @F.pandas_udf(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda line: None if line is None else [{"x": x, "y": y} for x, y in simplified([(p["x"], p["y"]) for p in line], tolerance)] if len(line) else [])
+
+    return run

@@ -47,3 +47,13 @@ def batch(candidates: DataFrame, batch_id: int) -> DataFrame:
     chosen = candidates.where("selected and not manual_required")
     w = Window.partitionBy("page_key").orderBy("y0", "x0", "line_id")
     return chosen.withColumn("batch_id", F.lit(batch_id)).withColumn("ordinal", F.row_number().over(w) - 1)
+
+
+def removed(additions: DataFrame, bands: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """additions and bands without those of (batch_id, ordinal) in gone; a band goes with an addition of which it covers 35 %."""
+    from calibra.functions import geometry as g
+
+    hit = additions.join(gone, ["batch_id", "ordinal"], "left_semi")
+    over = g.share_of_smaller(g.Rect.of("b"), g.Rect.of("a")) >= 0.35
+    left = bands.alias("b").join(hit.alias("a"), (F.col("b.page_key") == F.col("a.page_key")) & over, "left_anti")
+    return additions.join(gone, ["batch_id", "ordinal"], "left_anti"), left

@@ -146,3 +146,20 @@ def line_support(lines: DataFrame, segments: DataFrame, page: str = "page_key")
 def first_of(lines: DataFrame, key: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """The first line of each key, in the given order."""
     return lines.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def evidence_complete(candidates: DataFrame, callouts: DataFrame, page: str = "page_key") -> DataFrame:
+    """(page, n_candidates, n_trusted, complete): at least four candidates, three of them under a callout read with .90 or more."""
+    trusted = keep_where(candidates, callouts.where("score >= 0.9"), lambda a, b: g.share_of_smaller(a, b) >= 0.45, page).groupBy(page).agg(F.count("*").alias("n_trusted"))
+    total = candidates.groupBy(page).agg(F.count("*").alias("n_candidates"))
+    out = total.join(trusted, page, "left").withColumn("n_trusted", F.coalesce("n_trusted", F.lit(0).cast("long")))
+    return out.withColumn("complete", (F.col("n_candidates") >= 4) & (F.col("n_trusted") >= 3))
+
+
+def text_at(points: DataFrame, lines: DataFrame, slop: float = 5.0, page: str = "page_key") -> DataFrame:
+    """The line nearest to each point within the slop; the smaller of equals, then by line_id."""
+    r = g.Rect.of("l")
+    far = g.point_distance(F.col("p.px"), F.col("p.py"), r)
+    near = points.alias("p").join(lines.alias("l"), (F.col(f"p.{page}") == F.col(f"l.{page}")) & r.grown(slop).holds(F.col("p.px"), F.col("p.py")) & (far <= slop))
+    best = F.min(F.struct(far.alias("far"), r.area.alias("area"), F.col("l.line_id").alias("line_id"), F.col("l.text").alias("text"))).alias("m")
+    return near.groupBy(F.col("p.point_id").alias("point_id"), F.col(f"p.{page}").alias(page)).agg(best).select("point_id", page, "m.line_id", "m.text", F.col("m.far").alias("distance"))

@@ -650,3 +650,70 @@ def absorbed_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pink = F.col("tolerance").between(1, 4)
     t = lines(spark, sf_dir).withColumn("color", F.when(pink, tol.PINK).otherwise(tol.YELLOW)).withColumn("x1", F.col("x1") + F.when(pink, 0).otherwise(60))
     return layout.absorb(t, tol.PINK, tol.YELLOW).select("page_key", "line_id", "color")
+
+
+@_query(f"""
+WITH {LINES_SQL}, t AS (SELECT l.page_key, l.line_id FROM lines l WHERE tolerance = 0 AND EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.tolerance > 0 AND o.score >= 0.9 AND {_IOS} >= 0.45)),
+n AS (SELECT page_key, count(*) AS n FROM t GROUP BY 1), c AS (SELECT page_key, count(*) AS n_candidates FROM lines WHERE tolerance = 0 GROUP BY 1)
+SELECT c.page_key, n_candidates, coalesce(n.n, 0) AS n_trusted, n_candidates >= 4 AND coalesce(n.n, 0) >= 3 AS complete FROM c LEFT JOIN n ON n.page_key = c.page_key
+""")
+def evidence_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    return spatial.evidence_complete(t.where("tolerance = 0"), t.where("tolerance > 0"))
+
+
+@_query(f"""
+WITH {LINES_SQL}, p AS (SELECT event_id AS point_id, user_id AS page_key, CAST(event_id % 500 AS DOUBLE) AS px, CAST(event_id % 300 AS DOUBLE) AS py FROM events),
+d AS (SELECT point_id, l.page_key, line_id, text, (x1 - x0) * (y1 - y0) AS area, sqrt(greatest(x0 - px, px - x1, 0.0) ^ 2 + greatest(y0 - py, py - y1, 0.0) ^ 2) AS far FROM p JOIN lines l ON l.page_key = p.page_key)
+SELECT point_id, page_key, line_id, text, far AS distance FROM d WHERE far <= 5 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY far, area, line_id) = 1
+""")
+def text_at_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    points = read(spark, sf_dir, "events").select(i.alias("point_id"), F.col("user_id").alias("page_key"), (i % 500).cast("double").alias("px"), (i % 300).cast("double").alias("py"))
+    return spatial.text_at(points, lines(spark, sf_dir))
+
+
+@_query(f"""
+WITH {LINES_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY y0, x0, line_id) - 1 AS ordinal FROM lines WHERE line_id % 3 <> 0)
+SELECT page_key, CAST(ordinal AS INTEGER) AS ordinal, line_id, CAST(7 AS INTEGER) AS batch_id, text || '+' AS label FROM c
+""")
+def batch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of selected candidates, and the labels made for it, put together again by their place."""
+    t = lines(spark, sf_dir).withColumn("selected", F.col("line_id") % 3 != 0).withColumn("manual_required", F.lit(False))
+    chosen = session.batch(t, 7)
+    labels = chosen.select("batch_id", "page_key", "ordinal", F.concat("text", F.lit("+")).alias("label"))
+    return chosen.join(labels, ["batch_id", "page_key", "ordinal"]).select("page_key", "ordinal", "line_id", "batch_id", "label")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, max((x1 - x0) * (y1 - y0) / 300.0) >= 0.72 OR sum((x1 - x0) * (y1 - y0) / 300.0) >= 0.72 AS full FROM lines GROUP BY 1
+""")
+def full_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calibra.sources import readings
+
+    r = g.Rect.of()
+    return readings.full_page_images(lines(spark, sf_dir).select("page_key", r.area.alias("area"), F.lit(300.0).alias("page_area")))
+
+
+@_query(f"""
+WITH {LINES_SQL}, a AS (SELECT DISTINCT prefix, nominal FROM lines WHERE tolerance = 0 AND line_id % 2 = 0)
+SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE a.prefix = l.prefix AND a.nominal = l.nominal)) AS matched FROM lines l WHERE tolerance > 0
+""")
+def benchmark_value_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many coloured readings have a candidate of the same kind and value."""
+    t = lines(spark, sf_dir)
+    own = t.where("tolerance = 0 and line_id % 2 = 0").select("prefix", "nominal").distinct().withColumn("hit", F.lit(1))
+    return t.where("tolerance > 0").join(own, ["prefix", "nominal"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("matched"))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, x0 - 0.4 AS left, x1 + 10.4 AS right, y0 AS top, y1 AS bottom FROM lines
+""")
+def marking_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips extended over a neighbour; the oracle knows that all of them are horizontal."""
+    t = lines(spark, sf_dir)
+    corner = lambda dx: F.array(*[F.struct((F.col(x) + dx).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    box = g.bounds(g.extended(corner(0.0), corner(10.0), F.lit(1.0), F.lit(0.0), 0.4))
+    return t.select("page_key", "line_id", box.alias("b")).select("page_key", "line_id", F.col("b.x0").alias("left"), F.col("b.x1").alias("right"), F.col("b.y0").alias("top"), F.col("b.y1").alias("bottom"))

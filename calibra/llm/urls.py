@@ -71,11 +71,16 @@ class Cascade:
         size = max(1, others.agg(F.approx_count_distinct("key")).first()[0])
         out._add(own, n, min(0.5, math.sqrt(0.5) * n / size if size > n else 0.5))
         wrong = others.where(out._passes(F.col("key"), 0)).distinct().join(own, "key", "left_anti").cache()
-        inside, outside = own, wrong
+        inside, outside, made = own, wrong, [own, wrong]
         while (count := outside.count()) and len(out.levels) < 64:
             level = len(out.levels)
             out._add(outside, count, 0.5)
             inside, outside = outside, inside.where(out._passes(F.col("key"), level)).cache()
+            made.append(outside)
+        for keys in made:
+            keys.unpersist()
+        if count:
+            raise RuntimeError("two keys share every bit on 64 levels")
         return out
 
     def has(self, key: Column) -> Column:

@@ -157,6 +157,7 @@ def rgb(text: Column) -> Column:
     return F.array(*[F.conv(F.substring(text, k, 2), 16, 10).cast("double") / 255 for k in (2, 4, 6)])
 
 
+# How the deviations of a fit are written.
 FIT_DEVIATION = r"^[()（）]*(?:[+\-−－]\s*0?(?:[.,]\d+)?|0|0[.,]\d+)(?:[()（）/\s]*[+\-−－]\s*0?(?:[.,]\d+)?)*[()（）]*$"
 FIT_GLYPHS = r"^[()（）]+$"
 FIT_PIECE = r"^[()（）][0-9.,+\-()（）]{0,8}$"

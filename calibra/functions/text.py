@@ -5,7 +5,9 @@ Everything here is a column expression, but for nfkc(), which belongs at ingesti
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,6 +73,15 @@ def normalize(text: Column) -> Column:
     return F.upper(_rewrite(plain, AFTER_PREFIX))
 
 
+def normalize_text(text: str) -> str:
+    """normalize() of one text, for steps that make texts row by row; by the same rules."""
+    rules = lambda t, some: reduce(lambda x, r: re.sub(r[0], re.sub(r"\$(\d)", r"\\g<\1>", r[1]), x), some, t)
+    plain = rules(re.sub(r"\s+", "", text).translate(dict.fromkeys(map(ord, DIAMETER_SIGNS), "φ")), REWRITES)
+    if re.match("[φΦCRcr].", plain):
+        plain = plain[0] + plain[1:].replace("O", "0")
+    return rules(plain, AFTER_PREFIX).upper()
+
+
 def is_fragment(text: Column) -> Column:
     """Whether a normalised text is a piece of a tolerance and no dimension."""
     marked = text.rlike(MARK)

@@ -33,6 +33,13 @@ def test_normal_forms(spark):
     assert column(spark, [(None,)], "t string", tx.normalize(tx.nfkc("t"))) == [(None,)]
 
 
+def test_both_ways_to_normalize_agree(spark):
+    rng = random.Random(3)
+    texts = list(NORMAL) + ["".join(rng.choice("φΩCRcrMO0o12.,-−士±+。、)( 以下MAXmin$ー") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    got = column(spark, [(t,) for t in texts], "t string", "t", tx.normalize(F.col("t")))
+    assert [(t, n) for t, n in got if n != tx.normalize_text(t)] == []
+
+
 def test_fragments_and_tokens(spark):
     cases = {"05": True, "0.05": True, ".05": True, "±0.1": True, "6.2": False, "50.6±0.05": False}
     assert dict(column(spark, [(t,) for t in cases], "t string", "t", tx.is_fragment(tx.normalize(F.col("t"))))) == cases

@@ -19,6 +19,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words of the broadcast dictionary, and the longest of them; also the words kept by a worker in each of two generations.
-DICTIONARY_WORDS, DICTIONARY_LENGTH, KEPT_WORDS = 100_000, 48, 300_000
-CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+DICTIONARY_WORDS, DICTIONARY_LENGTH, KEPT_WORDS = 200_000, 48, 300_000
+PART = re.compile(f"{SPACE}+[^{SPACE}]*")
+LINE_PART = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
 
 class Pieces(NamedTuple):
@@ -43,19 +45,29 @@ class Pieces(NamedTuple):
     unknown: int
     pairs: frozenset[str]
     longest: int
+    parts_lines: bool = True
 
-    def cut(self, chunk: str) -> list[str]:
-        """Parts of a chunk between which no piece stands."""
+    def cut(self, part: str) -> list[str]:
+        """Words of a part, between which no piece stands: it is cut where no piece holds the two neighbours."""
         out, start, pairs = [], 0, self.pairs
-        for k in range(1, len(chunk)):
-            if chunk[k - 1 : k + 1] not in pairs:
-                out.append(chunk[start:k])
+        for k, pair in enumerate(map(add, part, part[1:]), 1):
+            if pair not in pairs:
+                out.append(part[start:k])
                 start = k
-        out.append(chunk[start:])
+        out.append(part[start:])
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def keys(self, text: str) -> list[str]:
+        """Parts of a text between which no piece stands. A part that starts with a space goes without it, one that starts with a line feed as it is."""
+        if not text:
+            return []
+        lines = self.parts_lines
+        if "  " not in text and SPACE not in text and text[0] != " ":
+            return (text.replace("\n", " \n") if lines else text).split(" ")
+        return [x.removeprefix(SPACE) for x in (LINE_PART if lines else PART).findall(SPACE + text.replace(" ", SPACE))]
+
+    def part(self, key: str) -> str:
+        return key if self.parts_lines and key[:1] == "\n" else SPACE + key
 
     def spell(self, char: str) -> list[int]:
         """Ids of a character that is no piece."""
@@ -126,7 +138,7 @@ def load(path: str) -> Pieces:
     pairs = frozenset(x for i in plain for x in map("".join, zip(names[i], names[i][1:])))
     if any(x[1] == SPACE and x[0] != SPACE for x in pairs):
         raise ValueError("only models whose pieces hold spaces at their start alone are supported")
-    return Pieces(unigram, {names[i]: i for i in plain}, {names[i]: p.get_score(i) for i in plain}, raw, [by_byte[b] for b in range(256)] if len(by_byte) == 256 else [], p.unk_id(), pairs, max(len(names[i]) for i in plain))
+    return Pieces(unigram, {names[i]: i for i in plain}, {names[i]: p.get_score(i) for i in plain}, raw, [by_byte[b] for b in range(256)] if len(by_byte) == 256 else [], p.unk_id(), pairs, max(len(names[i]) for i in plain), not any("\n" in x for x in pairs))
 
 
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +146,8 @@ def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     def flush() -> pa.RecordBatch:
         words: Counter[str] = Counter()
-        for chunk, n in seen.items():
-            for w in model.cut(chunk):
+        for key, n in seen.items():
+            for w in model.cut(model.part(key)):
                 words[w] += n
         seen.clear()
         return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
@@ -143,7 +155,7 @@ def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     seen: Counter[str] = Counter()
     for b in batches:
         for t in b.column(0):
-            seen.update(model.chunks(t.as_py() or ""))
+            seen.update(model.keys(t.as_py() or ""))
             if len(seen) > KEPT_WORDS:
                 yield flush()
     yield flush()
@@ -229,28 +241,36 @@ def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY_WORDS, text_co
     """(word, ids) of the corpus's most frequent words, as many as size."""
     model = load(path)
     top = count_words(docs, path, text_col).where(F.length("word") <= DICTIONARY_LENGTH).orderBy(F.desc("n"), "word").limit(size).select("word")
-    top = top.repartition(F.col("word"))
+    top = top.repartition(max(8, size // 4000), F.col("word"))  # folding is work for many tasks, few bytes as the words are
     return fold(lattice(top, piece_table(docs.sparkSession, path), model.longest), model)
 
 
 class Encoder(dict):
-    """chunk -> its ids as little-endian 32-bit numbers; keeps the chunks used lately."""
+    """key of a part -> its ids as little-endian 32-bit numbers; keeps the keys and words used lately."""
 
     def __init__(self, model: Pieces, words: dict[str, bytes]):
         super().__init__()
-        self.model, self.words, self.old = model, words, {}
+        self.model, self.words, self.old, self.folded = model, words, {}, {}
+
+    def _word(self, word: str) -> bytes:
+        if (out := self.folded.get(word)) is None:
+            if len(self.folded) >= KEPT_WORDS:
+                self.folded.clear()
+            self.folded[word] = out = array("I", self.model.fold(word)).tobytes()
+        return out
 
-    def __missing__(self, chunk: str) -> bytes:
-        if (out := self.old.get(chunk)) is None:
-            out = b"".join(self.words.get(w) or array("I", self.model.fold(w)).tobytes() for w in self.model.cut(chunk))
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.old.get(key)) is None:
+            words = self.words
+            out = b"".join([words.get(w) or self._word(w) for w in self.model.cut(self.model.part(key))])
         if len(self) >= KEPT_WORDS:
             self.old = dict(self)
             self.clear()
-        self[chunk] = out
+        self[key] = out
         return out
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.model.chunks(text))) if text else b""
+        return b"".join(map(self.__getitem__, self.model.keys(text))) if text else b""
 
 
 _encoders: dict[int, Encoder] = {}

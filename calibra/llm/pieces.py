@@ -19,7 +19,6 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +30,7 @@ SPACE = "▁"
 #: Words of the broadcast dictionary, and the longest of them; also the words kept by a worker in each of two generations.
 DICTIONARY_WORDS, DICTIONARY_LENGTH, KEPT_WORDS = 200_000, 48, 300_000
 PART = re.compile(f"{SPACE}+[^{SPACE}]*")
+PLAIN = re.compile(rf"({SPACE}[^\W\d_]+)([^\w{SPACE}\n]*)")
 LINE_PART = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
 
@@ -48,10 +48,15 @@ class Pieces(NamedTuple):
     parts_lines: bool = True
 
     def cut(self, part: str) -> list[str]:
-        """Words of a part, between which no piece stands: it is cut where no piece holds the two neighbours."""
+        """Words of a part, between which no piece stands: it is cut where no piece holds the two neighbours.
+
+        Letters with marks behind them, which most parts are, are cut between the two alone.
+        """
+        if m := PLAIN.fullmatch(part):
+            return [part] if not m[2] or m[1][-1] + m[2][0] in self.pairs else [m[1], m[2]]
         out, start, pairs = [], 0, self.pairs
-        for k, pair in enumerate(map(add, part, part[1:]), 1):
-            if pair not in pairs:
+        for k in range(1, len(part)):
+            if part[k - 1 : k + 1] not in pairs:
                 out.append(part[start:k])
                 start = k
         out.append(part[start:])

@@ -99,3 +99,23 @@ def text_size_fits(size: Column, expected: Column, marked: bool, decimal: Column
     low, high = (0.82, 1.23) if marked else (0.74, 1.13)
     share = size / expected
     return (share >= F.when(decimal & line_support, 0.56).otherwise(low)) & (share <= high)
+
+
+def marking_quality(text: Column, score: Column, structure: Column) -> Column:
+    """struct(quality, length, score) of a toleranced reading; evidence of dimension lines only breaks ties."""
+    one = lambda pattern, by: F.when(text.rlike(pattern), by).otherwise(0)
+    digits = F.length(F.regexp_replace(F.regexp_extract(text, r"^[^±+\-－−士土]*", 0), r"\D", ""))
+    q = one("[±士土]", 3) + one(r"[±士土]\d+\.\d+", 2) + one("^[φΦØ⌀]", 2) + one(r"[±士土]\d{2,}(?:\D|$)", -2) + one(r"(?i)^C\.\d", -1) + one(r"[±+\-]0\.?$|[±+\-]$", -4)
+    return F.struct((q + F.least(digits, F.lit(5))).alias("quality"), F.length(text).alias("length"), (score + structure * 0.08).alias("score"))
+
+
+def special_zone(kind: Column, bare: Column, nominal: Column, r: Rect, width: Column, height: Column, scanned: Column) -> Column:
+    """Readings in places where numbers name something else: 60 and small bare numbers at the top right, diameters above them on scans."""
+    sixty = (kind == "linear") & bare & (F.abs(nominal - 60.0) < 1e-9) & (r.y1 < 0.28 * height) & (r.x0 > 0.72 * width)
+    margin = bare & (nominal < 100) & (r.x0 > 0.84 * width) & (r.y1 < 0.30 * height)
+    return sixty | margin | (scanned & (kind == "diameter") & (r.y1 < 0.14 * height) & (r.x0 > 0.62 * width))
+
+
+def scanned_floor(kind: Column, bare: Column, score: Column) -> Column:
+    """Scores too low for a scan: bare lengths below .78, chamfers and radii below .75."""
+    return ((kind == "linear") & bare & (score < 0.78)) | (kind.isin("chamfer", "radius") & (score < 0.75))

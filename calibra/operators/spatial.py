@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions import geometry as g
+from calibra.functions.text import is_fit_deviation
 
 RECT = ("x0", "y0", "x1", "y1")
 
@@ -163,3 +164,28 @@ def text_at(points: DataFrame, lines: DataFrame, slop: float = 5.0, page: str =
     near = points.alias("p").join(lines.alias("l"), (F.col(f"p.{page}") == F.col(f"l.{page}")) & r.grown(slop).holds(F.col("p.px"), F.col("p.py")) & (far <= slop))
     best = F.min(F.struct(far.alias("far"), r.area.alias("area"), F.col("l.line_id").alias("line_id"), F.col("l.text").alias("text"))).alias("m")
     return near.groupBy(F.col("p.point_id").alias("point_id"), F.col(f"p.{page}").alias(page)).agg(best).select("point_id", page, "m.line_id", "m.text", F.col("m.far").alias("distance"))
+
+
+def recovered_fits(lines: DataFrame, page: str = "page_key") -> DataFrame:
+    """lines with `fit` and `fit_nominal` where a column of text such as φ2696 is φ26g6 read wrongly.
+
+    That is so only with the deviations of a fit right beside it, since 2696 may be a number.
+    """
+    a, b = g.Rect.of("l"), g.Rect.of("o")
+    pattern = r"^([φΦØ⌀])(\d+(?:[.,]\d+)?)96$"
+    tall = a.height / F.greatest(a.width, F.lit(1e-6)) >= 1.6
+    beside = (F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0) > -4.0) & (b.x0 - a.x1).between(-4.0, 34.0)
+    known = lines.where(F.col("text").rlike(pattern)).alias("l").where(tall).join(lines.where(is_fit_deviation(F.col("text"))).alias("o"), (F.col(f"l.{page}") == F.col(f"o.{page}")) & not_same() & beside, "left_semi")
+    number = F.regexp_extract("text", pattern, 2)
+    fits = known.select(page, "line_id", F.concat(F.regexp_extract("text", pattern, 1), number, F.lit("G6")).alias("fit"), F.replace(number, F.lit(","), F.lit(".")).cast("double").alias("fit_nominal"))
+    return lines.join(fits, [page, "line_id"], "left")
+
+
+def over_fills(marks: DataFrame, fills: DataFrame, page: str = "page_key") -> DataFrame:
+    """The marks (with a rectangle) that touch a filled polygon (points): a corner or the middle lies in it, or one of its points in the mark."""
+    r = g.Rect.of("m")
+    spots = [(r.x0, r.y0), (r.x1, r.y0), (r.x1, r.y1), (r.x0, r.y1), ((r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2)]
+    touched = F.exists("f.points", lambda p: r.holds(p.x, p.y))
+    for x, y in spots:
+        touched = touched | g.in_polygon(x, y, F.col("f.points"))
+    return marks.alias("m").join(fills.alias("f"), (F.col(f"m.{page}") == F.col(f"f.{page}")) & touched, "left_semi")

@@ -717,3 +717,37 @@ def marking_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda dx: F.array(*[F.struct((F.col(x) + dx).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
     box = g.bounds(g.extended(corner(0.0), corner(10.0), F.lit(1.0), F.lit(0.0), 0.4))
     return t.select("page_key", "line_id", box.alias("b")).select("page_key", "line_id", F.col("b.x0").alias("left"), F.col("b.x1").alias("right"), F.col("b.y0").alias("top"), F.col("b.y1").alias("bottom"))
+
+
+_query(name="strip_thickness")(lambda spark, sf_dir: consensus.by_page(_dense(spark, sf_dir).withColumn("text", tol.highlight(F.col("kind"), F.col("nominal") / 50)), layout.as_thick_beside))
+
+
+@_query(f"""
+WITH {LINES_SQL}, t AS (SELECT page_key, line_id, x0, y0, x0 + 8 AS x1, y0 + 40 AS y1, CASE WHEN line_id % 2 = 1 THEN 'φ' || CAST(CAST(nominal AS INTEGER) AS VARCHAR) || '96' ELSE '(-0.00' || CAST(line_id % 9 AS VARCHAR) || ')' END AS text, nominal FROM lines)
+SELECT page_key, line_id, CASE WHEN line_id % 2 = 1 AND EXISTS (SELECT 1 FROM t o WHERE o.page_key = l.page_key AND o.line_id % 2 = 0 AND least(l.y1, o.y1) - greatest(l.y0, o.y0) > -4 AND o.x0 - l.x1 BETWEEN -4 AND 34) THEN 'φ' || CAST(CAST(nominal AS INTEGER) AS VARCHAR) || 'G6' END AS fit FROM t l
+""")
+def recovered_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.col("line_id") % 2 == 1
+    text = F.when(odd, F.concat(F.lit("φ"), F.col("nominal").cast("int").cast("string"), F.lit("96"))).otherwise(F.concat(F.lit("(-0.00"), (F.col("line_id") % 9).cast("string"), F.lit(")")))
+    t = lines(spark, sf_dir).select("page_key", "line_id", text.alias("text"), "x0", "y0", (F.col("x0") + 8).alias("x1"), (F.col("y0") + 40).alias("y1"))
+    return spatial.recovered_fits(t).select("page_key", "line_id", "fit")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id FROM lines WHERE (prefix = '' AND nominal < 100 AND x0 > 0.84 * {WIDTH} AND y1 < 0.30 * {HEIGHT}) OR (prefix = '' AND nominal = 60 AND y1 < 0.28 * {HEIGHT} AND x0 > 0.72 * {WIDTH})
+   OR (line_id % 2 = 0 AND prefix = 'φ' AND y1 < 0.14 * {HEIGHT} AND x0 > 0.62 * {WIDTH})
+""")
+def special_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    zone = predicates.special_zone(tx.kind(F.col("prefix"), F.lit("")), F.col("prefix") == "", F.col("nominal"), g.Rect.of(), F.lit(WIDTH), F.lit(HEIGHT), F.col("line_id") % 2 == 0)
+    return t.where(zone).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, CAST(CASE WHEN tolerance > 0 THEN 5 ELSE 0 END + CASE WHEN prefix = 'φ' THEN 2 ELSE 0 END + length(CAST(CAST(nominal AS INTEGER) AS VARCHAR)) AS INTEGER) AS quality, CAST(length(text) AS INTEGER) AS length, round(score + 0.04, 6) AS score FROM lines
+""")
+def marking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = predicates.marking_quality(F.col("text"), F.col("score"), F.lit(0.5))
+    return lines(spark, sf_dir).select("page_key", "line_id", q.alias("q")).select("page_key", "line_id", "q.quality", "q.length", F.round("q.score", 6).alias("score"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from functools import partial
 from itertools import combinations
@@ -32,12 +31,16 @@ BINS = 4096
 #: Most labelled rows that the classifiers are fitted on; they are spread evenly over the languages.
 SAMPLE_ROWS = 2400
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that aren't letters part words.
 SPACED = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 PIECE = 1 << 20
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return any(map(str.isalpha, text or ""))
+
+
 def counts(text: str) -> np.ndarray:
     """Hashed counts of the byte trigrams and bigrams of the whole lower-cased text, with runs of non-letters as one space."""
     raw = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(SPACED).split()) + b" "
@@ -81,7 +84,7 @@ class Model(NamedTuple):
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and a score from 0 to 1; UNKNOWN and 0 for a text without a letter."""
-        if not text or not self.families or not LETTER.search(text):
+        if not self.families or not has_letter(text):
             return UNKNOWN, 0.0
         x = vector(text)
         margin = lambda w: float(x @ w[:-1] + w[-1])
@@ -120,7 +123,7 @@ def fit(x: np.ndarray, langs: Sequence[str]) -> Model:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [t.as_py() for t in b.column(1)]
-        keep = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        keep = [k for k, t in enumerate(texts) if has_letter(t)]
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([vector(texts[k]).astype(np.float16).tobytes() for k in keep], pa.binary())], names=["lang", "x"])
 
 

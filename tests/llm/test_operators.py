@@ -284,7 +284,7 @@ def test_language_identification(spark):
     stems = {"en": "the with and of thing", "de": "der und nicht schön zeit", "fr": "le est dans être aux", "es": "el los ñandú ción que"}
     rng = np.random.default_rng(2)
     rows_ = [(k, " ".join(rng.choice(stems[lang].split(), 30)), lang, None, 1) for k in range(400) for lang in [sorted(stems)[k % 4]]]
-    rows_ += [(1000, None, "en", None, 0), (1001, "12 !? 34", "en", None, 0), (1002, "", "de", None, 0), (None, "the thing", "en", None, 0)]
+    rows_ += [(1000, None, "en", None, 0), (1001, "12 !? 34 ² ½ Ⅷ _", "en", None, 0), (1002, "", "de", None, 0), (None, "the thing", "en", None, 0)]
     df = spark.createDataFrame(rows_, DOCS)
     got = langid.identify(df).collect()
     held = [r for r in got if r.held_out]

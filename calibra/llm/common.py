@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from itertools import accumulate
 
 import numpy as np
@@ -35,6 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage.
+
+    Plans go with one round and their shuffles with the next; Spark's cleaner works on its own thread, between them.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def space_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space (space, \\t, \\n, \\v, \\f, \\r), A-Z lower-cased; none for null."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []

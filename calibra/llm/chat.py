@@ -34,10 +34,15 @@ def perspectives(turns: DataFrame, system_roles: Sequence[str] = ("system",), pa
     """
     role = F.coalesce("role", F.lit("unknown"))
     number = F.coalesce(F.floor(F.col("turn") / part).cast("long"), F.lit(-1).cast("long"))
-    rows = turns.select("conv_id", number.alias("part"), F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    speakers = rows.where(~F.col("role").isin(*system_roles)).select("conv_id", F.col("role").alias("speaker")).distinct()
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    both = parts.join(speakers.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
+    # a null conv_id gets a key of its own, so that plain equality deals and joins all rows alike
+    key = [F.coalesce("conv_id", F.lit(0).cast(turns.schema["conv_id"].dataType)).alias("key"), F.col("conv_id").isNull().alias("no_key")]
+    rows = turns.select("conv_id", *key, number.alias("part"), F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # who speaks in which part is found without the texts, which are shuffled once
+    roles = rows.select("key", "no_key", "part", "role").distinct()
+    speakers = roles.where(~F.col("role").isin(*system_roles)).select("key", "no_key", F.col("role").alias("speaker")).distinct()
+    wanted = roles.select("key", "no_key", "part").distinct().join(speakers, ["key", "no_key"])
+    parts = rows.groupBy("key", "no_key", "part").agg(F.max("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    both = parts.join(wanted, ["key", "no_key", "part"])
     own = lambda t: t.role == F.col("speaker")
     who = lambda t: F.when(own(t), "assistant").when(t.role.isin(*system_roles), "system").otherwise(F.concat(F.lit("user name="), _safe(t.role)))
     lines = F.transform("turns", lambda t: F.struct(own(t).alias("own"), F.concat(F.lit(OPEN), who(t), F.lit("\n")).alias("head"), F.concat(_safe(t.text), F.lit(CLOSE)).alias("body")))

@@ -369,6 +369,22 @@ def test_documents_that_are_copies_go_whole(spark):
     assert {r.doc_id for r in passages.drop_repeats(docs(spark, texts)).collect()} == {1, 3}
 
 
+def test_a_passage_is_found_behind_documents_that_hold_pieces_of_it(spark):
+    texts, want = [], set()
+    for k in range(0, 100, 10):
+        shared_ = prose(2100 + k, 60).split()
+        parts = [shared_[:46], shared_[14:], shared_, shared_]
+        texts += [(k + j, " ".join([prose(2200 + k + j, 50), *part, prose(2400 + k + j, 50)])) for j, part in enumerate(parts)]
+        want.add((k + 3, k + 2, 50, 110))
+    # the first holder has the passage's line at another place before
+    line = prose(2001, 45).split()
+    passage = [*line, *prose(2003, 5).split()]
+    texts += [(900, " ".join([*line, prose(2004, 60), *passage])), (901, " ".join([prose(2005, 50), *passage, prose(2006, 50)]))]
+    want.add((901, 900, 50, 100))
+    got = passages.links(docs(spark, texts)).collect()
+    assert {(r.doc_id, r.other_id, r.start_word, r.end_word) for r in got} == want
+
+
 # --- URLs
 
 

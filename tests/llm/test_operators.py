@@ -385,6 +385,23 @@ def test_a_passage_is_found_behind_documents_that_hold_pieces_of_it(spark):
     assert {(r.doc_id, r.other_id, r.start_word, r.end_word) for r in got} == want
 
 
+@given(st.lists(st.integers(0, 4), min_size=0, max_size=80), st.integers(2, 12))
+@settings(max_examples=200, deadline=None)
+def test_every_run_holds_an_anchor_of_its_least_value(values, least):
+    x = np.array(values, np.uint64)
+    l, c, r = passages.compact_windows(x, least)
+    for s in range(len(x) - least + 1):
+        if x[s : s + least].all():
+            assert any(a <= s <= k < s + least <= e + 1 and x[k] == x[s : s + least].min() for a, k, e in zip(l, c, r))
+
+
+def test_a_long_stretch_of_a_repeated_line_is_shared_whole(spark):
+    stretch = (prose(3000, 10) + " ") * 2000
+    texts = [(1, prose(3001, 300) + " " + stretch + prose(3002, 300)), (2, prose(3003, 200) + " " + stretch + prose(3004, 200)), (3, stretch)]
+    kept = {r.doc_id: r.text for r in passages.drop_repeats(docs(spark, texts)).collect()}
+    assert kept == {1: texts[0][1], 2: prose(3003, 200) + " " + prose(3004, 200)}
+
+
 # --- URLs
 
 

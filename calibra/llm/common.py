@@ -5,12 +5,18 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
+from collections.abc import Callable, Hashable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+_FACTOR = 0x9E3779B97F4A7C15
 #: Maps A-Z to a-z and leaves every other byte as it is.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -20,15 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="calibra-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is named a local session gets a folder of its own, and a cluster an error."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="calibra-checkpoint-"))
+    return named or sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/calibra-{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,6 +48,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys of a list that is sent to every task.
+BROADCAST_ROWS = 500_000
+
+
+def drop_keys(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of docs but those whose key stands in gone's only column; rows with a null key stay.
+
+    A list of up to BROADCAST_ROWS keys goes to every task, and docs needn't be shuffled; a longer one is joined.
+    """
+    gone = cut(gone.toDF("gone").where("gone is not null").distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    names = docs.columns
+    rows = docs.withColumn(own := f"key_{uuid.uuid4().hex}", key)
+    rows = rows.toDF(*(f"c{k}" for k in range(len(names))), own)
+    return rows.join(gone, F.col(own) == F.col("gone"), "left_anti").drop(own).toDF(*names)
+
+
 def release(spark: SparkSession) -> None:
     """Frees the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage.
 
@@ -62,23 +91,6 @@ def shingle_spans(words: list[bytes], width: int) -> tuple[bytes, list[int], lis
     return joined, starts[: len(words) - width + 1] if words else [], [e - 1 for e in ends[width - 1 :]] if words else []
 
 
-class WordHash(dict):
-    """XXH64 of words, kept for the words seen lately; bounded."""
-
-    def __init__(self, seed: int = 0, limit: int = 300_000):
-        super().__init__()
-        self.seed, self.limit = seed, limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, over a whole array."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -91,8 +103,76 @@ def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = h[:n].copy()
-    for k in range(1, width):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += h[k : k + n]
-    return mix(out)
+    out, have, part, size, factor = None, 0, h, 1, _FACTOR
+    while True:  # part: runs of size neighbours, doubled; those that add up to width are put one behind the other
+        if width & size:
+            out = part[:n] if out is None else out * np.uint64(factor) + part[have : have + n]
+            have += size
+        if have == width:
+            return mix(out)
+        part = part[: len(part) - size] * np.uint64(factor) + part[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+
+
+class Recent(dict):
+    """make(key) by key, for the keys asked for lately: two generations of at most `limit` keys. Longer keys than `longest` aren't kept, so its bytes are bounded too."""
+
+    def __init__(self, make: Callable, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        if (out := self.old.get(key)) is None:
+            out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+_kept: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable):
+    """What this worker keeps for the operator that runs, made by make(). What it kept for another goes: Spark goes on using its workers, and caches would add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+#: A number for each byte, 0 where words part: of words between ASCII white space, of the same with A-Z as a-z, and of words of [0-9a-z] and non-ASCII characters.
+CASED = np.array([xxhash.xxh64_intdigest(bytes([c])) | 1 for c in range(256)], np.uint64)
+CASED[[9, 10, 11, 12, 13, 32]] = 0
+SPACED = CASED.copy()
+SPACED[65:91] = SPACED[97:123]
+SPELT = SPACED.copy()
+SPELT[[c for c in range(128) if not chr(c).isalnum()]] = 0
+#: Bytes of text whose words are hashed at a time.
+CHUNK_BYTES = 1 << 18
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _FACTOR modulo 2^64, and of its inverse."""
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, x, np.uint64))]) for x in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+
+
+def hash_words(data: np.ndarray, numbers: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of the bytes, as a polynomial of its bytes' numbers. A word also starts at each of `breaks`."""
+    n = len(data)
+    value = numbers[data]
+    inside = value != 0
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    breaks = breaks[(breaks > 0) & (breaks < n)]
+    first[breaks] = inside[breaks]
+    last[breaks - 1] = inside[breaks - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last)
+    up, down = _powers(max(n, 2 * CHUNK_BYTES))
+    value *= up[:n]
+    total = np.cumsum(value)
+    return mix((total[end] - total[start] + value[start]) * down[start]), start, end + 1

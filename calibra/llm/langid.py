@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Language codes by family. Fixed values; a language that isn't named is a family of its own.
@@ -28,7 +28,7 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BINS = 4096
-#: Most labelled rows that the classifiers are fitted on; they are spread evenly over the languages.
+#: Most labelled rows that the classifiers are fitted on; languages have equal shares of them.
 SAMPLE_ROWS = 2400
 UNKNOWN = "und"
 #: ASCII bytes that aren't letters part words.
@@ -122,9 +122,10 @@ def fit(x: np.ndarray, langs: Sequence[str]) -> Model:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [t.as_py() for t in b.column(1)]
+        texts = [t.as_py() for t in b.column(2)]
         keep = [k for k, t in enumerate(texts) if has_letter(t)]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([vector(texts[k]).astype(np.float16).tobytes() for k in keep], pa.binary())], names=["lang", "x"])
+        some = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array([vector(texts[k]).astype(np.float16).tobytes() for k in keep], pa.binary())], names=["lang", "draw", "x"])
 
 
 def _predict(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,19 +139,22 @@ def _learnable(id_col: str) -> Column:
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits the classifiers on at most about sample_rows rows (twice as many are never exceeded), alike from every language.
+    """Fits the classifiers on at most sample_rows rows (or one of each language), as many from every language as it has, up to an equal share.
 
-    Rows are drawn by a hash of their id from all rows with a language whose id isn't held out, so the draw is the same
-    on every run. Without such rows the model knows no language and predicts UNKNOWN.
+    Of each language's rows whose id isn't held out and whose text has a letter, those with the least hashes of their id
+    are taken, so they are the same on every run. Each task makes vectors of its rows before any are gathered; a task
+    sees all rows of a language only if they are few. Without such rows the model knows no language and predicts UNKNOWN.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(_learnable("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit("draw")).alias("draw"), F.col(text_col).alias("text")).where(_learnable(id_col) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     have = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not have:
         return Model({}, {}, {})
     each = max(1, sample_rows // len(have))
-    share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, each / n)) for k, n in sorted(have.items())])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text").limit(2 * max(sample_rows, len(have)))
-    got = sorted((r.lang, bytes(r.x)) for r in drawn.mapInArrow(_vectors, "lang string, x binary").collect())
+    # so much more than the share that texts without a letter and chance leave enough
+    share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, (1.5 * each + 30) / n)) for k, n in sorted(have.items())])
+    drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).withColumn("draw", F.pmod("draw", F.lit(1 << 30))).mapInArrow(_vectors, "lang string, draw long, x binary")
+    least = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "x"))).where(F.col("k") <= each)
+    got = sorted((r.lang, bytes(r.x)) for r in least.select("lang", "x").collect())
     if not got:
         return Model({}, {}, {})
     return fit(np.stack([np.frombuffer(x, np.float16) for _, x in got]).astype(np.float32), [k for k, _ in got])
@@ -178,6 +182,10 @@ def _keep(model, at: int, least: float, batches: Iterator[pa.RecordBatch]) -> It
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is identified with at least the given score, all columns as they were. Rows of UNKNOWN language go."""
+    """The rows of docs whose language is identified with at least the given score, all columns as they were, whatever their names.
+
+    Rows of UNKNOWN language go: null texts and texts without a letter among them. Repeated rows and rows with a null id
+    are judged by their text, like any other. An empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, sample_rows, id_col, text_col, lang_col))
     return docs.mapInArrow(partial(_keep, sent, docs.columns.index(text_col), least), docs.schema)

@@ -23,12 +23,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibra.llm.common import CASED, Recent, kept, mix
+from calibra.llm.wordtable import WordTable, by_text, chunks
+
 SPACE = "▁"
 #: Words of the broadcast dictionary, and the longest of them; also the words kept by a worker in each of two generations.
-DICTIONARY_WORDS, DICTIONARY_LENGTH, KEPT_WORDS = 200_000, 48, 300_000
+DICTIONARY_WORDS, DICTIONARY_LENGTH, KEPT_WORDS = 200_000, 48, 200_000
 PART = re.compile(f"{SPACE}+[^{SPACE}]*")
 PLAIN = re.compile(rf"({SPACE}[^\W\d_]+)([^\w{SPACE}\n]*)")
 LINE_PART = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
@@ -250,52 +254,73 @@ def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY_WORDS, text_co
     return fold(lattice(top, piece_table(docs.sparkSession, path), model.longest), model)
 
 
-class Encoder(dict):
-    """key of a part -> its ids as little-endian 32-bit numbers; keeps the keys and words used lately."""
+#: Words part at spaces, which go, and before line feeds, which stay.
+AT_SPACES = CASED.copy()
+AT_SPACES[9:14] = mix(np.arange(9, 14, dtype=np.uint64))
 
-    def __init__(self, model: Pieces, words: dict[str, bytes]):
-        super().__init__()
-        self.model, self.words, self.old, self.folded = model, words, {}, {}
-
-    def _word(self, word: str) -> bytes:
-        if (out := self.folded.get(word)) is None:
-            if len(self.folded) >= KEPT_WORDS:
-                self.folded.clear()
-            self.folded[word] = out = array("I", self.model.fold(word)).tobytes()
-        return out
 
-    def __missing__(self, key: str) -> bytes:
-        if (out := self.old.get(key)) is None:
-            words = self.words
-            out = b"".join([words.get(w) or self._word(w) for w in self.model.cut(self.model.part(key))])
-        if len(self) >= KEPT_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
-        return out
+class Encoder:
+    """The ids of texts, from a table of the keys (see Pieces.keys) that this worker has met."""
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.model.keys(text))) if text else b""
+    def __init__(self, model: Pieces, words: dict[str, bytes]):
+        self.model, self.words, self.table = model, words, WordTable(self._key)
+        self.folded = Recent(lambda word: array("I", model.fold(word)).tobytes(), KEPT_WORDS)
+
+    def _ids(self, part: str) -> bytes:
+        return b"".join([self.words.get(w) or self.folded[w] for w in self.model.cut(part)])
+
+    def _key(self, raw: bytes) -> tuple[bytes, bool]:
+        """The ids of a key's part, and whether they decode to it."""
+        part = self.model.part(raw.decode("utf-8", "surrogatepass"))
+        ids = self._ids(part)
+        return ids, b"".join(map(self.model.raw.__getitem__, array("I", ids))) == part.encode("utf-8", "surrogatepass")
+
+    def text(self, text: str) -> tuple[bytes, bool]:
+        """The same of a text by itself."""
+        ids = b"".join(map(self._ids, map(self.model.part, self.model.keys(text))))
+        return ids, self.model.decode(array("I", ids)) == text.replace(SPACE, " ")
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids of some texts, one behind the other; how many each has; whether they decode to it), until all texts have come."""
+        odd = np.zeros(len(texts), bool)
+        for mark in ("  ", " \n", SPACE):
+            odd |= pc.match_substring(texts, mark).fill_null(False).to_numpy(zero_copy_only=False)
+        for at, mark in ((pc.starts_with, " "), (pc.starts_with, "\n"), (pc.ends_with, " ")):
+            odd |= at(texts, mark).fill_null(False).to_numpy(zero_copy_only=False)
+        for lo, hi, alone in _runs(odd):
+            if alone:
+                for t in texts.slice(lo, hi - lo).to_pylist():
+                    ids, exact = self.text(t)
+                    yield np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]), np.array([exact])
+                continue
+            rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for c in chunks(texts.slice(lo, hi - lo), AT_SPACES, 10 if self.model.parts_lines else -1):
+                ids, sizes = self.table.look(c)
+                wrong = np.concatenate([[0], np.cumsum(~self.table.flags())])
+                ends = np.concatenate([[0], np.cumsum(c.counts)])
+                rest.append((ids, by_text(c, sizes), wrong[ends[1:]] == wrong[ends[:-1]]))
+                if not c.more:
+                    yield rest[0] if len(rest) == 1 else (np.concatenate([x for x, _, _ in rest]), np.array([sum(len(x) for x, _, _ in rest)]), np.array([all(x[0] for _, _, x in rest)]))
+                    rest = []
 
 
-_encoders: dict[int, Encoder] = {}
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """Stretches (from, to, value) of equal values."""
+    edges = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else []
+    for lo, hi in zip(edges, edges[1:]):
+        yield lo, hi, bool(x[lo])
 
 
 def _encode(path: str, words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if words.id not in _encoders:
-        _encoders.clear()
-        _encoders[words.id] = Encoder(load(path), words.value)
-    encoder = _encoders[words.id]
-    model = encoder.model
+    encoder = kept(("pieces", path, words.id), lambda: Encoder(load(path), words.value))
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
-            texts = part.column(1).to_pylist()
-            ids = [encoder.encode(t) for t in texts]
-            exact = [(t is None) or model.decode(array("I", x)) == t.replace(SPACE, " ") for t, x in zip(texts, ids)]
-            offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(exact, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "n_pieces", "ids_crc32", "exact", "ids"])
+        row = 0
+        for ids, n, exact in encoder.encode(b.column(1)):
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            raw, at = memoryview(np.ascontiguousarray(ids)).cast("B"), (4 * offsets).tolist()
+            values = pa.array(ids.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(n)), pa.array(n.astype(np.int64)), pa.array([zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:])], pa.int64()), pa.array(exact, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "n_pieces", "ids_crc32", "exact", "ids"])
+            row += len(n)
 
 
 class _Words(NamedTuple):

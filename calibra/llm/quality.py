@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import WordHash, cut, run_hashes
+from calibra.llm.common import CASED, cut, run_hashes
+from calibra.llm.wordtable import text_hashes
 
 #: Common function words of several European languages. Fixed values.
 STOP_WORDS = frozenset("the of and to in is that it for with on this by are und der die das ist nicht zu mit ein eine le la les des et est que une dans pour de el los las del un por con".encode().split())
@@ -24,7 +25,6 @@ DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
 WINDOW = 3
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_stop", "n_shout")
-_hashes = WordHash()
 
 
 def features(text: str | None) -> tuple[int, ...]:
@@ -42,7 +42,7 @@ def features(text: str | None) -> tuple[int, ...]:
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     repeated = 0
     if n > WINDOW:
-        runs = run_hashes(_hashes.of(words), WINDOW)
+        runs = run_hashes(text_hashes(text, CASED), WINDOW)
         ordered = np.sort(runs)
         again = ordered[1:][ordered[1:] == ordered[:-1]]
         if len(again):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.llm import chat, decontam, langid, licenses, passages, pieces, quality, simhash, tokenfiles, urls
-from calibra.llm.common import checkpoint_dir, table
+from calibra.llm.common import scratch, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    path = f"{checkpoint_dir(spark)}/calibra-tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     tokenfiles.write(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     return tokenfiles.digest(tokenfiles.read(spark, path))
 

@@ -2,9 +2,11 @@
 
 A shard is the set of distinct fingerprints that agree in two of four 16-bit blocks: two fingerprints that differ in
 at most two bits agree in at least two blocks, so every link lies within a shard. A shard of more than NODES
-fingerprints is dealt into pieces of about that size. A BK-tree is built over each piece and sent to each slice of
-the same shard's fingerprints; so a tree that is sent has a bounded size, and no task holds more than a tree and a
-slice. Within a tree the children are keyed by their distance to the parent, and a search follows only edges within
+fingerprints is parted in the same way by the other 32 bits: those that agree in two of their four bytes as well make a
+shard, which 16 bits bound to 65,536 fingerprints. What is still larger than NODES is dealt into pieces of about that
+size, 32 at most. A BK-tree is built over each piece and sent to each slice of the same shard's fingerprints; so a tree
+that is sent has a bounded size, no task holds more than a tree and a slice, and rows grow as the fingerprints do.
+Within a tree the children are keyed by their distance to the parent, and a search follows only edges within
 the radius of its own distance.
 """
 
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import cut, shingle_spans, space_words
+from calibra.llm.common import cut, drop_keys, shingle_spans, space_words
 from calibra.llm.graph import components
 
 NODES = 2048
@@ -115,11 +117,11 @@ def shard_links(tree: list[tuple[int, int]], queries: list[tuple[int, int]] | No
 
 
 def _links(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (combo, block, a, b, own); those with own = a are the tree, the others the slice to search."""
+    """Rows come sorted by (combo, block, part, a, b, own); those with own = a are the tree, the others the slice to search."""
     now, tree, queries = None, [], []
 
     def done() -> Iterator[pa.RecordBatch]:
-        if now and (found := shard_links(tree, None if now[2] == now[3] else queries, radius)):
+        if now and (found := shard_links(tree, None if now[3] == now[4] else queries, radius)):
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
@@ -127,7 +129,7 @@ def _links(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             if group != now:
                 yield from done()
                 now, tree, queries = group, [], []
-            (tree if own == group[2] else queries).append((fp & 0xFFFFFFFFFFFFFFFF, i))
+            (tree if own == group[3] else queries).append((fp & 0xFFFFFFFFFFFFFFFF, i))
     yield from done()
 
 
@@ -149,14 +151,21 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: st
     fps = cut(fingerprints(docs, width, id_col, text_col))
     firsts = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"))
     pairs = list(combinations(range(4), 2))
-    block = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*[F.struct(F.lit(n).alias("combo"), (block(i) * 65536 + block(j)).alias("block")) for n, (i, j) in enumerate(pairs)])
+    bits = lambda k, n: F.shiftrightunsigned("fp", n * k).bitwiseAND(F.lit((1 << n) - 1))
+    keys = F.array(*[F.struct(F.lit(n).alias("combo"), (bits(i, 16) * 65536 + bits(j, 16)).alias("block")) for n, (i, j) in enumerate(pairs)])
     keyed = firsts.select("fp", "id", F.explode(keys).alias("k")).select("fp", "id", "k.combo", "k.block")
-    sizes = keyed.groupBy("combo", "block").agg(F.count("*").alias("n")).where("n > 1").withColumn("pieces", F.ceil(F.col("n") / NODES).cast("int"))
-    dealt = keyed.join(sizes, ["combo", "block"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    sizes = keyed.groupBy("combo", "block").agg(F.count("*").alias("n")).where("n > 1")
+    sharded = keyed.join(sizes, ["combo", "block"])
+    # the four bytes that a shard doesn't fix, by its number; two of them are equal wherever two bits differ at most
+    free = [[2 * k + b for k in range(4) if k not in pair for b in (0, 1)] for pair in pairs]
+    parts = F.array(*[F.array(*[F.lit(n * 65536) + bits(own[i], 8) * 256 + bits(own[j], 8) for n, (i, j) in enumerate(pairs)]) for own in free])
+    large = sharded.where(F.col("n") > NODES).withColumn("part", F.explode(F.get(parts, F.col("combo")))).drop("n")
+    counted = large.groupBy("combo", "block", "part").agg(F.count("*").alias("n")).where("n > 1")
+    sharded = sharded.where(F.col("n") <= NODES).withColumn("part", F.lit(-1).cast("long")).unionByName(large.join(counted, ["combo", "block", "part"]))
+    dealt = sharded.withColumn("pieces", F.ceil(F.col("n") / NODES).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
-    dealt = dealt.select("combo", "block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "id")
-    group = ["combo", "block", "a", "b"]
+    dealt = dealt.select("combo", "block", "part", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "id")
+    group = ["combo", "block", "part", "a", "b"]
     links = dealt.repartition(*group).sortWithinPartitions(*group, "own", "fp").mapInArrow(partial(_links, radius), "a long, b long")
     roots = components(links)
     firsts = firsts.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
@@ -164,10 +173,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: st
 
 
 def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group of near-duplicates, with all its columns.
+    """The rows of docs whose id names their component: one document of each group of near-duplicates, with all its columns, whatever their names.
 
-    Rows that repeat the kept id all stay; rows with a null id have no group they could name, and stay.
+    Rows that repeat the kept id all stay; rows with a null id have no group they could name, and stay. An empty table
+    gives an empty one.
     """
     out = near_duplicates(docs, radius, width, id_col, text_col)
-    gone = out.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return drop_keys(docs, F.col(id_col).cast("long"), out.where("component_id <> doc_id").select("doc_id"))

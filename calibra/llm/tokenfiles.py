@@ -6,11 +6,11 @@ the other columns can be read, and rows chosen by the statistics of row groups a
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calibra.llm.common import CASED, Recent, kept
+from calibra.llm.wordtable import WordTable, by_text, chunks
+
 END_ID = 2
-#: Words kept by a worker: two generations of at most this many.
-KEPT_WORDS = 350_000
+#: Letters of words kept by a worker, in each of two generations.
+KEPT_LETTERS = 200_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 64 << 10, 1000
-#: Latin letters up to U+017E whose lower case is one letter and that no normalisation changes, then marks.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+)([.,;:!?|]*)")
+#: Latin letters up to U+017E whose lower case is one letter and that no normalisation changes, and ASCII marks that neither start a contraction nor a special token.
+LETTERS = frozenset(map(chr, (*range(65, 91), *range(97, 123), *range(0xC0, 0x130), *range(0x132, 0x149), *range(0x14A, 0x17F)))) - {"×", "÷"}
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
+#: The steps before the merges of a tokenizer that takes words one by one. Fixed values.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -33,69 +45,95 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """raw word -> its ids as little-endian 32-bit numbers, for words between ASCII white space.
+def _numbers(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class WordEncoder:
+    """For a tokenizer that drops white space and merges nothing over it: a text's ids are those of its words in turn.
 
-    The tokenizer drops white space and merges nothing over it, so a text's ids are those of its words in turn. Words
-    used lately are kept.
+    Words between ASCII white space are kept in a table, and the letters of the words used lately in lower case: most
+    new words are known letters with other marks behind them. Both are bounded.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words come here once; to keep them there as well takes a third of the time
+        self.runs = Recent(self._run, KEPT_LETTERS)
+        self.words = WordTable(self._word)
+
+    def _run(self, run: bytes) -> bytes:
+        return _numbers([t.id for t in self.model.tokenize(run.decode() if run.isascii() else run.decode("latin-1").translate(self.letters))])
+
+    def _word(self, raw: bytes) -> tuple[bytes, bool]:
+        letters = raw.rstrip(MARKS)
+        if letters.isalpha():
+            known = letters.lower()
+        elif letters and LETTERS.issuperset(word := letters.decode("utf-8", "surrogatepass")):
+            known = word.lower().encode()
+        else:
+            return _numbers(self.tokenizer.encode(raw.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids), True
+        return (self.runs[known] + self.runs[marks] if (marks := raw[len(letters) :]) else self.runs[known]), True
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some texts, one behind the other; how many each text has), until all texts have come."""
+        rest: list[np.ndarray] = []
+        for c in chunks(texts, CASED):
+            ids, sizes = self.words.look(c)
+            rest.append(ids)
+            if not c.more:
+                yield (rest[0], by_text(c, sizes)) if len(rest) == 1 else (np.concatenate(rest), np.array([sum(map(len, rest))]))
+                rest = []
+
+
+class TextEncoder:
+    """The same for any other tokenizer: whole texts, by the library."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.old = self.tokenizer.model, _byte_letters(), {}
-        self.runs: dict[str, bytes] = {}
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for t in texts.to_pylist():
+            ids = np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32)
+            yield ids, np.array([len(ids)])
 
-    def _run(self, run: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def __missing__(self, raw: bytes) -> bytes:
-        if (out := self.old.get(raw)) is None:
-            word = raw.decode("utf-8", "surrogatepass")
-            if m := PLAIN.fullmatch(word):
-                out = self._run(m[1].lower())
-                if marks := m[2]:
-                    if marks not in self.runs and len(self.runs) < 10_000:
-                        self.runs[marks] = self._run(marks)
-                    out += self.runs.get(marks) or self._run(marks)
-            else:
-                out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= KEPT_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[raw] = out
-        return out
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    return kept(path, partial(_encoder, path))
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split())) if text else b""
 
+def _encoder(path: str) -> WordEncoder | TextEncoder:
+    from tokenizers import Tokenizer
 
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    tokenizer = Tokenizer.from_file(path)
+    made = json.loads(tokenizer.to_str())
+    by_words = all(made[k] == v for k, v in WORD_STEPS.items()) and made["model"]["type"] == "BPE" and not any(made.get(k) for k in ("truncation", "padding")) and all(x["special"] for x in made["added_tokens"])
+    return WordEncoder(tokenizer) if by_words and not any(made["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix")) else TextEncoder(tokenizer)
 
 
 def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the shard, which is the number of the partition, and each document's place in it."""
-    words, end, at, shard = encoder(path), array("I", [end_id]).tobytes(), 0, TaskContext.get().partitionId()
+    encode, at, shard = encoder(path).encode, 0, TaskContext.get().partitionId()
     for b in batches:
-        for lo in range(0, b.num_rows, 2000):
-            part = b.slice(lo, 2000)
-            ids = [words.encode(t.as_py()) + end for t in part.column(1)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(ids), shard), pa.int32()), pa.array(at + offsets[:-1]), pa.array(n), lists], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
-            at += int(offsets[-1])
+        row = 0
+        for ids, n in encode(b.column(1)):
+            to, ends = row + len(n), np.cumsum(n + 1)
+            out = np.full(int(ends[-1]), end_id, np.uint32)
+            inside = np.ones(len(out), bool)
+            inside[ends - 1] = False
+            out[inside] = ids
+            offsets = np.concatenate([[0], ends])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(n)), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at + offsets[:-1]), pa.array(n + 1), lists], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+            at, row = at + len(out), to
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, encoding: str = "dictionary", id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every row's whole text and writes token files to path, which must not exist.
 
-    tokenizer: file of a tokenizer that drops white space, to be found on every executor. encoding: dictionary or delta,
+    tokenizer: file of a tokenizer, to be found on every executor; one that takes words one by one (WORD_STEPS) is asked
+    for each word, any other for whole texts. encoding: dictionary or delta,
     of the ids; numbers of documents are always delta encoded. Rows are dealt by ranges of doc_id and sorted by doc_id,
     then text, so the files' order is that of doc_id; nulls come first. Null and empty texts hold the end id alone.
     Repeated rows are written again; an empty table makes an empty folder. Other columns aren't read.
@@ -113,14 +151,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def places(files: DataFrame) -> DataFrame:
-    """(doc_id, shard, shard_start, start): the number of ids that stand before each document in the whole folder.
-
-    Adds up the shards' totals: one row for each shard is gathered, whatever the number of documents.
-    """
+def _placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows with a column start. Adds up the totals of the shards of files: one row for each shard, whatever the number of documents."""
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    return files.join(before, "shard").select("doc_id", "shard", "shard_start", (F.col("before") + F.col("shard_start")).alias("start"))
+    return rows.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
+
+
+def places(files: DataFrame) -> DataFrame:
+    """(doc_id, shard, shard_start, start): the number of ids that stand before each document in the whole folder."""
+    return _placed(files.select("doc_id", "shard", "shard_start"), files)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +172,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): the unsigned CRC-32 of each document's ids as little-endian 32-bit numbers."""
-    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     sums = files.select("doc_id", "shard", "shard_start", "n_tokens", "ids").mapInArrow(_digest, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
-    return sums.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+    return _placed(sums, files).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -33,6 +35,19 @@ def rows(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
 
 
+def ids_of(encoder, texts):
+    """The ids of each text, from an encoder of columns."""
+    out = [(x[0], x[1]) for x in encoder.encode(pa.array(texts, pa.string()))]
+    sizes = [n for _, ns in out for n in ns.tolist()]
+    ids = iter(np.concatenate([x for x, _ in out]).tolist())
+    return [[next(ids) for _ in range(n)] for n in sizes]
+
+
+@lru_cache
+def piece_encoder():
+    return pieces.Encoder(pieces.load(MODEL), {})
+
+
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (None, "one"), (5, "one two three"), (6, "x " * 30_000)]
 
 
@@ -146,7 +161,7 @@ def test_pieces_are_the_librarys(text):
     import sentencepiece
 
     model = pieces.load(MODEL)
-    ids = array("I", pieces.Encoder(model, {}).encode(text)).tolist() if text else []
+    ids = ids_of(piece_encoder(), [text, text])[1]
     assert ids == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
     assert model.decode(ids) == text.replace("▁", " ")
 
@@ -192,7 +207,7 @@ def test_contaminated_matches_brute_force(spark):
     for k, t in items[:-1]:
         ws = (t or "").split()
         texts += [(10 * k, prose(900 + k, 300) + " " + " ".join(ws).upper() + " " + prose(800 + k, 300)), (10 * k + 1, " ".join(ws[: len(ws) * 7 // 10])), (10 * k + 2, " ".join([*ws[: len(ws) // 2], *ws[len(ws) // 2 + 1 :]]))]
-    got = rows(decontam.contaminated(docs(spark, texts + [(None, items[5][1]), (500, None)], extra=True), spark.createDataFrame(items, "item_id long, text string"), block_chars=400), "doc_id", "item_id", "found", "shingles")
+    got = rows(decontam.contaminated(docs(spark, texts + [(None, items[5][1]), (500, None)], extra=True), spark.createDataFrame(items, "item_id long, text string"), bits=64), "doc_id", "item_id", "found", "shingles")
     want = set()
     for d, t in texts + [(None, items[5][1])]:
         for i, x in items:
@@ -205,7 +220,7 @@ def test_contaminated_matches_brute_force(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs(spark, texts), empty).count() == 0
     assert decontam.contaminated(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
-    clean = decontam.keep_clean(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_chars=400)
+    clean = decontam.keep_clean(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), bits=64)
     assert rows(clean, "doc_id") == sorted(((d,) for d, _ in texts if d not in {w[0] for w in want}), key=repr)
 
 
@@ -240,7 +255,7 @@ def test_words_encode_as_the_whole_text(text):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    assert array("I", tokenfiles.encoder(path).encode(text)).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert ids_of(tokenfiles.encoder(path), [text, text])[1] == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 # --- quality
@@ -373,9 +388,9 @@ def test_a_passage_is_found_behind_documents_that_hold_pieces_of_it(spark):
     texts, want = [], set()
     for k in range(0, 100, 10):
         shared_ = prose(2100 + k, 60).split()
-        parts = [shared_[:46], shared_[14:], shared_, shared_]
+        parts = [shared_[:44], shared_[16:], shared_[10:54], shared_, shared_]  # 44 words are too few to be similar by themselves
         texts += [(k + j, " ".join([prose(2200 + k + j, 50), *part, prose(2400 + k + j, 50)])) for j, part in enumerate(parts)]
-        want.add((k + 3, k + 2, 50, 110))
+        want.add((k + 4, k + 3, 50, 110))
     # the first holder has the passage's line at another place before
     line = prose(2001, 45).split()
     passage = [*line, *prose(2003, 5).split()]
@@ -385,6 +400,55 @@ def test_a_passage_is_found_behind_documents_that_hold_pieces_of_it(spark):
     assert {(r.doc_id, r.other_id, r.start_word, r.end_word) for r in got} == want
 
 
+def tokens(words):
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def test_recall_of_edited_passages_and_the_similarity_of_what_is_found(spark):
+    texts, similar = [], {}
+    for k, (n, changes) in enumerate([(50, 1)] * 120 + [(100, 2)] * 60 + [(200, 4)] * 40 + [(400, 8)] * 20):
+        rng = np.random.default_rng(k)
+        one = prose(5000 + k, n).split()
+        other = list(one)
+        for at in rng.choice(n, changes, replace=False):
+            other[at] = "changed"
+        a, b = tokens(one), tokens(other)
+        if len(a & b) >= 0.8 * len(a | b):
+            texts += [(2 * k, " ".join([prose(7000 + k, 60), *one, prose(8000 + k, 60)])), (2 * k + 1, " ".join([prose(9000 + k, 60), *other, prose(10_000 + k, 60)]))]
+            similar[2 * k + 1] = n
+    words = {i: t.split() for i, t in texts}
+    got = passages.links(docs(spark, texts)).collect()
+    assert all(r.doc_id == r.other_id + 1 and r.doc_id in similar for r in got)
+    for r in got:
+        a, b = tokens(words[r.doc_id][r.start_word : r.end_word]), tokens(words[r.other_id][r.other_start : r.other_end])
+        assert min(r.end_word - r.start_word, r.other_end - r.other_start) >= 50 and len(a & b) >= 0.8 * len(a | b)
+    found = {r.doc_id for r in got}
+    for n in (50, 100, 200, 400):
+        of = [d for d, m in similar.items() if m == n]
+        assert len(of) >= 10 and sum(d in found for d in of) >= 0.9 * len(of)
+
+
+def test_repeats_are_cut_by_row_and_not_by_id(spark):
+    shared_, own = prose(1, 80), prose(2, 121)
+    texts = [(1, shared_ + " " + prose(3, 60)), (2, prose(4, 20) + " " + shared_), (2, own), (2, own), (None, shared_), (3, None), (4, ""), (1 << 50, shared_ + " " + prose(5, 60))]
+    got = passages.drop_repeats(docs(spark, texts, extra=True))
+    assert got.columns == docs(spark, [], extra=True).columns
+    assert rows(got, "doc_id", "text") == sorted([(1, texts[0][1]), (2, prose(4, 20) + " "), (2, own), (2, own), (None, shared_), (3, None), (4, ""), (1 << 50, prose(5, 60))], key=repr)
+    assert passages.drop_repeats(docs(spark, [], extra=True)).count() == 0
+
+
+def test_stages_take_any_column_names(spark):
+    texts = [(1, prose(1, 80)), (1, prose(1, 80)), (2, prose(1, 80)), (None, prose(1, 80)), (3, None), (None, None), (4, prose(4, 30))]
+    items = spark.createDataFrame([(1, " ".join(prose(4, 30).split()[:20]))], "item_id long, text string")
+    for extra in (docs(spark, texts, extra=True), docs(spark, texts, extra=True).selectExpr("*", "1 as gone", "2 as key", "3 as row", "4 as c0", "5 as item_id")):
+        model_rows = extra.withColumn("lang", extra["source"])
+        assert rows(simhash.keep_one(extra), "doc_id") == sorted([(1,), (1,), (None,), (3,), (None,), (4,)], key=repr)
+        assert rows(decontam.keep_clean(extra, items), "doc_id") == sorted([(1,), (1,), (2,), (None,), (3,), (None,)], key=repr)
+        assert rows(langid.keep_identified(model_rows), "doc_id") == sorted([(1,), (1,), (2,), (None,), (4,)], key=repr)
+        for out in (simhash.keep_one(extra), decontam.keep_clean(extra, items), langid.keep_identified(model_rows)):
+            assert out.columns == extra.columns and (out.schema == extra.schema or out.schema == model_rows.schema)
+
+
 @given(st.lists(st.integers(0, 4), min_size=0, max_size=80), st.integers(2, 12))
 @settings(max_examples=200, deadline=None)
 def test_every_run_holds_an_anchor_of_its_least_value(values, least):

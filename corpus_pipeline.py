@@ -7,13 +7,11 @@ last give the columns of documents. A driver writes each stage's rows as Parquet
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from calibra.llm import decontam, langid, passages, pieces, simhash
-from calibra.llm.common import checkpoint_dir, table
+from calibra.llm.common import scratch, table
 
 #: Least score of an identified language.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -59,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each but the last is written to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/calibra-pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -64,13 +64,17 @@ def _rewrite(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once and its code made once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Normal form of a text that is in NFKC already; null stays null."""
     compact = F.regexp_replace(text, r"(?U)\s+", "")
     plain = _rewrite(F.translate(compact, DIAMETER_SIGNS, "φ" * len(DIAMETER_SIGNS)), REWRITES)
-    body = F.substring(plain, 2, 1 << 30)
-    plain = F.when(plain.rlike(r"^[φΦCRcr]."), F.concat(F.left(plain, F.lit(1)), F.translate(body, "O", "0"))).otherwise(plain)
-    return F.upper(_rewrite(plain, AFTER_PREFIX))
+    zeros = lambda t: F.concat(F.left(t, F.lit(1)), F.translate(F.substring(t, 2, 1 << 30), "O", "0"))
+    return F.upper(_rewrite(let(plain, lambda t: F.when(t.rlike(r"^[φΦCRcr]."), zeros(t)).otherwise(t)), AFTER_PREFIX))
 
 
 def normalize_text(text: str) -> str:
@@ -93,11 +97,6 @@ def is_fragment(text: Column) -> Column:
     )
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with the value computed once and its code made once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def token(text: Column) -> Column:
     """struct(normalized, prefix, number_text, degree, nominal, reference) of a text, or null if it is no dimension. text is a column in NFKC, not a call of nfkc()."""
     reference = text.rlike(r"^[（(].+[）)]$")
@@ -108,7 +107,7 @@ def token(text: Column) -> Column:
         return F.struct(normal.alias("normalized"), F.regexp_extract(normal, TOKEN, 1).alias("prefix"), number.alias("number_text"), F.regexp_extract(normal, TOKEN, 3).alias("degree"), number.try_cast("double").alias("nominal"), reference.alias("reference"))
 
     whole = lambda t: F.when(t.normalized.rlike(TOKEN) & ~is_fragment(t.normalized) & (t.nominal > 0) & (t.nominal <= 4000), t)
-    return _let(normalize(inner), lambda normal: _let(parts(normal), whole))
+    return let(normalize(inner), lambda normal: let(parts(normal), whole))
 
 
 def kind(prefix: Column, degree: Column) -> Column:
@@ -121,26 +120,39 @@ def shortest(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
-def notes(text: Column) -> Column:
-    """struct of a page's notes that override tolerances; every field may be null. text: the page's lines, in order, NFKC."""
-    number = r"(\d+(?:\.\d+)?)"
-    unnamed = r"指示\s*(?:無|な)き"
-    angle = r"(?:指示(?:無|な)き角度公差|角度公差)[^\n]{0,40}?±\s*" + number + r"\s*(°|度|′|'|分)"
-    found = lambda pattern, group=1: F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("double")
-    unit = F.regexp_extract(text, angle, 2)
-    minutes = unit.isin("′", "'", "分")
+# The words of a page's notes. A note names what it is for, then, in the same line and not far off, the figure.
+UNNAMED, FIGURE = "指示(?:無|な)き", r"(\d+(?:\.\d+)?)"
+ANGLE_NOTE = (f"(?:{UNNAMED})?角度公差", 40)
+CORNER_NOTES = {"chamfer": ("C", "面取り"), "radius": ("R", "丸み")}
+CORNER_REACH, LARGEST_REACH = 24, 30
+LARGEST_NOTES = {"chamfer": (f"{UNNAMED}\\s*(?:角部|角|かど)", r"C\s*"), "radius": (f"{UNNAMED}\\s*(?:隅部|隅|すみ)", r"(?:R\s*)?(?:[は:：,、]\s*)?")}
+MINUTES, DEGREES = ("′", "'", "分"), ("°", "度")
+
 
-    def corner(sign: str, name: str) -> Column:
-        return F.coalesce(*[found(rf"(?i)(?:{unnamed}[^\n]{{0,24}})?{what}公差[^\n]{{0,24}}?±\s*{number}") for what in (rf"{sign}\s*(?:寸法)?\s*", rf"{name}\s*(?:寸法)?\s*", r"C\s*/\s*R\s*")])
+def _figure(text: Column, what: str, reach: int, sign: str, unit: str = "") -> Column:
+    """The first figure behind a sign within `reach` characters of what a line names; null if there is none."""
+    return F.nullif(F.regexp_extract(text, rf"(?i){what}[^\n]{{0,{reach}}}?{sign}{FIGURE}{unit}", 1), F.lit("")).cast("double")
 
+
+def notes(text: Column) -> Column:
+    """struct of a page's notes that override tolerances; every field may be null. text: the page's lines, in order, NFKC.
+
+    A tolerance of chamfers or radii is one that names them by sign, by word, or as C/R; an angle's may be in minutes.
+    """
+    plus_minus = r"±\s*"
+    unit = lambda some: rf"\s*(?:{'|'.join(some)})"
+    degrees, minutes = (_figure(text, *ANGLE_NOTE, plus_minus, unit(some)) for some in (DEGREES, MINUTES))
+    # a page that has both goes by the one it has first
+    at = lambda some: F.instr(text, F.regexp_extract(text, rf"{ANGLE_NOTE[0]}[^\n]{{0,{ANGLE_NOTE[1]}}}?{plus_minus}{FIGURE}{unit(some)}", 0))
+    in_minutes = minutes.isNotNull() & (degrees.isNull() | (at(MINUTES) < at(DEGREES)))
+    corner = {k: F.coalesce(*[_figure(text, rf"{name}\s*(?:寸法)?\s*公差", CORNER_REACH, plus_minus) for name in (*names, r"C\s*/\s*R")]) for k, names in CORNER_NOTES.items()}
+    largest = {k: _figure(text, what, LARGEST_REACH, sign, r"\s*以[下内]") for k, (what, sign) in LARGEST_NOTES.items()}
     return F.struct(
-        F.when(minutes, found(angle) / 60).otherwise(found(angle)).alias("angle_value"),
-        F.when(unit != "", F.concat(F.lit("±"), shortest(found(angle)), F.when(minutes, "′").otherwise("°"))).alias("angle_text"),
-        corner("C", "面取り").alias("chamfer_tolerance"),
-        corner("R", "丸み").alias("radius_tolerance"),
-        found(rf"(?i){unnamed}\s*(?:角部|角|かど)[^\n]{{0,30}}?C\s*{number}\s*(?:以下|以内)").alias("unindicated_chamfer_maximum"),
-        found(rf"(?i){unnamed}\s*(?:隅|すみ|隅部)[^\n]{{0,30}}?R?\s*(?:は|:|：|,|、)?\s*{number}\s*(?:以下|以内)").alias("unindicated_radius_maximum"),
-    )
+        F.when(in_minutes, minutes / 60).otherwise(degrees).alias("angle_value"),
+        F.when(in_minutes, F.concat(F.lit("±"), shortest(minutes), F.lit("′"))).when(degrees.isNotNull(), F.concat(F.lit("±"), shortest(degrees), F.lit("°"))).alias("angle_text"),
+        corner["chamfer"].alias("chamfer_tolerance"), corner["radius"].alias("radius_tolerance"),
+        largest["chamfer"].alias("unindicated_chamfer_maximum"), largest["radius"].alias("unindicated_radius_maximum"),
+    )
 
 
 def family_key(stem: Column) -> Column:

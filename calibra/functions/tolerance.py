@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from calibra.functions.text import PART_NUMBER
+from calibra.functions.text import PART_NUMBER, let
 
 # Upper limits of the nominal size, each with its tolerance.
 LINEAR = {
@@ -65,23 +65,29 @@ def fit_width(nominal: Column, grade: Column) -> Column:
 
 def explicit_range(text: Column, nominal: Column) -> Column:
     """Total tolerance range written behind the nominal size in an NFKC text; null if there is none."""
-    plain = F.translate(text, "亇干土士−－", "±±±±--")
     number = r"\d+(?:[.,]\d+)?"
-    value = lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")
-    numbers = F.regexp_extract_all(plain, F.lit(f"({number})"), F.lit(1))
-    which = F.array_position(F.transform(numbers, lambda x: F.abs(value(x) - nominal) < 1e-7), True)
-    # what stands behind the number of that place: numbers are cut off from the front one by one
-    rest = F.aggregate(F.sequence(F.lit(1), F.greatest(which, F.lit(1))), plain, lambda t, _: F.regexp_replace(t, rf"^\D*{number}", ""))
-    fit = F.regexp_extract(rest, r"^\s*([A-Za-z])\s*(\d{1,2})", 2).try_cast("int")
-    tail = F.regexp_replace(rest, r"^\s*[A-Za-z]\s*\d{1,2}", "")
-    sizes = F.transform(F.regexp_extract_all(tail, F.lit(f"({number})"), F.lit(1)), value)
-    first, second = F.get(sizes, F.lit(0)), F.get(sizes, F.lit(1))
-    written = (
-        F.when(F.size(sizes) == 0, None).when(tail.contains("±"), first * 2).when(F.size(sizes) == 1, first)
-        .when(tail.contains("+") & tail.contains("-"), F.abs(first) + F.abs(second)).otherwise(F.abs(F.array_max(sizes) - F.array_min(sizes)))
-    )
-    out = F.when(tail.rlike(r"^\s*[-/][A-Za-z]") | plain.rlike(PART_NUMBER), None).when(tail.rlike("[±+-]"), written).otherwise(fit_width(nominal, fit))
-    return F.when(which > 0, out)
+    sizes = lambda t: F.transform(F.regexp_extract_all(t, F.lit(f"({number})"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+
+    def written(tail: Column, found: Column) -> Column:
+        first, second = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        return (
+            F.when(F.size(found) == 0, None).when(tail.contains("±"), first * 2).when(F.size(found) == 1, first)
+            .when(tail.contains("+") & tail.contains("-"), F.abs(first) + F.abs(second)).otherwise(F.abs(F.array_max(found) - F.array_min(found)))
+        )
+
+    def behind(rest: Column) -> Column:
+        """The range in what stands behind the nominal size: a fit, or deviations, or both."""
+        grade = F.regexp_extract(rest, r"^\s*([A-Za-z])\s*(\d{1,2})", 2).try_cast("int")
+        deviations = lambda tail: F.when(tail.rlike(r"^\s*[-/][A-Za-z]"), None).when(tail.rlike("[±+-]"), let(sizes(tail), lambda found: written(tail, found))).otherwise(fit_width(nominal, grade))
+        return let(F.regexp_replace(rest, r"^\s*[A-Za-z]\s*\d{1,2}", ""), deviations)
+
+    def at(plain: Column, which: Column) -> Column:
+        # numbers are cut off from the front one by one, up to the nominal size
+        rest = F.aggregate(F.sequence(F.lit(1), F.greatest(which, F.lit(1))), plain, lambda t, _: F.regexp_replace(t, rf"^\D*{number}", ""))
+        return F.when((which > 0) & ~plain.rlike(PART_NUMBER), let(rest, behind))
+
+    place = lambda plain: F.array_position(F.transform(sizes(plain), lambda x: F.abs(x - nominal) < 1e-7), True)
+    return let(F.translate(text, "亇干土士−－", "±±±±--"), lambda plain: let(place(plain), lambda which: at(plain, which)))
 
 
 def highlight(kind: Column, total_range: Column) -> Column:

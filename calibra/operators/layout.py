@@ -71,24 +71,3 @@ def part_overlaps(strips: Sequence[Reading], sweeps: int = 4, gap: float = 1.2)
         if not moved:
             break
     return out
-
-
-def as_thick_beside(strips: Sequence[Reading]) -> list[Reading]:
-    """Horizontal strips of one colour (kept in text) that run beside one another get one thickness, their mean; in order."""
-    out = list(strips)
-    fixed = {"stacked_tolerance", "general_descriptor", "limit"}
-    for i in range(len(out)):
-        if out[i].kind in fixed:
-            continue
-        # the first strip is measured once: what it becomes beside one neighbour doesn't count beside the next
-        a = out[i]
-        for j in range(i + 1, len(out)):
-            b = out[j]
-            off = abs(a.y0 + a.y1 - b.y0 - b.y1) / 2
-            if b.text != a.text or b.kind in fixed or min(a.x1, b.x1) - max(a.x0, b.x0) < 2.0 or not 3.5 <= off <= 28.0:
-                continue
-            half = max((a.h + b.h) / 2, 2.8) / 2
-            for k, s in ((i, a), (j, b)):
-                middle = (s.y0 + s.y1) / 2
-                out[k] = replace(s, x0=s.x0 - 0.2, x1=s.x1 + 0.2, y0=middle - half, y1=middle + half)
-    return out

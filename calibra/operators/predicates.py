@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibra.functions.geometry import Rect
@@ -61,6 +61,13 @@ def reading_quality(text: Column, score: Column) -> Column:
     return F.struct(q.alias("quality"), F.length(text).alias("length"), score.alias("score"))
 
 
+def candidate_quality(text: Column) -> Column:
+    """Signs and degrees, and digits before a tolerance, of a candidate."""
+    one = lambda c: F.when(c, 1).otherwise(0)
+    digits = F.length(F.regexp_replace(F.regexp_extract(text, r"^[^±+\-]*", 0), r"\D", ""))
+    return one(text.rlike(r"^[φΦØ⌀CR]")) + one(text.rlike("[°。]")) + F.least(digits, F.lit(5))
+
+
 def plausible_tolerance(text: Column, nominal: Column, total: Column) -> Column:
     """Whether a reading with a total tolerance range may be a dimension that is coloured. text: NFKC, without spaces."""
     marked = text.rlike(r"(?i)[φΦØ⌀CR]")
@@ -119,3 +126,27 @@ def special_zone(kind: Column, bare: Column, nominal: Column, r: Rect, width: Co
 def scanned_floor(kind: Column, bare: Column, score: Column) -> Column:
     """Scores too low for a scan: bare lengths below .78, chamfers and radii below .75."""
     return ((kind == "linear") & bare & (score < 0.78)) | (kind.isin("chamfer", "radius") & (score < 0.75))
+
+
+# Shares of the page where bare and prefixed sizes stand no more, the largest side, and the corner that only dimension lines make a drawing's.
+LOWEST_BARE, LOWEST_PREFIXED, HIGHEST, LARGEST_SIDE, CORNER_WIDTH, CORNER_HEIGHT = 0.86, 0.93, 0.08, 85.0, 0.22, 0.32
+
+
+def off_limits(r: Rect, prefixed: Column, reference: Column, line_support: Column, width: Column, height: Column) -> Column:
+    """Whether a candidate is too large, or stands in the page's margins: the top (but for reference sizes), the bottom, the upper left corner without a dimension line."""
+    empty = (r.width <= 0) | (r.height <= 0)
+    top, bottom = ~reference & (r.y1 < HIGHEST * height), r.y0 > F.when(prefixed, LOWEST_PREFIXED).otherwise(LOWEST_BARE) * height
+    corner = (r.x1 < CORNER_WIDTH * width) & (r.y1 < CORNER_HEIGHT * height) & ~line_support
+    return empty | top | bottom | (r.longer > LARGEST_SIDE) | corner
+
+
+def page_routes(pages: DataFrame, words: DataFrame, images: DataFrame, recogniser: bool = True, page: str = "page_key") -> DataFrame:
+    """(page, needs_recognition, scanned) of each page: by whether it holds words and images of its own.
+
+    pages may have a column full_page_image. A page needs recognition if it has no words, and is scanned if one image
+    fills it, or if it has images and no words.
+    """
+    have = lambda table, name: table.select(page).distinct().withColumn(name, F.lit(True))
+    out = pages.join(have(words, "_words"), page, "left").join(have(images, "_images"), page, "left")
+    silent, full = F.col("_words").isNull(), F.coalesce("full_page_image", F.lit(False)) if "full_page_image" in pages.columns else F.lit(False)
+    return out.select(page, (silent & F.lit(recogniser)).alias("needs_recognition"), (full | (silent & F.col("_images").isNotNull())).alias("scanned"))

@@ -57,3 +57,16 @@ def removed(additions: DataFrame, bands: DataFrame, gone: DataFrame) -> tuple[Da
     over = g.share_of_smaller(g.Rect.of("b"), g.Rect.of("a")) >= 0.35
     left = bands.alias("b").join(hit.alias("a"), (F.col("b.page_key") == F.col("a.page_key")) & over, "left_anti")
     return additions.join(gone, ["batch_id", "ordinal"], "left_anti"), left
+
+
+def state(items: DataFrame, candidates: DataFrame, page: Column) -> DataFrame:
+    """One row of what a session shows: candidates and how many are selected, and a page's added, replaced and struck sizes. items: (page, kind); candidates: (selected)."""
+    on_page = lambda kind: F.count_if((F.col("page") == page) & (F.col("kind") == kind))
+    shown = candidates.agg(F.count("*").alias("candidate_count"), F.count_if(F.coalesce("selected", F.lit(False))).alias("selected_count"))
+    made = items.agg(on_page("dimension").alias("added_count"), on_page("replacement").alias("replacement_count"), on_page("strike").alias("struck_count"))
+    return shown.join(made)
+
+
+def state_json(states: DataFrame) -> DataFrame:
+    """(state): each row as JSON text, with its fields in order."""
+    return states.select(F.to_json(F.struct(*states.columns)).alias("state"))

@@ -13,6 +13,10 @@ from calibra.functions.text import is_fit_deviation
 RECT = ("x0", "y0", "x1", "y1")
 
 
+# A number without sign, degree or point; what a fragment of a stack looks like.
+BARE_WHOLE, SHORT_FRAGMENT = r"^\d+$", r"^[0-9.+\-一十]{1,3}$"
+
+
 def _sided(df: DataFrame, alias: str) -> DataFrame:
     return df.alias(alias)
 
@@ -39,9 +43,11 @@ def richer_reading(a: g.Rect, b: g.Rect) -> Column:
 
 
 def digit_echo(a: g.Rect, b: g.Rect) -> Column:
-    """A whole number that is part of a richer text at the same place."""
+    """A bare whole number (l.text, l.nominal) whose digits stand in a richer text at the same place (o.text, as tx.normalize gives it)."""
     near = F.greatest(F.lit(5.0), F.least(F.lit(14.0), a.longer * 1.5))
-    return not_same() & F.col("o.text").contains(F.col("l.text")) & ((g.share_of_smaller(a, b) >= 0.18) | (g.centre_distance(a, b) <= near))
+    whole = F.col("l.text").rlike(BARE_WHOLE)
+    digits = F.when(F.col("l.nominal") == F.floor("l.nominal"), F.col("l.nominal").cast("long").cast("string")).otherwise(F.col("l.text"))
+    return not_same() & whole & F.col("o.text").contains(digits) & ((g.share_of_smaller(a, b) >= 0.18) | (g.centre_distance(a, b) <= near))
 
 
 def reference(a: g.Rect, b: g.Rect) -> Column:
@@ -50,13 +56,10 @@ def reference(a: g.Rect, b: g.Rect) -> Column:
 
 
 def tolerance_attached(a: g.Rect, b: g.Rect) -> Column:
-    """A tolerance fragment right behind or below."""
-    across = F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0)
-    along = F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)
-    right, below = b.x0 - a.x1, b.y0 - a.y1
-    beside = (across >= 0.35 * F.least(a.height, b.height)) & right.between(-0.35 * a.height, 4.5 * a.height)
-    under = (along >= 0.35 * F.least(a.width, b.width)) & below.between(-0.35 * a.width, 4.5 * a.width)
-    return not_same() & (beside | under)
+    """A tolerance in the line's own height, right behind it, or starting about its lower edge."""
+    level = F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0) >= 0.35 * F.greatest(F.lit(1.0), F.least(a.height, b.height))
+    right, lower = b.x0 - a.x1, b.y0 - a.y1
+    return not_same() & level & (right.between(-0.35 * a.height, 4.5 * a.height) | lower.between(-0.35 * a.width, 4.5 * a.width))
 
 
 def tolerance_margin(a: g.Rect, b: g.Rect) -> Column:
@@ -75,11 +78,12 @@ def truncated(a: g.Rect, b: g.Rect) -> Column:
 
 
 def stacked(lines: DataFrame, fragments: DataFrame, at_least: int = 2, page: str = "page_key") -> DataFrame:
-    """Lines without a stack of `at_least` short fragments in their column."""
+    """Lines but bare whole numbers that have at least `at_least` short fragments (o.text of one to three digits, points and signs) about them in their column."""
     a, b = g.Rect.of("l"), g.Rect.of("o")
-    lane = F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)
-    in_lane = not_same() & (lane >= 0.35 * F.least(a.width, b.width)) & (F.abs(b.y0 - a.y0) <= 3.0 * a.height)
-    hit = _sided(lines, "l").join(_sided(fragments, "o"), (F.col(f"l.{page}") == F.col(f"o.{page}")) & in_lane).groupBy(F.col(f"l.{page}").alias(page), F.col("l.line_id").alias("line_id")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    column = F.abs(a.x0 + a.x1 - b.x0 - b.x1) / 2 <= F.greatest(F.lit(4.0), 1.2 * a.width)
+    height = F.abs(a.y0 + a.y1 - b.y0 - b.y1) / 2 <= F.greatest(F.lit(18.0), 3.0 * a.height)
+    test = not_same() & F.col("l.text").rlike(BARE_WHOLE) & F.trim("o.text").rlike(SHORT_FRAGMENT) & column & height
+    hit = _sided(lines, "l").join(_sided(fragments, "o"), (F.col(f"l.{page}") == F.col(f"o.{page}")) & test).groupBy(F.col(f"l.{page}").alias(page), F.col("l.line_id").alias("line_id")).agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
     return lines.join(hit, [page, "line_id"], "left_anti")
 
 
@@ -189,3 +193,14 @@ def over_fills(marks: DataFrame, fills: DataFrame, page: str = "page_key") -> Da
     for x, y in spots:
         touched = touched | g.in_polygon(x, y, F.col("f.points"))
     return marks.alias("m").join(fills.alias("f"), (F.col(f"m.{page}") == F.col(f"f.{page}")) & touched, "left_semi")
+
+
+def first_regions(regions: DataFrame, most: int = 4, page: str = "page_key") -> DataFrame:
+    """The regions of a page that are read again first: those in focus, then small ones, then from the top, then from the left."""
+    order = Window.partitionBy(page).orderBy(F.desc("focus"), F.desc("small"), "y0", "x0", "line_id")
+    return regions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def first_segments(segments: DataFrame, most: int = 700, page: str = "page_key") -> DataFrame:
+    """The first segments of a page, in order of line_id: what its structure is scored by, bounded."""
+    return segments.withColumn("rank", F.row_number().over(Window.partitionBy(page).orderBy("line_id"))).where(F.col("rank") <= most)

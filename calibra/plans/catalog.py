@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from calibra.functions import geometry as g
 from calibra.functions import text as tx
 from calibra.functions import tolerance as tol
-from calibra.operators import consensus, evaluate, layout, predicates, session, spatial
+from calibra.operators import consensus, evaluate, groups, layout, predicates, session, spatial
 from calibra.plans.synthetic import HEIGHT, LINES_SQL, WIDTH, lines, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,14 +218,30 @@ def overlap_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.drop_where(t, t.where("tolerance > 0"), spatial.richer_reading).select("page_key", "line_id")
 
 
+def _close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic readings closer together, as tall as wide at times, with all that belongs to them."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0") + F.col("line_id") % 3
+    t = lines(spark, sf_dir).withColumn("_w", w).withColumn("_h", h).withColumn("x0", F.col("x0") % 60).withColumn("y0", F.col("y0") % 60)
+    return t.withColumn("x1", F.col("x0") + F.col("_w")).withColumn("y1", F.col("y0") + F.col("_h")).drop("_w", "_h")
+
+
+_CLOSE_SQL = f"""
+{LINES_SQL.strip()}, c AS (
+  SELECT page_key, line_id, prefix, nominal, text, tolerance, score, x0 % 60 AS x0, y0 % 60 AS y0, x0 % 60 + (x1 - x0) AS x1, y0 % 60 + (y1 - y0 + line_id % 3) AS y1 FROM lines
+)
+"""
+
+
 @_query(f"""
-WITH {LINES_SQL}
-SELECT page_key, line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND contains(o.text, l.text)
-  AND ({_IOS} >= 0.18 OR {_DIST} <= greatest(5.0, least(14.0, greatest(l.x1 - l.x0, l.y1 - l.y0) * 1.5))))
+WITH {_CLOSE_SQL.strip()}
+SELECT page_key, line_id FROM c l WHERE NOT (regexp_full_match(l.text, '[0-9]+') AND EXISTS (
+  SELECT 1 FROM c o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND o.tolerance > 0 AND contains(upper(o.text), CAST(CAST(l.nominal AS BIGINT) AS VARCHAR))
+  AND ({_IOS} >= 0.18 OR {_DIST} <= greatest(5.0, least(14.0, 1.5 * greatest(l.x1 - l.x0, l.y1 - l.y0))))))
 """)
 def digit_echo_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lines(spark, sf_dir)
-    return spatial.drop_where(t, t, spatial.digit_echo).select("page_key", "line_id")
+    t = _close(spark, sf_dir)
+    evidence = t.where("tolerance > 0").withColumn("text", tx.normalize(F.col("text")))
+    return spatial.drop_where(t, evidence, spatial.digit_echo).select("page_key", "line_id")
 
 
 @_query(f"""
@@ -238,13 +254,15 @@ def reference_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {LINES_SQL}
-SELECT page_key, line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND o.tolerance > 0 AND (
-  (least(l.y1, o.y1) - greatest(l.y0, o.y0) >= 0.35 * least(l.y1 - l.y0, o.y1 - o.y0) AND o.x0 - l.x1 BETWEEN -0.35 * (l.y1 - l.y0) AND 4.5 * (l.y1 - l.y0)) OR
-  (least(l.x1, o.x1) - greatest(l.x0, o.x0) >= 0.35 * least(l.x1 - l.x0, o.x1 - o.x0) AND o.y0 - l.y1 BETWEEN -0.35 * (l.x1 - l.x0) AND 4.5 * (l.x1 - l.x0))))
+WITH {_CLOSE_SQL.strip()}, p AS (
+  SELECT l.page_key, l.line_id FROM c l JOIN c o ON o.page_key = l.page_key AND o.line_id <> l.line_id AND o.tolerance > 0
+  WHERE least(l.y1, o.y1) - greatest(l.y0, o.y0) >= 0.35 * greatest(1.0, least(l.y1 - l.y0, o.y1 - o.y0))
+    AND ((o.x0 >= l.x1 - 0.35 * (l.y1 - l.y0) AND o.x0 <= l.x1 + 4.5 * (l.y1 - l.y0)) OR (o.y0 >= l.y1 - 0.35 * (l.x1 - l.x0) AND o.y0 <= l.y1 + 4.5 * (l.x1 - l.x0)))
+)
+SELECT page_key, line_id FROM c EXCEPT SELECT page_key, line_id FROM p
 """)
 def tolerance_attached_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lines(spark, sf_dir)
+    t = _close(spark, sf_dir)
     return spatial.drop_where(t, t.where("tolerance > 0"), spatial.tolerance_attached).select("page_key", "line_id")
 
 
@@ -259,13 +277,17 @@ def tolerance_margin_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {LINES_SQL}
-SELECT page_key, line_id FROM lines l WHERE (SELECT count(*) FROM lines o WHERE o.page_key = l.page_key AND o.line_id <> l.line_id AND o.tolerance > 0
-  AND least(l.x1, o.x1) - greatest(l.x0, o.x0) >= 0.35 * least(l.x1 - l.x0, o.x1 - o.x0) AND abs(o.y0 - l.y0) <= 3.0 * (l.y1 - l.y0)) < 2
+WITH {_CLOSE_SQL.strip()}, n AS (
+  SELECT l.page_key, l.line_id, count(*) AS n FROM c l JOIN c o ON o.page_key = l.page_key AND o.line_id <> l.line_id
+  WHERE regexp_full_match(l.text, '[0-9]+') AND length(o.text) <= 3 AND translate(o.text, '0123456789.+-一十', '') = ''
+    AND abs(l.x0 + l.x1 - o.x0 - o.x1) / 2 <= greatest(4.0, 1.2 * (l.x1 - l.x0)) AND abs(l.y0 + l.y1 - o.y0 - o.y1) / 2 <= greatest(18.0, 3.0 * (l.y1 - l.y0))
+  GROUP BY ALL
+)
+SELECT page_key, line_id FROM c WHERE (page_key, line_id) NOT IN (SELECT (page_key, line_id) FROM n WHERE n >= 2)
 """)
 def stacked_fragment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lines(spark, sf_dir)
-    return spatial.stacked(t, t.where("tolerance > 0")).select("page_key", "line_id")
+    t = _close(spark, sf_dir)
+    return spatial.stacked(t, t).select("page_key", "line_id")
 
 
 @_query(f"""
@@ -455,12 +477,12 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lines(spark, sf_dir)
     x0, y0 = F.col("x0") % 60, F.col("y0") % 60
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    return t.select("page_key", "line_id", "text", "score", x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + h).alias("y1"), F.lit(1).alias("agreement"), tx.kind(F.col("prefix"), F.lit("")).alias("kind"), (F.col("nominal") % 5).alias("nominal"))
+    return t.select("page_key", "line_id", "text", "score", x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + h).alias("y1"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1).alias("agreement"), tx.kind(F.col("prefix"), F.lit("")).alias("kind"), (F.col("nominal") % 5).alias("nominal"))
 
 
 _DENSE_SQL = f"""
 RECURSIVE {LINES_SQL.strip()}, d AS (
-  SELECT page_key, line_id, text, x0 % 60 AS x0, y0 % 60 AS y0, x0 % 60 + (x1 - x0) AS x1, y0 % 60 + (y1 - y0) AS y1,
+  SELECT page_key, line_id, text, score, x0 % 60 AS x0, y0 % 60 AS y0, x0 % 60 + (x1 - x0) AS x1, y0 % 60 + (y1 - y0) AS y1, 1.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, CAST(1 AS INTEGER) AS agreement,
          CASE prefix WHEN 'C' THEN 'chamfer' WHEN 'R' THEN 'radius' WHEN 'φ' THEN 'diameter' ELSE 'linear' END AS kind, nominal % 5 AS nominal FROM lines
 )
 """
@@ -475,13 +497,12 @@ WITH {_DENSE_SQL.strip()}, e AS (
 SELECT page_key, a AS line_id, min(b) AS callout FROM w GROUP BY ALL
 """)
 def callout_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = consensus.by_page(_dense(spark, sf_dir), partial(consensus.labelled, consensus.same_callout))
-    return out.select("page_key", "line_id", F.col("agreement").alias("callout"))
+    return groups.grouped(_dense(spark, sf_dir), groups.callout()).select("page_key", "line_id", F.col("group").alias("callout"))
 
 
 @_query()
 def ocr_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.by_page(_dense(spark, sf_dir), consensus.merge_readings)
+    return consensus.by_page(_dense(spark, sf_dir), consensus.merge_readings, predicates.reading_quality(F.col("text"), F.col("score")).quality)
 
 
 @_query()
@@ -492,23 +513,96 @@ def fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.by_page(_dense(spark, sf_dir), consensus.merge_candidates)
+    return consensus.by_page(_dense(spark, sf_dir), consensus.merge_candidates, predicates.candidate_quality(F.col("text")))
+
+
+def _suppress_sql(order: str, same: str, source: str = "d") -> str:
+    """A page's readings in an order, without those that are the same as one kept before (l before o): a page's readings are gone through one by one."""
+    columns = ", ".join(f"o.{c}" for c in consensus.COLUMNS)
+    return f"""
+WITH {_DENSE_SQL.strip()}, r AS (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY {order}, line_id) AS k FROM {source}
+), hit AS (SELECT o.page_key, o.k, list(l.k) AS ks FROM r o JOIN r l ON l.page_key = o.page_key AND l.k < o.k AND {same} GROUP BY ALL
+), s AS (
+  SELECT DISTINCT page_key, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS kept FROM r UNION ALL
+  SELECT s.page_key, o.k, CASE WHEN h.ks IS NOT NULL AND list_has_any(h.ks, s.kept) THEN s.kept ELSE list_append(s.kept, o.k) END
+  FROM s JOIN r o ON o.page_key = s.page_key AND o.k = s.k + 1 LEFT JOIN hit h ON h.page_key = o.page_key AND h.k = o.k
+), e AS (SELECT page_key, kept FROM s QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY k DESC) = 1)
+SELECT {columns} FROM r o JOIN e ON e.page_key = o.page_key AND list_contains(e.kept, o.k)
+"""
 
 
-@_query()
-def candidate_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.by_page(_dense(spark, sf_dir), consensus.dedupe_candidates)
+_VALUE = "l.kind = o.kind AND abs(l.nominal - o.nominal) < 1e-6"
+_AREA = "(x1 - x0) * (y1 - y0)"
+_SUPPRESSED = {
+    "candidate_dedupe": (consensus.dedupe_candidates, "CASE WHEN regexp_matches(text, '[φ°CR]') THEN 0 ELSE 1 END, CASE WHEN contains(text, '.') THEN 0 ELSE 1 END, y0", f"{_VALUE} AND {_DIST} < 24"),
+    "final_candidates": (consensus.final_candidates, f"{_AREA}, y0, x0", f"{_VALUE} AND {_IOS} >= 0.15"),
+    "tiled_candidates": (consensus.tiled_candidates, "CASE WHEN contains(text, '.') THEN 0 ELSE 1 END, y0, x0", f"{_IOS} >= 0.35"),
+    "corner_candidates": (consensus.corner_candidates, f"CASE WHEN contains(text, '.') THEN 0 ELSE 1 END, {_AREA}, y0, x0", f"({_IOS} >= 0.35 OR {_DIST} <= greatest(18.0, 1.1 * greatest(l.x1 - l.x0, l.y1 - l.y0, o.x1 - o.x0, o.y1 - o.y0)))"),
+    "append_strips": (consensus.append_strips, "line_id", f"l.text = o.text AND {_IOS} * least((l.x1 - l.x0) * (l.y1 - l.y0), (o.x1 - o.x0) * (o.y1 - o.y0)) >= 0.82 * greatest((l.x1 - l.x0) * (l.y1 - l.y0), (o.x1 - o.x0) * (o.y1 - o.y0))"),
+}
+_SUPPRESSED |= {
+    "native_markings": (consensus.native_markings, "line_id", f"{_IOS} >= 0.55"),
+    "detail_lines": (consensus.detail_lines, "line_id", f"{_DIST} < 8"),
+    "scanned_markings": (partial(consensus.with_scanned, base=lambda x: x.line_id % 3 == 0), "CASE WHEN line_id % 3 = 0 THEN 0 ELSE 1 END, line_id", f"o.line_id % 3 <> 0 AND {_IOS} >= 0.45"),
+}
+for _name, (_fold, _order, _same) in _SUPPRESSED.items():
+    _query(_suppress_sql(_order, _same), _name)(lambda spark, sf_dir, f=_fold: consensus.by_page(_dense(spark, sf_dir), f))
+
+
+def _reach_sql(strips: str, test: str) -> str:
+    """Groups over edges l, o of a page with l.line_id < o.line_id, as tables m (strips) and q (m with the least line_id that is reached as grp)."""
+    return f"""
+{_DENSE_SQL.strip()}, m AS ({strips}), e AS (
+  SELECT l.page_key, l.line_id AS a, o.line_id AS b FROM m l JOIN m o ON l.page_key = o.page_key AND l.line_id < o.line_id WHERE {test}
+), z AS (SELECT page_key, a, b FROM e UNION ALL SELECT page_key, b, a FROM e
+), w AS (SELECT page_key, line_id AS a, line_id AS b FROM m UNION SELECT w.page_key, w.a, z.b FROM w JOIN z ON z.page_key = w.page_key AND z.a = w.b
+), q AS (SELECT m.*, (SELECT min(w.b) FROM w WHERE w.page_key = m.page_key AND w.a = m.line_id) AS grp FROM m)
+"""
 
 
-@_query()
-def final_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.by_page(_dense(spark, sf_dir), consensus.final_candidates)
+def _colored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir).withColumn("text", tol.highlight(F.col("kind"), F.col("nominal") / 50))
 
 
-@_query()
+_COLORED_SQL = f"SELECT * REPLACE (CASE WHEN nominal / 50 <= 0.03 + 1e-9 THEN '{tol.PINK}' ELSE '{tol.YELLOW}' END AS text) FROM d"
+_STRIP = "page_key, line_id, text, score, dx, dy, kind, nominal"
+_BAND_SQL = (
+    "l.text = o.text AND abs((l.y0 + l.y1 - o.y0 - o.y1) / 2) <= greatest(5.2, 0.8 * 8) "
+    "AND NOT (least(l.x1 - l.x0, o.x1 - o.x0) > 3.5 * 8 AND least(l.x1 - l.x0, o.x1 - o.x0) / greatest(l.x1 - l.x0, o.x1 - o.x0) > 0.62) "
+    "AND NOT (least(l.x1, o.x1) - greatest(l.x0, o.x0) > 0 AND least(l.x1, o.x1) - greatest(l.x0, o.x0) <= 0.16 * 8 AND abs((l.y0 + l.y1 - o.y0 - o.y1) / 2) > 0.28 * 8) "
+    "AND (least(l.x1, o.x1) - greatest(l.x0, o.x0) > 0.4 OR greatest(l.x0, o.x0) - least(l.x1, o.x1) <= greatest(5.8, least(9.5, 0.9 * 8))) "
+)
+
+
+@_query(f"""
+WITH {_reach_sql(_COLORED_SQL, _BAND_SQL)}
+SELECT {_STRIP}, b.x0, b.y0, b.x1, b.y1, b.agreement FROM (SELECT page_key AS p, grp, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(count(*) AS INTEGER) AS agreement FROM q GROUP BY ALL) b
+JOIN (SELECT {_STRIP} FROM q WHERE line_id = grp) f ON f.page_key = b.p AND f.line_id = b.grp
+""")
 def band_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strips = _dense(spark, sf_dir).withColumn("text", tol.highlight(F.col("kind"), F.col("nominal") / 50))
-    return consensus.by_page(strips, consensus.bands)
+    """Strips of one colour that run on; the oracle knows that all are horizontal and 8 high."""
+    return groups.bands(_colored(spark, sf_dir))
+
+
+@_query(f"""
+WITH {_reach_sql("SELECT * REPLACE ('roughness' AS kind) FROM d WHERE line_id % 3 <> 0", f"abs(l.nominal - o.nominal) <= 1e-6 AND ({_IOS} * least((l.x1 - l.x0) * (l.y1 - l.y0), (o.x1 - o.x0) * (o.y1 - o.y0)) > 0.2 OR (least(l.y1, o.y1) - greatest(l.y0, o.y0) > 0.35 * 8 AND greatest(l.x0, o.x0) - least(l.x1, o.x1) <= 8) OR (least(l.x1, o.x1) - greatest(l.x0, o.x0) > 0.35 * least(l.x1 - l.x0, o.x1 - o.x0) AND greatest(l.y0, o.y0) - least(l.y1, o.y1) <= 8))")},
+b AS (SELECT page_key, grp, min(x0) AS x0, max(x1) AS x1, CAST(count(*) AS INTEGER) AS agreement FROM q GROUP BY ALL), f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY page_key, grp ORDER BY (x1 - x0) * (y1 - y0) DESC, line_id) = 1)
+SELECT f.page_key, f.line_id, f.text, f.score, f.dx, f.dy, f.kind, f.nominal, b.x0, f.y0, b.x1, f.y1, b.agreement FROM f JOIN b ON b.page_key = f.page_key AND b.grp = f.grp
+UNION ALL SELECT {_STRIP}, x0, y0, x1, y1, agreement FROM d WHERE line_id % 3 = 0
+""")
+def roughness_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three readings as roughness; the oracle knows that all are horizontal and 8 high."""
+    rough = F.when(F.col("line_id") % 3 != 0, "roughness").otherwise(F.col("kind"))
+    return groups.merged_roughness(_dense(spark, sf_dir).withColumn("kind", rough))
+
+
+@_query(f"""
+WITH {_reach_sql(_COLORED_SQL, "l.text = o.text AND least(l.x1, o.x1) - greatest(l.x0, o.x0) >= 2 AND abs((l.y0 + l.y1 - o.y0 - o.y1) / 2) BETWEEN 3.5 AND 28")}
+SELECT {_STRIP}, agreement, CASE WHEN n = 1 THEN x0 ELSE x0 - 0.2 END AS x0, CASE WHEN n = 1 THEN x1 ELSE x1 + 0.2 END AS x1, y0, y1 FROM (SELECT *, count(*) OVER (PARTITION BY page_key, grp) AS n FROM q)
+""")
+def strip_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips of one colour beside one another; the oracle knows that all are horizontal and 8 high."""
+    return groups.as_thick(_colored(spark, sf_dir))
 
 
 @_query(f"WITH {LINES_SQL} SELECT page_key, CAST(line_id AS INTEGER) AS line_id, CASE WHEN x0 >= 100 AND x0 <= 300 AND y0 >= 50 AND y0 <= 250 THEN true ELSE false END AS hit FROM lines")
@@ -519,14 +613,14 @@ def polygon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {LINES_SQL}, t AS (SELECT user_id, event_id, CAST(event_id % 500 AS DOUBLE) AS px, CAST(event_id % 300 AS DOUBLE) AS py FROM events WHERE event_id % 3 = 0)
+WITH {LINES_SQL}, t AS (SELECT user_id, event_id, CAST(event_id % 500 AS DOUBLE) AS px, CAST(event_id % 300 AS DOUBLE) AS py FROM events)
 SELECT t.event_id, l.page_key, l.line_id FROM t JOIN lines l ON l.page_key = t.user_id AND px BETWEEN l.x0 - 8 AND l.x1 + 8 AND py BETWEEN l.y0 - 8 AND l.y1 + 8
 QUALIFY row_number() OVER (PARTITION BY t.event_id ORDER BY (l.x1 - l.x0) * (l.y1 - l.y0), l.line_id) = 1
 """)
 def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest reading whose rectangle, padded by 8, holds the point that was clicked."""
     i = F.col("event_id")
-    clicks = read(spark, sf_dir, "events").where(i % 3 == 0).select(i, F.col("user_id").alias("page"), (i % 500).cast("double").alias("px"), (i % 300).cast("double").alias("py"))
+    clicks = read(spark, sf_dir, "events").select(i, F.col("user_id").alias("page"), (i % 500).cast("double").alias("px"), (i % 300).cast("double").alias("py"))
     r = g.Rect.of()
     hits = clicks.join(lines(spark, sf_dir), (F.col("page") == F.col("page_key")) & r.grown(8.0).holds(F.col("px"), F.col("py")))
     return spatial.first_of(hits, [F.col("event_id")], [r.area, F.col("line_id")]).select("event_id", "page_key", "line_id")
@@ -567,11 +661,14 @@ def labels_and_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", tx.circled(n).alias("label"), tx.family_key(stem).alias("family"))
 
 
-for _name, _fold in {
-    "roughness_merge": consensus.merge_roughness, "tiled_candidates": consensus.tiled_candidates, "corner_candidates": consensus.corner_candidates, "append_strips": consensus.append_strips,
-    "marking_merge": consensus.merge_markings, "roughness_parting": layout.part_overlaps,
-}.items():
-    _query(name=_name)(lambda spark, sf_dir, f=_fold: consensus.by_page(_dense(spark, sf_dir), f))
+@_query()
+def roughness_parting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.by_page(_dense(spark, sf_dir), layout.part_overlaps)
+
+
+@_query()
+def marking_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.by_page(_dense(spark, sf_dir), consensus.merge_markings, predicates.marking_quality(F.col("text"), F.col("score"), F.lit(0.0)).quality)
 
 
 def _agreed(readings: list[consensus.Reading]) -> list[consensus.Reading]:
@@ -615,10 +712,10 @@ def corner_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH {LINES_SQL}
-SELECT count(*) FILTER (tolerance BETWEEN 1 AND 9) AS deviations, count(*) FILTER (tolerance = 0) AS glyphs, count(*) AS clusters FROM lines WHERE tolerance < 10
+SELECT count(*) FILTER (tolerance BETWEEN 1 AND 9) AS deviations, count(*) FILTER (tolerance = 0) AS glyphs, count(*) FILTER (tolerance < 10) AS clusters FROM lines
 """)
 def fit_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lines(spark, sf_dir).where("tolerance < 10").select(F.when(F.col("tolerance") > 0, F.concat(F.lit("(+0.0"), F.col("tolerance").cast("string"), F.lit(" -0.001)"))).otherwise("(").alias("text"))
+    t = lines(spark, sf_dir).select(F.when(F.col("tolerance") > 9, "x").when(F.col("tolerance") > 0, F.concat(F.lit("(+0.0"), F.col("tolerance").cast("string"), F.lit(" -0.001)"))).otherwise("(").alias("text"))
     text = F.col("text")
     return t.agg(F.count_if(tx.is_fit_deviation(text)).alias("deviations"), F.count_if(text.rlike(tx.FIT_GLYPHS)).alias("glyphs"), F.count_if(tx.in_fit_cluster(text)).alias("clusters"))
 
@@ -697,13 +794,13 @@ def full_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH {LINES_SQL}, a AS (SELECT DISTINCT prefix, nominal FROM lines WHERE tolerance = 0 AND line_id % 2 = 0)
+WITH {LINES_SQL}, a AS (SELECT DISTINCT prefix, nominal FROM lines WHERE tolerance = 0)
 SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE a.prefix = l.prefix AND a.nominal = l.nominal)) AS matched FROM lines l WHERE tolerance > 0
 """)
 def benchmark_value_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many coloured readings have a candidate of the same kind and value."""
     t = lines(spark, sf_dir)
-    own = t.where("tolerance = 0 and line_id % 2 = 0").select("prefix", "nominal").distinct().withColumn("hit", F.lit(1))
+    own = t.where("tolerance = 0").select("prefix", "nominal").distinct().withColumn("hit", F.lit(1))
     return t.where("tolerance > 0").join(own, ["prefix", "nominal"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("matched"))
 
 
@@ -719,9 +816,6 @@ def marking_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_key", "line_id", box.alias("b")).select("page_key", "line_id", F.col("b.x0").alias("left"), F.col("b.x1").alias("right"), F.col("b.y0").alias("top"), F.col("b.y1").alias("bottom"))
 
 
-_query(name="strip_thickness")(lambda spark, sf_dir: consensus.by_page(_dense(spark, sf_dir).withColumn("text", tol.highlight(F.col("kind"), F.col("nominal") / 50)), layout.as_thick_beside))
-
-
 @_query(f"""
 WITH {LINES_SQL}, t AS (SELECT page_key, line_id, x0, y0, x0 + 8 AS x1, y0 + 40 AS y1, CASE WHEN line_id % 2 = 1 THEN 'φ' || CAST(CAST(nominal AS INTEGER) AS VARCHAR) || '96' ELSE '(-0.00' || CAST(line_id % 9 AS VARCHAR) || ')' END AS text, nominal FROM lines)
 SELECT page_key, line_id, CASE WHEN line_id % 2 = 1 AND EXISTS (SELECT 1 FROM t o WHERE o.page_key = l.page_key AND o.line_id % 2 = 0 AND least(l.y1, o.y1) - greatest(l.y0, o.y0) > -4 AND o.x0 - l.x1 BETWEEN -4 AND 34) THEN 'φ' || CAST(CAST(nominal AS INTEGER) AS VARCHAR) || 'G6' END AS fit FROM t l
@@ -751,3 +845,51 @@ SELECT page_key, line_id, CAST(CASE WHEN tolerance > 0 THEN 5 ELSE 0 END + CASE
 def marking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = predicates.marking_quality(F.col("text"), F.col("score"), F.lit(0.5))
     return lines(spark, sf_dir).select("page_key", "line_id", q.alias("q")).select("page_key", "line_id", "q.quality", "q.length", F.round("q.score", 6).alias("score"))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id FROM lines WHERE NOT ((line_id % 3 <> 0 AND y1 < 0.08 * {HEIGHT}) OR y0 > CASE WHEN prefix <> '' THEN 0.93 ELSE 0.86 END * {HEIGHT} OR x1 - x0 > 85 OR y1 - y0 > 85
+  OR (x1 < 0.22 * {WIDTH} AND y1 < 0.32 * {HEIGHT} AND line_id % 2 = 0))
+""")
+def margin_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = predicates.off_limits(g.Rect.of(), F.col("prefix") != "", F.col("line_id") % 3 == 0, F.col("line_id") % 2 == 1, F.lit(WIDTH), F.lit(HEIGHT))
+    return lines(spark, sf_dir).where(~out).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT o_orderkey AS page_key, w.page_key IS NULL AS needs_recognition, o_orderkey % 50 = 0 OR (w.page_key IS NULL AND i.page_key IS NOT NULL) AS scanned
+FROM orders LEFT JOIN (SELECT DISTINCT page_key FROM lines WHERE tolerance > 5) w ON w.page_key = o_orderkey LEFT JOIN (SELECT DISTINCT page_key FROM lines WHERE nominal > 25) i ON i.page_key = o_orderkey
+""")
+def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir)
+    pages = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_key"), (F.col("o_orderkey") % 50 == 0).alias("full_page_image"))
+    return predicates.page_routes(pages, t.where("tolerance > 5"), t.where("nominal > 25"))
+
+
+@_query(f"WITH {LINES_SQL} SELECT page_key, line_id FROM lines QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY CASE WHEN prefix IN ('R', 'C') THEN 0 ELSE 1 END, CASE WHEN nominal < 10 THEN 0 ELSE 1 END, y0, x0, line_id) <= 4")
+def regions_read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines(spark, sf_dir).withColumn("focus", F.col("prefix").isin("R", "C")).withColumn("small", F.col("nominal") < 10)
+    return spatial.first_regions(t).select("page_key", "line_id")
+
+
+@_query(f"WITH {LINES_SQL} SELECT page_key, line_id FROM lines WHERE line_id <= 3")
+def bounded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three segments of a page, as the first 700 are taken of a real one."""
+    return spatial.first_segments(lines(spark, sf_dir), 3).select("page_key", "line_id")
+
+
+@_query("""
+SELECT count(*) AS candidate_count, count(*) FILTER (event_id % 3 = 0) AS selected_count, count(*) FILTER (user_id % 5 = 2 AND event_id % 4 = 0) AS added_count,
+       count(*) FILTER (user_id % 5 = 2 AND event_id % 4 = 1) AS replacement_count, count(*) FILTER (user_id % 5 = 2 AND event_id % 4 = 2) AS struck_count FROM events
+""")
+def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    kind = F.get(F.array(*map(F.lit, ("dimension", "replacement", "strike", "note"))), (F.col("event_id") % 4).cast("int"))
+    return session.state(events.select((F.col("user_id") % 5).alias("page"), kind.alias("kind")), events.select((F.col("event_id") % 3 == 0).alias("selected")), F.lit(2))
+
+
+@_query()
+def reading_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.by_page(lines(spark, sf_dir).select("page_key", "line_id", "text", "score", "x0", "y0", "x1", "y1", F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1).alias("agreement"), F.lit("").alias("kind"), "nominal"), consensus.clusters)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from calibra.functions import geometry as g
 from calibra.functions import text as tx
 from calibra.functions import tolerance as tol
-from calibra.operators import consensus, evaluate, predicates, session
+from calibra.operators import consensus, evaluate, groups, predicates, session, spatial
 from calibra.operators.consensus import Reading
 
 NORMAL = {
@@ -104,7 +103,7 @@ def test_rectangles_that_touch_do_not_meet(spark):
 
 
 def r(k, text, score, *rect, **more):
-    return Reading(k, text, score, *map(float, rect), **more)
+    return Reading(k, text, float(score), *map(float, rect), **more)
 
 
 def test_fragments_join():
@@ -120,7 +119,8 @@ def test_fragments_join():
 
 def test_readings_merge():
     same = [r(1, "12.5", 0.8, 0, 0, 10, 10), r(2, "12.5", 0.9, 5, 0, 15, 10), r(3, "47.85", 0.9, 100, 0, 110, 10), r(4, "7.85", 0.95, 101, 0, 111, 10), r(5, "C0.15", 0.9, 200, 0, 210, 10), r(6, "0.15±0.02", 0.8, 202, 0, 212, 10)]
-    got = consensus.merge_readings(same)
+    ranks = {"12.5": 3, "47.85": 4, "7.85": 3, "C0.15": 4, "0.15±0.02": 8}  # as predicates.reading_quality gives them
+    got = consensus.merge_readings([replace(x, quality=ranks[x.text]) for x in same])
     assert [(x.line_id, x.text, x.agreement) for x in got] == [(2, "12.5", 2), (3, "47.85", 1), (6, "0.15±0.02", 2)]
 
 
@@ -128,31 +128,104 @@ def test_candidates_and_bands():
     two = [r(1, "12", 0.9, 0, 0, 10, 10, nominal=12.0), r(2, "φ12", 0.9, 8, 0, 18, 10, nominal=12.0), r(3, "12", 0.9, 200, 0, 210, 10, nominal=12.0)]
     assert [x.line_id for x in consensus.dedupe_candidates(two)] == [2, 3]
     assert [x.line_id for x in consensus.merge_candidates([r(1, "12", 0.9, 0, 0, 10, 10), r(2, "12", 0.9, 1, 0, 11, 10)])] == [2]
-    strips = [r(1, "#ffff00", 1, 0, 0, 20, 8), r(2, "#ffff00", 1, 24, 0, 30, 8), r(3, "#ff33cc", 1, 24, 0, 30, 8), r(4, "#ffff00", 1, 0, 40, 20, 48)]
-    assert [(x.x0, x.x1, x.agreement) for x in consensus.bands(strips)] == [(0, 30, 2), (24, 30, 1), (0, 20, 1)]
 
 
-@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.sampled_from(["12", "12.5", "φ12", "5"])), max_size=12))
-@settings(max_examples=60, deadline=None)
-def test_groups_are_the_closure_of_their_links(items):
-    lines = [r(k, t, 0.9, x, y, x + 10, y + 8, nominal=12.0) for k, (x, y, t) in enumerate(items)]
-    root = {x.line_id: x.line_id for x in lines}
-    for _ in lines:
-        for a, b in itertools.permutations(lines, 2):
-            if consensus.same_callout(a, b):
-                root[a.line_id] = root[b.line_id] = min(root[a.line_id], root[b.line_id])
-    got = {x.line_id: x.agreement for x in consensus.labelled(consensus.same_callout, lines)}
-    assert got == root
+def strips(spark, rows):
+    """rows: readings on page 1."""
+    return spark.createDataFrame([(1, *(getattr(x, c) for c in consensus.COLUMNS[1:])) for x in rows], consensus.SCHEMA)
+
+
+def test_bands(spark):
+    flat = [r(1, "#ffff00", 1, 0, 0, 20, 8), r(2, "#ffff00", 1, 24, 0, 30, 8), r(3, "#ff33cc", 1, 24, 0, 30, 8), r(4, "#ffff00", 1, 0, 40, 20, 48)]
+    got = {x.line_id: (x.x0, x.x1, x.agreement) for x in groups.bands(strips(spark, flat)).collect()}
+    assert got == {1: (0, 30, 2), 3: (24, 30, 1), 4: (0, 20, 1)}
+    down = [r(x.line_id, x.text, 1, x.y0, x.x0, x.y1, x.x1, dx=0.0, dy=1.0) for x in flat]
+    assert {x.line_id: (x.y0, x.y1, x.agreement) for x in groups.bands(strips(spark, down)).collect()} == got
+    # strips that run down don't run on to the side, limits keep their own, and two whole strips stay two
+    beside = [r(1, "c", 1, 0, 0, 8, 20, dx=0.0, dy=1.0), r(2, "c", 1, 12, 0, 20, 20, dx=0.0, dy=1.0), r(3, "c", 1, 100, 0, 120, 8, kind="limit"), r(4, "c", 1, 122, 0, 130, 8), r(5, "c", 1, 200, 0, 240, 8), r(6, "c", 1, 241, 0, 280, 8)]
+    assert groups.bands(strips(spark, beside)).count() == 6
+
+
+def test_strips_beside_get_one_thickness(spark):
+    two = [r(1, "c", 1, 0, 0, 30, 6), r(2, "c", 1, 5, 10, 25, 20), r(3, "c", 1, 200, 0, 220, 6), r(4, "d", 1, 0, 10, 30, 14)]
+    got = {x.line_id: (x.x0, x.y0, x.x1, x.y1) for x in groups.as_thick(strips(spark, two)).collect()}
+    assert got == {1: (-0.2, -1.0, 30.2, 7.0), 2: (4.8, 11.0, 25.2, 19.0), 3: (200.0, 0.0, 220.0, 6.0), 4: (0.0, 10.0, 30.0, 14.0)}
+
+
+def brute_callout(a, b):
+    d = ((a.x0 + a.x1 - b.x0 - b.x1) ** 2 / 4 + (a.y0 + a.y1 - b.y0 - b.y1) ** 2 / 4) ** 0.5
+    return d <= 30 and (consensus.shared(a, b) > 0.15 or a.text in b.text or b.text in a.text)
+
+
+def test_groups_are_the_closure_of_their_edges(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for page in range(40):
+        lines = [r(k, rng.choice(["12", "12.5", "φ12", "5"]), 0.9, x := rng.randrange(60), y := rng.randrange(60), x + 10, y + 8, nominal=12.0) for k in range(rng.randrange(1, 9))]
+        root = {x.line_id: x.line_id for x in lines}
+        for _ in lines:
+            for a, b in itertools.permutations(lines, 2):
+                if brute_callout(a, b):
+                    root[a.line_id] = root[b.line_id] = min(root[a.line_id], root[b.line_id])
+        want |= {(page, k): v for k, v in root.items()}
+        rows += [(page, *(getattr(x, c) for c in consensus.COLUMNS[1:])) for x in lines]
+    df = spark.createDataFrame(rows, consensus.SCHEMA)
+    assert {(x.page_key, x.line_id): x.group for x in groups.grouped(df, groups.callout()).collect()} == want
+    assert groups.grouped(df.limit(0), groups.callout()).count() == 0
+
+
+def test_limits_and_fits_group_by_their_own_rules(spark):
+    rows = [r(1, "R0.2以下", 1, 0, 0, 10, 8, kind="limit", nominal=0.2), r(2, "R0.2", 1, 0, 0, 10, 8, kind="radius", nominal=0.2), r(3, "R0.2以下", 1, 5, 0, 15, 8, kind="limit", nominal=0.2), r(4, "φ24H7", 1, 100, 0, 110, 8, kind="diameter", nominal=24.0), r(5, "x24", 1, 120, 0, 130, 8, nominal=24.0), r(6, "y24", 1, 145, 0, 155, 8, nominal=24.0)]
+    assert {x.line_id: x.group for x in groups.grouped(strips(spark, rows), groups.callout()).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def pairs(spark, test, one, *others):
+    """Which of the others the test holds for: (text, nominal, x0, y0, x1, y1)."""
+    schema = "page_key long, line_id int, text string, nominal double, x0 double, y0 double, x1 double, y1 double"
+    df = spark.createDataFrame([(1, k, t, n, *map(float, box)) for k, (t, n, *box) in enumerate((one, *others))], schema)
+    hits = df.where("line_id = 0").alias("l").join(df.where("line_id > 0").alias("o"), test(g.Rect.of("l"), g.Rect.of("o")))
+    return sorted(x[0] - 1 for x in hits.select("o.line_id").collect())
+
+
+def test_a_whole_number_echoes_the_digits_of_a_richer_text(spark):
+    rich = [("φ20.5±0.1", 20.5, 2, 0, 30, 8), ("φ21.5±0.1", 21.5, 2, 0, 30, 8), ("φ20.5±0.1", 20.5, 60, 0, 90, 8)]
+    assert pairs(spark, spatial.digit_echo, ("20", 20.0, 0, 0, 10, 8), *rich) == [0]
+    assert pairs(spark, spatial.digit_echo, ("020", 20.0, 0, 0, 10, 8), *rich) == [0]
+    for text in ("φ20", "20°", "20.0", "20,0"):
+        assert pairs(spark, spatial.digit_echo, (text, 20.0, 0, 0, 10, 8), *rich) == []
+
+
+def test_a_tolerance_is_attached_in_the_height_of_its_size(spark):
+    size = ("20", 20.0, 0, 0, 10, 8)
+    assert pairs(spark, spatial.tolerance_attached, size, ("±0.1", 0.0, 12, 1, 30, 9)) == [0]
+    assert pairs(spark, spatial.tolerance_attached, size, ("±0.1", 0.0, 50, 1, 70, 9)) == []
+    # in the same column below, but without a common height
+    assert pairs(spark, spatial.tolerance_attached, size, ("±0.1", 0.0, 0, 10, 10, 18)) == []
+    # far to the left, but at its lower edge and in its height
+    assert pairs(spark, spatial.tolerance_attached, size, ("±0.1", 0.0, -60, 5, -40, 13)) == [0]
+
+
+def test_a_stack_is_of_short_fragments_about_a_whole_number(spark):
+    schema = "page_key long, line_id int, text string, x0 double, y0 double, x1 double, y1 double"
+
+    def kept(*rows):
+        df = spark.createDataFrame([(1, k, t, *map(float, box)) for k, (t, *box) in enumerate(rows)], schema)
+        return sorted(x.line_id for x in spatial.stacked(df, df).collect())
+
+    size = ("20", 0, 20, 10, 28)
+    assert kept(size, ("+", 2, 5, 6, 10), ("0.1", 2, 40, 8, 46)) == [1, 2]
+    assert kept(size, ("+", 2, 5, 6, 10), ("φ20.1", 2, 40, 8, 46)) == [0, 1, 2]
+    assert kept(size, ("+", 2, 5, 6, 10), ("0.1", 40, 40, 48, 46)) == [0, 1, 2]
+    assert kept(("φ20", 0, 20, 10, 28), ("+", 2, 5, 6, 10), ("0.1", 2, 40, 8, 46)) == [0, 1, 2]
 
 
 def test_row_order_does_not_matter(spark):
     rng = random.Random(4)
-    rows = [(rng.randrange(5), k, rng.choice(["12", "12.5", "+0.1", "φ", "9"]), 0.9, float(x := rng.randrange(60)), float(y := rng.randrange(30)), x + 9.0, y + 8.0, 1, "linear", 12.0) for k in range(200)]
+    rows = [(rng.randrange(5), k, rng.choice(["12", "12.5", "+0.1", "φ", "9"]), 0.9, float(x := rng.randrange(60)), float(y := rng.randrange(30)), x + 9.0, y + 8.0, 1.0, 0.0, 1, "linear", 12.0) for k in range(200)]
     out = []
     for _ in range(2):
         rng.shuffle(rows)
         out.append(sorted(map(tuple, consensus.by_page(spark.createDataFrame(rows, consensus.SCHEMA).repartition(7), consensus.join_fragments).collect())))
-    assert out[0] == out[1] and consensus.by_page(spark.createDataFrame([], consensus.SCHEMA), consensus.bands).count() == 0
+    assert out[0] == out[1] and consensus.by_page(spark.createDataFrame([], consensus.SCHEMA), consensus.append_strips).count() == 0
 
 
 def test_scores_and_replay(spark):

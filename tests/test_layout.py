@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from calibra.functions import geometry as g
 from calibra.functions import text as tx
-from calibra.operators import consensus, layout, predicates, session, spatial
+from calibra.operators import consensus, groups, layout, predicates, session, spatial
 from calibra.operators.consensus import Reading
 
 POINT = "struct<x:double,y:double>"
@@ -75,11 +75,21 @@ def test_strips_part_in_the_middle():
     assert layout.part_overlaps([r(1, "x", 0, 0, 20, 8), r(2, "x", 30, 0, 40, 8)])[0].x1 == 20
 
 
-def test_roughness_markings_and_reads():
+def test_roughness_merges_and_nothing_else_does(spark):
     parts = [r(1, "Rz 6.3", 0, 0, 20, 8, kind="roughness", nominal=6.3), r(2, "6.3", 25, 1, 35, 9, kind="roughness", nominal=6.3), r(3, "6.3", 80, 0, 90, 8, kind="roughness", nominal=6.3)]
-    assert [(x.line_id, x.x1, x.agreement) for x in consensus.merge_roughness(parts)] == [(1, 35.0, 2), (3, 90.0, 1)]
+    lengths = [r(k + 10, "6.3", *box, nominal=6.3) for k, box in enumerate(((0, 0, 20, 8), (1, 1, 21, 9)))]
+    df = spark.createDataFrame([(1, *(getattr(x, c) for c in consensus.COLUMNS[1:])) for x in [*parts, *lengths]], consensus.SCHEMA)
+    got = sorted((x.line_id, x.x0, x.x1, x.agreement) for x in groups.merged_roughness(df).collect())
+    assert got == [(1, 0.0, 35.0, 2), (3, 80.0, 90.0, 1), (10, 0.0, 20.0, 1), (11, 1.0, 21.0, 1)]
+
+
+def test_markings_and_reads():
     marks = [r(1, "R0.2以下", 0, 0, 20, 8, kind="limit", nominal=0.2), r(2, "C0.2以下", 0, 2, 20, 10, kind="limit", nominal=0.2), r(3, "φ24.95g6", 100, 0, 140, 8, kind="diameter", nominal=24.95), r(4, "95g6", 120, 0, 140, 8, nominal=95.0), r(5, "12±0.1", 200, 0, 220, 8, nominal=12.0), r(6, "12", 205, 0, 220, 8, nominal=12.0)]
     assert [x.text for x in consensus.merge_markings(marks)] == ["R0.2以下", "C0.2以下", "φ24.95g6", "12±0.1"]
+    small = consensus.merge_markings([r(1, "R0.2±0.1", 0, 4, 20, 10, kind="radius", nominal=0.2, quality=5), r(2, "R0.2", 2, 0, 24, 8, kind="radius", nominal=0.2)])
+    assert [(x.x0, x.y0, x.x1, x.y1) for x in small] == [(-0.4, 0.0, 24.4, 10.0)]
+    down = consensus.merge_markings([r(1, "12", 0, 0, 8, 20, nominal=12.0, dx=0.0, dy=1.0), r(2, "12", 1, 5, 10, 30, nominal=12.0, dx=0.0, dy=1.0)])
+    assert [(x.x0, x.y0, x.x1, x.y1) for x in down] == [(0.0, -0.4, 8.0, 30.4)]
     reads = [r(1, "C02", 0, 0, 10, 8, nominal=0.2), r(2, "C0.2", 1, 0, 11, 8, nominal=0.2), r(5, "C0.3", 50, 0, 60, 8, nominal=0.3)]
     assert [x.text for x in consensus.independent_reads(reads, lambda x: x.line_id)] == ["C0.2"]
 

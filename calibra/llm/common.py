@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Hashable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 from itertools import accumulate
 
 import numpy as np
@@ -135,14 +136,41 @@ class Recent(dict):
 _kept: dict[Hashable, object] = {}
 
 
-def kept(key: Hashable, make: Callable):
-    """What this worker keeps for the operator that runs, made by make(). What it kept for another goes: Spark goes on using its workers, and caches would add up."""
+def kept(key: tuple, make: Callable):
+    """What this worker keeps from task to task, made by make(); one thing, under a key that begins with the name of the module that keeps it."""
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
 
+@lru_cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def frugal(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """f, a function over a task's batches, that leaves no memory behind: Spark goes on using its workers for other stages.
+
+    What another module keeps in this worker goes before the task, and what the task has freed goes back to the system after it.
+    """
+
+    @wraps(f)
+    def run(*args):
+        if any(key[0] != f.__module__ for key in _kept):
+            _kept.clear()
+        try:
+            yield from f(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return run
+
+
 #: A number for each byte, 0 where words part: of words between ASCII white space, of the same with A-Z as a-z, and of words of [0-9a-z] and non-ASCII characters.
 CASED = np.array([xxhash.xxh64_intdigest(bytes([c])) | 1 for c in range(256)], np.uint64)
 CASED[[9, 10, 11, 12, 13, 32]] = 0

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import SPELT, cut, drop_keys, run_hashes
+from calibra.llm.common import SPELT, cut, drop_keys, frugal, run_hashes
 from calibra.llm.licenses import words
 from calibra.llm.wordtable import hashed_words, text_hashes
 
@@ -48,6 +48,7 @@ def sketch(n: int, containment: float) -> int:
     return most - need(most, containment) + 1
 
 
+@frugal
 def _sketches(width: int, containment: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item, width, least, key): the item's sketch, one row for each hash; least: shingles that the partition asks of a document."""
     for b in batches:
@@ -71,6 +72,7 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+@frugal
 def _hits(bitmap, widths: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, text, n_words, width, keys) of the documents with shingles that pass the bitmap; row numbers them."""
     have, at = bitmap.value, TaskContext.get().partitionId() << 33
@@ -93,6 +95,7 @@ def _hits(bitmap, widths: list[int], batches: Iterator[pa.RecordBatch]) -> Itera
         at += b.num_rows
 
 
+@frugal
 def _contained(width: int, containment: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (row, text first): a document's text, then the items that it may contain."""
     now, sets, own = (None, None), {}, []

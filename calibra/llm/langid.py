@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibra.llm.common import frugal
+
 #: Language codes by family. Fixed values; a language that isn't named is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi".split(),
@@ -120,6 +122,7 @@ def fit(x: np.ndarray, langs: Sequence[str]) -> Model:
     return Model(families, family, pair)
 
 
+@frugal
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [t.as_py() for t in b.column(2)]
@@ -128,6 +131,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), pa.array([vector(texts[k]).astype(np.float16).tobytes() for k in keep], pa.binary())], names=["lang", "draw", "x"])
 
 
+@frugal
 def _predict(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [model.value.predict(t.as_py()) for t in b.column(1)]
@@ -175,6 +179,7 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc
     return out.select(F.col("row").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
 
 
+@frugal
 def _keep(model, at: int, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [model.value.predict(t.as_py()) for t in b.column(at)]

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibra.llm.common import frugal
+
 #: A-Z to a-z; 0-9, a-z and all bytes from 0x80 stay; the rest separates words.
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -96,6 +98,7 @@ class Index:
         return out
 
 
+@frugal
 def _frequencies(vocabulary: frozenset[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, n = Counter(), 0
     for b in batches:
@@ -108,6 +111,7 @@ def _frequencies(vocabulary: frozenset[bytes], batches: Iterator[pa.RecordBatch]
 SPANS = "array<struct<label:string,base:boolean,start:bigint,words:int,score:double>>"
 
 
+@frugal
 def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("words", pa.int32()), ("score", pa.float64())]))
     for b in batches:

@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm.common import CASED, Recent, kept, mix
-from calibra.llm.wordtable import WordTable, by_text, chunks
+from calibra.llm.common import CASED, Recent, cut, frugal, kept, mix
+from calibra.llm.wordtable import Chunk, WordTable, by_text, chunks
 
 SPACE = "▁"
 #: Words of the broadcast dictionary, and the longest of them; also the words kept by a worker in each of two generations.
@@ -127,7 +127,7 @@ class Pieces(NamedTuple):
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
 
-@lru_cache(2)
+@lru_cache(1)
 def load(path: str) -> Pieces:
     import sentencepiece
 
@@ -150,23 +150,67 @@ def load(path: str) -> Pieces:
     return Pieces(unigram, {names[i]: i for i in plain}, {names[i]: p.get_score(i) for i in plain}, raw, [by_byte[b] for b in range(256)] if len(by_byte) == 256 else [], p.unk_id(), pairs, max(len(names[i]) for i in plain), not any("\n" in x for x in pairs))
 
 
+#: Words part at spaces, which go, and before line feeds, which stay.
+AT_SPACES = CASED.copy()
+AT_SPACES[9:14] = mix(np.arange(9, 14, dtype=np.uint64))
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """Stretches (from, to, value) of equal values."""
+    edges = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else []
+    for lo, hi in zip(edges, edges[1:]):
+        yield lo, hi, bool(x[lo])
+
+
+def _parted(texts: pa.Array) -> Iterator[tuple[pa.Array, bool]]:
+    """A column in stretches of texts whose spaces stand alone and within them, as Pieces.keys parts them, and of other texts (True)."""
+    odd = np.zeros(len(texts), bool)
+    for mark in ("  ", " \n", SPACE):
+        odd |= pc.match_substring(texts, mark).fill_null(False).to_numpy(zero_copy_only=False)
+    for at, mark in ((pc.starts_with, " "), (pc.starts_with, "\n"), (pc.ends_with, " ")):
+        odd |= at(texts, mark).fill_null(False).to_numpy(zero_copy_only=False)
+    for lo, hi, alone in _runs(odd):
+        yield texts.slice(lo, hi - lo), alone
+
+
+def _chunks(model: Pieces, texts: pa.Array) -> Iterator[Chunk]:
+    return chunks(texts, AT_SPACES, 10 if model.parts_lines else -1)
+
+
+@frugal
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): words and their occurrences, added up over as many texts as have KEPT_WORDS different keys."""
     model = load(path)
+    names: list[bytes] = []
+    table = WordTable(lambda raw: (names.append(raw) or b"", True))
+    seen, odd = np.zeros(0, np.int64), Counter()
 
     def flush() -> pa.RecordBatch:
         words: Counter[str] = Counter()
-        for key, n in seen.items():
+        for key, n in [*zip((x.decode("utf-8", "surrogatepass") for x in names), seen.tolist()), *odd.items()]:
             for w in model.cut(model.part(key)):
                 words[w] += n
-        seen.clear()
+        names.clear()
+        odd.clear()
+        table.empty()
         return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
-    seen: Counter[str] = Counter()
     for b in batches:
-        for t in b.column(0):
-            seen.update(model.keys(t.as_py() or ""))
-            if len(seen) > KEPT_WORDS:
+        for part, alone in _parted(b.column(0)):
+            if alone:
+                for t in part.to_pylist():
+                    odd.update(model.keys(t))
+            else:
+                for c in _chunks(model, part):
+                    table.look(c)
+                    seen = np.concatenate([seen, np.zeros(table.words - len(seen), np.int64)])
+                    seen += np.bincount(table.found, minlength=table.words)
+                    if table.words > KEPT_WORDS:
+                        yield flush()
+                        seen = np.zeros(0, np.int64)
+            if len(odd) > KEPT_WORDS:
                 yield flush()
+                seen = np.zeros(0, np.int64)
     yield flush()
 
 
@@ -247,18 +291,23 @@ def fold(lattices: DataFrame, model: Pieces) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY_WORDS, text_col: str = "text") -> DataFrame:
-    """(word, ids) of the corpus's most frequent words, as many as size."""
+    """(word, ids) of the corpus's most frequent words, as many as size at most.
+
+    The least number of occurrences comes from a histogram with 64 steps to each doubling, so no task ranks all words.
+    """
     model = load(path)
-    top = count_words(docs, path, text_col).where(F.length("word") <= DICTIONARY_LENGTH).orderBy(F.desc("n"), "word").limit(size).select("word")
+    step = F.floor(F.log2("n") * 64)
+    counts = cut(count_words(docs, path, text_col).where(F.length("word") <= DICTIONARY_LENGTH).withColumn("step", step))
+    least, room = None, size
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):
+        if (room := room - r.words) < 0:
+            break
+        least = r.step
+    top = counts.where(F.lit(least is not None) & (F.col("step") >= F.lit(least or 0))).select("word")
     top = top.repartition(max(8, size // 4000), F.col("word"))  # folding is work for many tasks, few bytes as the words are
     return fold(lattice(top, piece_table(docs.sparkSession, path), model.longest), model)
 
 
-#: Words part at spaces, which go, and before line feeds, which stay.
-AT_SPACES = CASED.copy()
-AT_SPACES[9:14] = mix(np.arange(9, 14, dtype=np.uint64))
-
-
 class Encoder:
     """The ids of texts, from a table of the keys (see Pieces.keys) that this worker has met."""
 
@@ -282,19 +331,14 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids of some texts, one behind the other; how many each has; whether they decode to it), until all texts have come."""
-        odd = np.zeros(len(texts), bool)
-        for mark in ("  ", " \n", SPACE):
-            odd |= pc.match_substring(texts, mark).fill_null(False).to_numpy(zero_copy_only=False)
-        for at, mark in ((pc.starts_with, " "), (pc.starts_with, "\n"), (pc.ends_with, " ")):
-            odd |= at(texts, mark).fill_null(False).to_numpy(zero_copy_only=False)
-        for lo, hi, alone in _runs(odd):
+        for part, alone in _parted(texts):
             if alone:
-                for t in texts.slice(lo, hi - lo).to_pylist():
+                for t in part.to_pylist():
                     ids, exact = self.text(t)
                     yield np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]), np.array([exact])
                 continue
             rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for c in chunks(texts.slice(lo, hi - lo), AT_SPACES, 10 if self.model.parts_lines else -1):
+            for c in _chunks(self.model, part):
                 ids, sizes = self.table.look(c)
                 wrong = np.concatenate([[0], np.cumsum(~self.table.flags())])
                 ends = np.concatenate([[0], np.cumsum(c.counts)])
@@ -304,15 +348,9 @@ class Encoder:
                     rest = []
 
 
-def _runs(x: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """Stretches (from, to, value) of equal values."""
-    edges = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else []
-    for lo, hi in zip(edges, edges[1:]):
-        yield lo, hi, bool(x[lo])
-
-
+@frugal
 def _encode(path: str, words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = kept(("pieces", path, words.id), lambda: Encoder(load(path), words.value))
+    encoder = kept((__name__, path, words.id), lambda: Encoder(load(path), words.value))
     for b in batches:
         row = 0
         for ids, n, exact in encoder.encode(b.column(1)):
@@ -349,6 +387,7 @@ def encode(docs: DataFrame, path: str, size: int = DICTIONARY_WORDS, id_col: str
     return rows.mapInArrow(partial(_encode, path, _Words(sent._jbroadcast.id(), sent)), "doc_id long, n_pieces long, ids_crc32 long, exact boolean, ids array<int>")
 
 
+@frugal
 def _decode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = load(path)
     for b in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import CASED, cut, run_hashes
+from calibra.llm.common import CASED, cut, frugal, run_hashes
 from calibra.llm.wordtable import text_hashes
 
 #: Common function words of several European languages. Fixed values.
@@ -57,6 +57,7 @@ def features(text: str | None) -> tuple[int, ...]:
     )
 
 
+@frugal
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [features(t.as_py()) for t in b.column(1)]

@@ -71,22 +71,29 @@ OP8_SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(CAST(floor(turn / 256) AS BIGINT), -1) AS part, coalesce(CAST(turn AS BIGINT), 0) AS turn,
          coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, text) - 1) // 256 AS piece FROM t
+), c AS (
+  SELECT conv_id, min(part) AS first_part, first(text ORDER BY turn, role, text) FILTER (role = 'system') AS opening FROM t GROUP BY conv_id
 ), s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
+), r AS (
+  SELECT p.conv_id, part, piece, turn, role, text, false AS added FROM p
+  UNION ALL SELECT q.conv_id, part, piece, -1, 'system', opening, true
+  FROM (SELECT DISTINCT conv_id, part, piece FROM p) q JOIN c ON c.conv_id IS NOT DISTINCT FROM q.conv_id WHERE opening IS NOT NULL AND (part <> first_part OR piece > 0)
 ), l AS (
-  SELECT t.conv_id, s.speaker, t.part, t.turn, t.role, t.text, t.role = s.speaker AS own,
-         '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant' WHEN t.role = 'system' THEN 'system'
-           ELSE 'user name=' || replace(replace(t.role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') END || chr(10) AS head,
-         replace(replace(t.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' AS body
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
-), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text) AS k FROM l
+  SELECT r.conv_id, s.speaker, r.part, r.piece, r.turn, r.role, r.text, r.added, r.role = s.speaker AS own,
+         '<|im_start|>' || CASE WHEN r.role = s.speaker THEN 'assistant' WHEN r.role = 'system' THEN 'system'
+           ELSE 'user name=' || replace(replace(translate(r.role, chr(10) || chr(13), '  '), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') END || chr(10) AS head,
+         replace(replace(r.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' AS body
+  FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
+), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY added DESC, turn, role, text) AS k FROM l
 ), o AS (
-  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY k) AS BIGINT) - 1 AS stop FROM n
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY k) AS BIGINT) - 1 AS stop FROM n
 )
-SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+SELECT conv_id, speaker, part, piece, count(*) FILTER (NOT added) AS n_turns, count(*) FILTER (own) AS n_own,
        string_agg(head || body, chr(10) ORDER BY k) || chr(10) AS rendered,
        coalesce(list(stop - length(body) ORDER BY k) FILTER (own), CAST([] AS BIGINT[])) AS mask_starts,
        coalesce(list(stop ORDER BY k) FILTER (own), CAST([] AS BIGINT[])) AS mask_ends
-FROM o GROUP BY conv_id, speaker, part
+FROM o GROUP BY conv_id, speaker, part, piece
 """
 
 OP4_SQL = r"""

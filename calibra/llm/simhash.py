@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import cut, drop_keys, shingle_spans, space_words
+from calibra.llm.common import cut, drop_keys, frugal, shingle_spans, space_words
 from calibra.llm.graph import components
 
 NODES = 2048
@@ -45,6 +45,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@frugal
 def _fingerprints(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array((_signed(fingerprint(t.as_py(), width)) for t in b.column(1)), pa.int64())], names=["doc_id", "fp"])
@@ -116,6 +117,7 @@ def shard_links(tree: list[tuple[int, int]], queries: list[tuple[int, int]] | No
     return out
 
 
+@frugal
 def _links(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (combo, block, part, a, b, own); those with own = a are the tree, the others the slice to search."""
     now, tree, queries = None, [], []

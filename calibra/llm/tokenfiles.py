@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibra.llm.common import CASED, Recent, kept
+from calibra.llm.common import CASED, Recent, frugal, kept
 from calibra.llm.wordtable import WordTable, by_text, chunks
 
 END_ID = 2
@@ -100,7 +100,7 @@ class TextEncoder:
 
 
 def encoder(path: str) -> WordEncoder | TextEncoder:
-    return kept(path, partial(_encoder, path))
+    return kept((__name__, path), partial(_encoder, path))
 
 
 def _encoder(path: str) -> WordEncoder | TextEncoder:
@@ -112,6 +112,7 @@ def _encoder(path: str) -> WordEncoder | TextEncoder:
     return WordEncoder(tokenizer) if by_words and not any(made["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix")) else TextEncoder(tokenizer)
 
 
+@frugal
 def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the shard, which is the number of the partition, and each document's place in it."""
     encode, at, shard = encoder(path).encode, 0, TaskContext.get().partitionId()
@@ -163,6 +164,7 @@ def places(files: DataFrame) -> DataFrame:
     return _placed(files.select("doc_id", "shard", "shard_start"), files)
 
 
+@frugal
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(b.schema.get_field_index("ids"))

@@ -3,8 +3,8 @@
 A cascade holds a set of listed keys. Its first level is a Bloom filter of them, the second one of those keys of the
 universe that pass the first without being listed, the third one of the listed keys that pass the second, and so on
 until a level has no false positive. The universe is every key that any row can ask for, so the answer is exact for
-each of them: the parity of the first level that a key doesn't pass. The filters travel as literals; their size is
-bound by the listed keys, and lists of over MAX_LISTED keys are looked up by a join.
+each of them: the parity of the first level that a key doesn't pass. A level's bits travel as one literal, some ten to
+thirty bits for a listed key, so a list of MAX_LISTED keys takes a few MB; only beyond, a list is looked up by a join.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LISTED = 20_000
+MAX_LISTED = 1_000_000
 #: (verdict, host, path); a rule fits its host and all subdomains, where the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Hosts blocked where no rule fits.
@@ -46,7 +46,7 @@ class Cascade:
 
     def _passes(self, key: Column, level: int) -> Column:
         m, k, words = self.levels[level]
-        have = F.array(*[F.lit(w).cast("long") for w in words])
+        have = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # one literal, whatever the number of words
         hit = F.lit(True)
         for b in _bits(key, level, m, k):
             hit = hit & (F.getbit(F.element_at(have, (F.floor(b / 64) + 1).cast("int")), (b % 64).cast("int")) == 1)
@@ -126,7 +126,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
 
 def _keys(spark: SparkSession, keys: Sequence[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in keys]) if keys else F.lit([]).cast("array<string>")).alias("key"))
+    return spark.createDataFrame([(k,) for k in keys], "key string")
 
 
 def _by_join(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed_hosts: Sequence[str], id_col: str, url_col: str) -> DataFrame:

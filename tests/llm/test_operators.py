@@ -331,6 +331,19 @@ def test_perspectives(spark):
     bob = got[1, "bob", 0]
     assert [bob.rendered[a:b] for a, b in zip(bob.mask_starts, bob.mask_ends)] == ["yo<|im_end|>"] * 2 and bob.n_own == 2 and bob.n_turns == 4
     assert got[1, "bob", 1].mask_starts == [] and chat.perspectives(df.limit(0)).count() == 0
+    late = got[1, "ann", 1]  # a later part opens with the system's turn, which isn't its own
+    assert late.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nlater<|im_end|>\n" and late.n_turns == 1
+    assert [late.rendered[a:b] for a, b in zip(late.mask_starts, late.mask_ends)] == ["later<|im_end|>"]
+
+
+def test_turns_of_one_number_come_in_pieces(spark):
+    turns = [(1, 0, "system", "be kind")] + [(1, 5, "a\nb", f"{k:04}") for k in range(600)] + [(1, None, "c", "x")] * 300
+    got = {(r.speaker, r.part, r.piece): r for r in chat.perspectives(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()}
+    assert {k[1:]: r.n_turns for k, r in got.items()} == {(-1, 0): 256, (-1, 1): 44, (0, 0): 256, (0, 1): 256, (0, 2): 89}
+    assert all(r.n_own == (0 if s == "c" else r.n_turns - (p == 0 and k == 0)) for (s, p, k), r in got.items() if p == 0)
+    assert "user name=a b\n" in got["c", 0, 1].rendered and got["c", 0, 1].rendered.startswith("<|im_start|>system\nbe kind")
+    own = [r.rendered[a:b] for k, r in sorted(got.items()) if k[0] == "a\nb" for a, b in zip(r.mask_starts, r.mask_ends)]
+    assert own == [f"{k:04}<|im_end|>" for k in range(600)]
 
 
 # --- passages
@@ -495,6 +508,14 @@ def test_url_rules(spark, monkeypatch, by_join):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_a_long_list_of_hosts_goes_through_the_cascade(spark, monkeypatch):
+    monkeypatch.setattr(urls, "_by_join", None)
+    listed = [f"h{k}.example.edu" for k in range(0, 60_000, 2)]
+    df = spark.range(3000).selectExpr("id AS page_id", "concat('http://', if(id % 3 = 0, 'www.', ''), 'h', id, '.example.edu/x') AS url")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(df, listed_hosts=listed).collect()}
+    assert got == {k: "allow" if k % 2 else "block" for k in range(3000)}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(3000).selectExpr("concat('k', id) AS key")
     listed = spark.range(0, 3000, 7).selectExpr("concat('k', id) AS key")

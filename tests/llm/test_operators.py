@@ -258,6 +258,41 @@ def test_words_encode_as_the_whole_text(text):
     assert ids_of(tokenfiles.encoder(path), [text, text])[1] == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_ids_are_encoded_as_asked_and_pages_are_indexed(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows_ = [(k, prose(k, 300)) for k in range(400)]
+    for encoding, name in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        path = f"{tmp_path}/{encoding}"
+        tokenfiles.write(docs(spark, rows_).repartition(2), path, public_tokenizers.path("word_bpe_49k.json"), encoding=encoding)
+        seen = set()
+        for file in sorted((tmp_path / encoding).glob("*.parquet")):
+            meta = pq.ParquetFile(file).metadata
+            for g in range(meta.num_row_groups):
+                for c in range(meta.num_columns):
+                    column = meta.row_group(g).column(c)
+                    assert column.has_column_index and column.has_offset_index
+                    if column.path_in_schema.startswith("ids"):
+                        seen |= set(column.encodings)
+                    else:
+                        assert "RLE_DICTIONARY" not in column.encodings
+        assert name in seen and ("RLE_DICTIONARY" in seen) == (encoding == "dictionary")
+    one = tokenfiles.read(spark, f"{tmp_path}/delta").where("doc_id = 7").select("doc_id", "n_tokens")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan and "EqualTo(doc_id,7)" in plan
+
+
+def test_other_tokenizers_take_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [*ODD[:7], (9, "Two  spaces,\n and A Capital"), (10, None)]
+    tokenfiles.write(docs(spark, texts), f"{tmp_path}/bytes", path, end_id=50256)
+    got = rows(tokenfiles.read(spark, f"{tmp_path}/bytes"), "doc_id", "ids")
+    assert got == sorted(((i, [*library.encode(t or "", add_special_tokens=False).ids, 50256]) for i, t in texts), key=repr)
+
+
 # --- quality
 
 
@@ -417,6 +452,15 @@ def tokens(words):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
 
 
+def test_what_is_asked_of_one_document_is_dealt_out(spark, monkeypatch):
+    texts = [(k, prose(k + 1, 60) + " " + prose(7777, 70)) for k in range(30)]
+    want = rows(passages.links(docs(spark, texts)), *passages.SPANS.replace(" long", "").replace(" double", "").split(", "))
+    monkeypatch.setattr(passages, "ASKED", 4)
+    assert rows(passages.links(docs(spark, texts)), *passages.SPANS.replace(" long", "").replace(" double", "").split(", ")) == want and {r[0] for r in want} == {*range(1, 30)}
+    monkeypatch.setattr(passages, "BROADCAST_ROWS", 0)
+    assert rows(passages.links(docs(spark, texts)), *passages.SPANS.replace(" long", "").replace(" double", "").split(", ")) == want
+
+
 def test_recall_of_edited_passages_and_the_similarity_of_what_is_found(spark):
     texts, similar = [], {}
     for k, (n, changes) in enumerate([(50, 1)] * 120 + [(100, 2)] * 60 + [(200, 4)] * 40 + [(400, 8)] * 20):

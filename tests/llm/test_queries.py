@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import random
 import re
 import zlib
 from array import array
@@ -15,9 +17,11 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from calibra.llm import langid
 from calibra.llm import queries as q
 
 LATIN = "the and of with thing other after house water light stone river cloud paper glass metal sound earth field north south".split()
@@ -198,3 +202,31 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs, folder).schema == docs.schema
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
+
+
+DRIVERS = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DRIVERS), reason="needs the driver's tables")
+def test_quality_against_labels(spark):
+    labels = spark.read.parquet(f"{DRIVERS}/labels.parquet").select("doc_id", F.col("quality").alias("good"))
+    got = q.op6_weak_quality(spark, DRIVERS).select("doc_id", "kept").join(labels, "doc_id").where("good is not null").collect()
+    good, bad = [r.kept for r in got if r.good == 1], [r.kept for r in got if r.good == 0]
+    assert len(good) > 100 and len(bad) > 20 and sum(good) >= 0.9 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+@pytest.mark.skipif(not os.path.isdir(DRIVERS), reason="needs the driver's tables")
+def test_language_of_held_out_rows(spark):
+    langs = spark.read.parquet(f"{DRIVERS}/documents.parquet").select("doc_id", "lang")
+    got = q.op7_language_id(spark, DRIVERS).where("held_out and lang_pred <> 'und'").join(langs, "doc_id").where("lang is not null").collect()
+    assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
+def test_languages_of_one_family_are_told_apart(spark):
+    sounds = {"en": "the and this that with from have will", "de": "der und das nicht mit eine werden ist", "fr": "les des une que dans pour avec est", "es": "los del una que con para por como"}
+    rng = random.Random(5)
+    text = lambda lang: " ".join(rng.choice(sounds[lang].split()) for _ in range(40))
+    rows = [(k, text(lang), lang, "s", 1) for k in range(800) for lang in [sorted(sounds)[k % 4]]]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    lang = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == lang[r.doc_id] for r in got) and sum(r.held_out for r in got) > 100

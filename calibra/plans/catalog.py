@@ -13,6 +13,7 @@ from calibra.functions import text as tx
 from calibra.functions import tolerance as tol
 from calibra.operators import consensus, evaluate, groups, layout, predicates, session, spatial
 from calibra.plans.synthetic import HEIGHT, LINES_SQL, WIDTH, lines, read
+from calibra.sources import readings
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -893,3 +894,100 @@ def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def reading_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.by_page(lines(spark, sf_dir).select("page_key", "line_id", "text", "score", "x0", "y0", "x1", "y1", F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1).alias("agreement"), F.lit("").alias("kind"), "nominal"), consensus.clusters)
+
+
+@_query("""
+SELECT o_orderkey AS page_key, CASE o_orderkey % 4 WHEN 0 THEN n * 1.0 WHEN 1 THEN n / 60.0 END AS angle_value, CASE o_orderkey % 4 WHEN 0 THEN '±' || n || '°' WHEN 1 THEN '±' || n || '′' END AS angle_text,
+       CASE WHEN o_orderkey % 4 = 2 THEN n / 10.0 END AS chamfer_tolerance, CASE WHEN o_orderkey % 4 = 2 THEN n / 10.0 END AS radius_tolerance,
+       CASE WHEN o_orderkey % 4 = 3 THEN n / 10.0 END AS unindicated_chamfer_maximum, CASE WHEN o_orderkey % 4 = 3 THEN n / 10.0 END AS unindicated_radius_maximum
+FROM (SELECT o_orderkey, o_custkey % 9 + 1 AS n FROM orders)
+""")
+def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of four kinds of pages, read from their text."""
+    n = F.col("o_custkey") % 9 + 1
+    tenth = F.concat(F.lit("0."), n.cast("string"))
+    kinds = [
+        F.concat(F.lit("図面\n指示無き角度公差は ± "), n.cast("string"), F.lit("°とする")), F.concat(F.lit("角度公差 ±"), n.cast("string"), F.lit("分")),
+        F.concat(F.lit("指示なき C / R 公差は±"), tenth), F.concat(F.lit("指示無き角部はC"), tenth, F.lit("以下\n指示無き隅はR"), tenth, F.lit("以内とする")),
+    ]
+    pages = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_key"), F.get(F.array(*kinds), (F.col("o_orderkey") % 4).cast("int")).alias("text"))
+    return pages.select("page_key", tx.notes(F.col("text")).alias("n")).select("page_key", "n.*")
+
+
+@_query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 5.0 ELSE greatest(least(event_id % 40, 30.0), 2.0) END AS size, CASE WHEN event_id % 4 = 0 THEN '#ff00a0' ELSE '#000000' END AS color,
+       CASE WHEN event_id % 4 = 0 THEN [1.0, 0.0, 160 / 255.0] ELSE [0.0, 0.0, 0.0] END AS rgb FROM events
+""")
+def clamped_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    size, color = F.when(i % 3 == 0, "wide").otherwise((i % 40).cast("string")), tx.color(F.when(i % 4 == 0, "#FF00A0").otherwise("red"), "#000000")
+    return read(spark, sf_dir, "events").select("event_id", tx.clamped(size, 5.0, 2.0, 30.0).alias("size"), color.alias("color"), tx.rgb(color).alias("rgb"))
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, y0 AS left_x, {HEIGHT}::DOUBLE - x0 AS left_y, {WIDTH}::DOUBLE - y0 AS right_x, x0 AS right_y, line_id % 3 = 0 OR 8 / (x1 - x0) >= 1.6 AS down, round((x1 - x0) * 8, 6) AS area,
+       round(CASE WHEN 250 BETWEEN x0 AND x1 THEN abs(y0 - 100) ELSE sqrt(least((x0 - 250) ^ 2, (x1 - 250) ^ 2) + (y0 - 100) ^ 2) END, 6) AS far, 1.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, greatest(x0 - 260, 240 - x1, 0) AS gap
+FROM lines
+""")
+def reading_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where readings stand on a turned page, which way they run, and how far they are from a point; the oracle knows that they are rectangles."""
+    t, (x0, y0, x1, y1) = lines(spark, sf_dir), g.Rect.of()
+    quad = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+    left, right, way = g.rotated(x0, y0, 90, WIDTH, HEIGHT), g.rotated(x0, y0, 270, WIDTH, HEIGHT), g.direction(quad)
+    return t.select(
+        "page_key", "line_id", left[0].alias("left_x"), left[1].alias("left_y"), right[0].alias("right_x"), right[1].alias("right_y"),
+        g.columnar(g.Rect.of(), F.when(F.col("line_id") % 3 == 0, 1.0).otherwise(0.0)).alias("down"), F.round(g.polygon_area(quad), 6).alias("area"),
+        F.round(g.point_segment_distance(F.lit(250.0), F.lit(100.0), x0, y0, x1, y0), 6).alias("far"), way.dx.alias("dx"), way.dy.alias("dy"), g.gap(g.axis_bounds(quad, F.lit(1.0), F.lit(0.0)), (F.lit(240.0), F.lit(260.0))).alias("gap"),
+    )
+
+
+@_query(f"""
+WITH {LINES_SQL}, f AS (SELECT page_key, x0 - 20.25 AS x0, y0 - 20.25 AS y0, x1 + 20.25 AS x1, y1 + 20.25 AS y1 FROM lines WHERE nominal > 45), m AS (SELECT page_key, line_id, x0, y0, x1, y1, unnest([[x0, y0], [x1, y0], [x0, y1], [x1, y1], [(x0 + x1) / 2, (y0 + y1) / 2]]) AS p FROM lines WHERE tolerance > 0)
+SELECT DISTINCT m.page_key, m.line_id FROM m JOIN f ON f.page_key = m.page_key WHERE p[1] > f.x0 AND p[1] < f.x1 AND p[2] > f.y0 AND p[2] < f.y1
+""")
+def marks_over_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toleranced readings that touch a filled polygon; the oracle knows that the polygons are rectangles larger than any reading."""
+    t, by = lines(spark, sf_dir), 20.25
+    corners = F.array(*[F.struct((F.col(x) + (by if x == "x1" else -by)).alias("x"), (F.col(y) + (by if y == "y1" else -by)).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    return spatial.over_fills(t.where("tolerance > 0"), t.where("nominal > 45").select("page_key", corners.alias("points"))).select("page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id, CASE WHEN line_id % 2 = 0 THEN x0 > 0.62 * {WIDTH} AND y0 > 0.68 * {HEIGHT} ELSE x0 > 0.64 * {WIDTH} AND y0 > 0.78 * {HEIGHT} END AS title,
+       prefix = '' AND nominal < 4 AS view, nominal / 30 >= CASE WHEN line_id % 3 = 0 THEN 0.56 ELSE 0.82 END AND nominal / 30 <= 1.23 AS size_fits, line_id % 4 = 0 AS thread, line_id % 4 = 1 AS limit_callout, line_id % 4 = 2 AS rough FROM lines
+""")
+def reading_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title blocks, view labels, sizes of text, threads, limits and roughness."""
+    t, k, n = lines(spark, sf_dir), F.col("line_id") % 4, F.col("nominal").cast("int").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("M"), n, F.lit("x1"))).when(k == 1, F.concat(F.lit("C0."), n, F.lit("以下"))).when(k == 2, F.concat(F.lit("Ra"), n, F.lit(".3"))).otherwise(n)
+    return t.select(
+        "page_key", "line_id", predicates.in_title_block(g.Rect.of(), F.lit(WIDTH), F.lit(HEIGHT), F.col("line_id") % 2 == 0).alias("title"), predicates.view_label(F.col("prefix"), F.lit(""), F.col("nominal")).alias("view"),
+        predicates.text_size_fits(F.col("nominal"), F.lit(30.0), True, F.col("line_id") % 3 == 0, F.lit(True)).alias("size_fits"),
+        predicates.thread(text).alias("thread"), predicates.limit_callout(text).alias("limit_callout"), predicates.roughness(text).alias("rough"),
+    )
+
+
+@_query(f"""
+WITH {LINES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY line_id % 2, y0, x0, text, score) AS place FROM lines WHERE line_id % 5 <> 0 AND score >= CASE line_id % 2 WHEN 0 THEN {predicates.FLOORS["agreed"]} ELSE {predicates.FLOORS["bare"]} END)
+SELECT page_key, CAST(place AS INTEGER) AS line_id, text, CAST(line_id % 2 AS INTEGER) AS source_rank, x0, y1 FROM k
+""")
+def readings_of_two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of two passes with floors of their own, without empty texts, numbered over a page."""
+    x0, y0, x1, y1 = g.Rect.of()
+    quad = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+    t = lines(spark, sf_dir).select("page_key", F.col("line_id").alias("box"), F.when(F.col("line_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"), "score", quad.alias("quad"))
+    passes = [readings.from_quads(t.where(F.col("box") % 2 == k), predicates.FLOORS[floor]) for k, floor in enumerate(("agreed", "bare"))]
+    return readings.numbered(readings.together(*passes)).select("page_key", "line_id", "text", "source_rank", "x0", "y1")
+
+
+@_query(f"""
+WITH p AS (SELECT o_orderkey AS page_key, CAST(100 + o_custkey % 150 AS DOUBLE) AS tile FROM orders), n AS (
+  SELECT *, greatest(1, CAST(ceil(({WIDTH} * 0.95 - {WIDTH} * 0.03 - tile) / (tile * 0.82)) AS INTEGER) + 1) AS nx, greatest(1, CAST(ceil(({HEIGHT} * 0.93 - {HEIGHT} * 0.08 - tile) / (tile * 0.82)) AS INTEGER) + 1) AS ny FROM p)
+SELECT page_key, CAST(nx * ny AS BIGINT) AS tiles FROM n
+""")
+def page_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tiles cover a page, by the size of a tile; each size's tiles are laid at once."""
+    pages = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_key"), (100 + F.col("o_custkey") % 150).cast("double").alias("tile"), F.lit(WIDTH).alias("page_w"), F.lit(HEIGHT).alias("page_h"))
+    return readings.tiles(pages, F.col("tile")).groupBy("page_key").agg(F.count("*").alias("tiles"))

@@ -20,6 +20,7 @@ DIAMETER_SIGNS = "＠@ΦØ⌀Ωω"
 PLUS_MINUS_SIGNS = "士土亇干"
 CONTEXT = r"(?i)(?:SCALE|DATE|DWG|DRAWING|PAGE|SHEET|REV|図番|品番|尺度|日付|材質|MODEL|PART|NO\.|型式|改訂|番号|公差|以上|超え|Rz\s*max|Rzmax|Ra\s*max|Ramax|Rmax)"
 EXPLICIT_TOLERANCE = r"(?i)(?:±|士|亇|干|土|\+\s*\d|[−－一-]\s*\d|上限|下限|MAX|MIN)"
+LIMIT_WORDS = r"(?i)(?:以[下上内]|MAX|MIN)"
 PART_NUMBER = r"(?i)(?:[A-Z]{2,}[-_/]\d)|(?:\d[-_/][A-Z])|(?:[-/][A-Z]-\w)|(?:\w+-\d+[-/])"
 ROUGHNESS = r"(?i)(?:Rz\s*max|Rzmax|Ra\s*max|Ramax|Rmax|Rz|Ra)\s*"
 LIMIT_CALLOUT = r"(?i)^\s*[CR]\s*\d+(?:[.,]\d+)?\s*(?:以下|以内|MAX)\s*$"

@@ -57,3 +57,19 @@ def audit(files: DataFrame) -> DataFrame:
     families = files.groupBy("family").agg(F.count("*").alias("n")).agg(F.avg((F.col("n") > 1).cast("double")).alias("repeated_family_ratio"))
     total = files.agg(F.count("*").alias("n_files"), F.avg((F.col("n_chars") >= 40).cast("double")).alias("text_ratio"), F.avg(F.col("has_image").cast("double")).alias("image_ratio"), F.median("n_chars").alias("median_length"))
     return total.join(F.broadcast(families))
+
+
+def nearest_span(spans: DataFrame, styles: DataFrame, by: str, x: Column, y: Column) -> DataFrame:
+    """Of each group's spans in its style (font, size) the one whose middle is nearest to a point; of equals the first by line_id."""
+    from calibra.functions import geometry as g
+
+    r = g.Rect.of()
+    far = g.distance((r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2, x, y)
+    return spans.join(styles.select(by, "font", "size"), [by, "font", "size"]).groupBy(by).agg(F.min_by("line_id", F.struct(far.alias("far"), F.col("line_id"))).alias("line_id"))
+
+
+def annotations(files: DataFrame) -> DataFrame:
+    """(type, n, annotated_ratio, median_pages) of files (pages, types): how often each type of annotation stands in them, beside the share of files that have any and their median length."""
+    kinds = files.select(F.explode("types").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    whole = files.agg(F.avg((F.size("types") > 0).cast("double")).alias("annotated_ratio"), F.median("pages").alias("median_pages"))
+    return kinds.join(F.broadcast(whole))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibra.functions.geometry import Rect
-from calibra.functions.text import CONTEXT, LIMIT_CALLOUT, PART_NUMBER, ROUGHNESS, ROUGHNESS_READ_AS_RANGE, THREAD, is_fragment
+from calibra.functions.text import CONTEXT, EXPLICIT_TOLERANCE, LIMIT_CALLOUT, LIMIT_WORDS, PART_NUMBER, ROUGHNESS, ROUGHNESS_READ_AS_RANGE, THREAD, is_fragment
 
 # Confidence floors.
 FLOORS = {"page": 0.42, "tile": 0.34, "bare": 0.82, "scanned_bare": 0.68, "agreed": 0.58, "review": 0.72, "detail": 0.68, "crop": 0.64}
@@ -132,6 +132,11 @@ def scanned_floor(kind: Column, bare: Column, score: Column) -> Column:
 LOWEST_BARE, LOWEST_PREFIXED, HIGHEST, LARGEST_SIDE, CORNER_WIDTH, CORNER_HEIGHT = 0.86, 0.93, 0.08, 85.0, 0.22, 0.32
 
 
+def richer_evidence(text: Column) -> Column:
+    """Whether a text (NFKC) says more than a nominal size: a tolerance written out, or a limit."""
+    return text.rlike(EXPLICIT_TOLERANCE) | text.rlike(LIMIT_WORDS)
+
+
 def off_limits(r: Rect, prefixed: Column, reference: Column, line_support: Column, width: Column, height: Column) -> Column:
     """Whether a candidate is too large, or stands in the page's margins: the top (but for reference sizes), the bottom, the upper left corner without a dimension line."""
     empty = (r.width <= 0) | (r.height <= 0)

@@ -70,3 +70,17 @@ def state(items: DataFrame, candidates: DataFrame, page: Column) -> DataFrame:
 def state_json(states: DataFrame) -> DataFrame:
     """(state): each row as JSON text, with its fields in order."""
     return states.select(F.to_json(F.struct(*states.columns)).alias("state"))
+
+
+# The least and the largest size of what is edited, and by which of its two scales it grows.
+SIZES = {"stamp": (24, 180, "max"), "dimension": (5, 36, "max"), "replacement": (5, 36, "max"), "replacement_tolerance": (4, 36, "max"), "note": (6, 24, "max"), "tolerance": (4, 24, "min")}
+
+
+def resized(kind: Column, size: Column, x_scale: Column, y_scale: Column) -> Column:
+    """The size of an item after it was scaled in both directions, within the limits of its kind; null for a kind without any."""
+    out = None
+    for name, (low, high, by) in SIZES.items():
+        scale = F.greatest(x_scale, y_scale) if by == "max" else F.least(x_scale, y_scale)
+        held = F.greatest(F.least(size * scale, F.lit(float(high))), F.lit(float(low)))
+        out = F.when(kind == name, held) if out is None else out.when(kind == name, held)
+    return out

@@ -213,10 +213,15 @@ _IOS = "(greatest(least(l.x1, o.x1) - greatest(l.x0, o.x0), 0) * greatest(least(
 _DIST = "sqrt(((l.x0 + l.x1) / 2 - (o.x0 + o.x1) / 2) ^ 2 + ((l.y0 + l.y1) / 2 - (o.y0 + o.y1) / 2) ^ 2)"
 
 
-@_query(f"WITH {LINES_SQL} SELECT page_key, line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND o.tolerance > 0 AND o.line_id <> l.line_id AND {_IOS} >= 0.18)")
+@_query(f"""
+WITH {LINES_SQL}
+SELECT page_key, line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines o WHERE o.page_key = l.page_key AND (o.tolerance > 0 OR o.line_id % 4 = 0) AND o.line_id <> l.line_id AND {_IOS} >= 0.18)
+""")
 def overlap_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lines(spark, sf_dir)
-    return spatial.drop_where(t, t.where("tolerance > 0"), spatial.richer_reading).select("page_key", "line_id")
+    """Readings without richer evidence over them: a tolerance, or, on every fourth, a limit."""
+    words = F.get(F.array(*map(F.lit, ("以下", "max", "以内", "Min"))), (F.col("line_id") / 4).cast("int") % 4)
+    t = lines(spark, sf_dir).withColumn("text", F.when(F.col("line_id") % 4 == 0, F.concat("text", words)).otherwise(F.col("text")))
+    return spatial.drop_where(t, t.where(predicates.richer_evidence(F.col("text"))), spatial.richer_reading).select("page_key", "line_id")
 
 
 def _close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -991,3 +996,76 @@ def page_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tiles cover a page, by the size of a tile; each size's tiles are laid at once."""
     pages = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_key"), (100 + F.col("o_custkey") % 150).cast("double").alias("tile"), F.lit(WIDTH).alias("page_w"), F.lit(HEIGHT).alias("page_h"))
     return readings.tiles(pages, F.col("tile")).groupBy("page_key").agg(F.count("*").alias("tiles"))
+
+
+@_query("""
+WITH t AS (SELECT event_id, ['stamp', 'dimension', 'replacement', 'replacement_tolerance', 'note', 'tolerance', 'other'][event_id % 7 + 1] AS kind, CAST(event_id % 50 AS DOUBLE) AS size, event_id % 5 / 2.0 AS x, event_id % 3 * 1.5 AS y FROM events)
+SELECT event_id, CASE kind WHEN 'stamp' THEN greatest(24.0, least(180.0, size * greatest(x, y))) WHEN 'dimension' THEN greatest(5.0, least(36.0, size * greatest(x, y))) WHEN 'replacement' THEN greatest(5.0, least(36.0, size * greatest(x, y)))
+       WHEN 'replacement_tolerance' THEN greatest(4.0, least(36.0, size * greatest(x, y))) WHEN 'note' THEN greatest(6.0, least(24.0, size * greatest(x, y))) WHEN 'tolerance' THEN greatest(4.0, least(24.0, size * least(x, y))) END::DOUBLE AS size FROM t
+""")
+def resized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    kind = F.get(F.array(*map(F.lit, (*session.SIZES, "other"))), (i % 7).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", session.resized(kind, (i % 50).cast("double"), i % 5 / 2.0, i % 3 * 1.5).alias("size"))
+
+
+def _clicks(spark: SparkSession, sf_dir: str, pad: float) -> DataFrame:
+    """Clicks of the event table with the readings whose padded rectangle holds them."""
+    i = F.col("event_id")
+    clicks = read(spark, sf_dir, "events").select(i, F.col("user_id").alias("page"), (i % 500).cast("double").alias("px"), (i % 300).cast("double").alias("py"))
+    return clicks.join(lines(spark, sf_dir), (F.col("page") == F.col("page_key")) & g.Rect.of().grown(pad).holds(F.col("px"), F.col("py")))
+
+
+_CLICKS_SQL = f"{LINES_SQL.strip()}, t AS (SELECT user_id, event_id, CAST(event_id % 500 AS DOUBLE) AS px, CAST(event_id % 300 AS DOUBLE) AS py FROM events)"
+
+
+@_query(f"WITH {_CLICKS_SQL} SELECT page_key, line_id, count(*) % 2 = 1 AS selected, count(*) AS n FROM t JOIN lines l ON l.page_key = t.user_id AND px BETWEEN l.x0 - 8 AND l.x1 + 8 AND py BETWEEN l.y0 - 8 AND l.y1 + 8 GROUP BY ALL")
+def band_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A click toggles all bands that it hits."""
+    return _clicks(spark, sf_dir, 8.0).groupBy("page_key", "line_id").agg((F.count("*") % 2 == 1).alias("selected"), F.count("*").alias("n"))
+
+
+@_query(f"WITH {_CLICKS_SQL} SELECT t.event_id, l.page_key, l.line_id FROM t JOIN lines l ON l.page_key = t.user_id AND px BETWEEN l.x0 - 6 AND l.x1 + 6 AND py BETWEEN l.y0 - 6 AND l.y1 + 6 QUALIFY row_number() OVER (PARTITION BY t.event_id ORDER BY l.line_id DESC) = 1")
+def newest_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A click hits the newest of the applied items."""
+    return spatial.first_of(_clicks(spark, sf_dir, 6.0), [F.col("event_id")], [-F.col("line_id")]).select("event_id", "page_key", "line_id")
+
+
+@_query(f"""
+WITH {LINES_SQL}, s AS (SELECT page_key, prefix AS font, round(nominal / 10) AS size, line_id, x0, y0, x1, y1 FROM lines), c AS (SELECT page_key, font, size, count(*) AS n FROM s GROUP BY ALL),
+m AS (SELECT page_key, font, size FROM c QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY n DESC, CASE WHEN font = 'φ' THEN 0 ELSE 1 END, size DESC, font DESC) = 1)
+SELECT s.page_key, s.line_id FROM s JOIN m ON m.page_key = s.page_key AND m.font = s.font AND m.size = s.size QUALIFY row_number() OVER (PARTITION BY s.page_key ORDER BY sqrt(((x0 + x1) / 2 - 200) ^ 2 + ((y0 + y1) / 2 - 150) ^ 2), s.line_id) = 1
+""")
+def nearest_in_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = lines(spark, sf_dir).select("page_key", F.col("prefix").alias("font"), F.round(F.col("nominal") / 10).alias("size"), "line_id", "x0", "y0", "x1", "y1")
+    styles = evaluate.modal_style(spans, "page_key", F.col("font") == "φ")
+    return evaluate.nearest_span(spans, styles, "page_key", F.lit(200.0), F.lit(150.0))
+
+
+@_query("""
+WITH f AS (SELECT o_custkey % 9 AS pages, CASE WHEN o_orderkey % 3 = 0 THEN [] WHEN o_orderkey % 3 = 1 THEN ['stamp'] ELSE ['stamp', 'ink'] END AS types FROM orders)
+SELECT type, count(*) AS n, any_value(a) AS annotated_ratio, any_value(m) AS median_pages FROM (SELECT unnest(types) AS type FROM f), (SELECT avg(CAST(len(types) > 0 AS DOUBLE)) AS a, CAST(median(pages) AS DOUBLE) AS m FROM f) GROUP BY type
+""")
+def annotation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    types = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("stamp"))).otherwise(F.array(F.lit("stamp"), F.lit("ink")))
+    return evaluate.annotations(read(spark, sf_dir, "orders").select((F.col("o_custkey") % 9).alias("pages"), types.alias("types")))
+
+
+@_query("""
+SELECT 'f' || o_orderkey || CASE WHEN o_orderkey % 5 = 0 THEN '.doc' ELSE '.PDF' END AS path,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'not a pdf' WHEN o_orderkey % 7 = 0 THEN 'empty' WHEN o_orderkey % 11 = 0 THEN 'too large' WHEN o_orderkey % 13 = 0 THEN 'locked' ELSE 'without pages' END AS reason
+FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0
+""")
+def bad_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    length = F.when(k % 7 == 0, 0).when(k % 11 == 0, 300 << 20).otherwise(1000)
+    found = read(spark, sf_dir, "orders").select(F.concat(F.lit("f"), k.cast("string"), F.when(k % 5 == 0, ".doc").otherwise(".PDF")).alias("path"), length.alias("length"), (k % 13 == 0).alias("locked"), F.when(k % 17 == 0, 0).otherwise(3).alias("pages"))
+    return readings.bad_inputs(found)
+
+
+@_query("SELECT lower('F' || p_partkey) AS name, '/in/f' || p_partkey || '.pdf' AS path, CAST(p_size AS INTEGER) AS value FROM part WHERE p_partkey % 2 = 0")
+def truth_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, name = read(spark, sf_dir, "part"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    found = part.where("p_partkey % 2 = 0").select(F.explode(F.array(F.concat(F.lit("/in/"), name, F.lit(".pdf")), F.concat(F.lit("/late/"), F.upper(name), F.lit(".PDF")))).alias("path"))
+    return readings.truth_of(found, part.select(name.alias("name"), F.col("p_size").cast("int").alias("value")))

@@ -80,3 +80,19 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """(name, kind, value) of JSON files {name, dimensions: [{kind, value}]}."""
     schema = "name string, description string, dimensions array<struct<kind: string, value: double>>"
     return spark.read.schema(schema).json(path, multiLine=True).select(F.lower("name").alias("name"), F.explode("dimensions").alias("d")).select("name", "d.kind", "d.value")
+
+
+def bad_inputs(found: DataFrame) -> DataFrame:
+    """(path, reason) of files (path, length, and pages and locked if a reader has told them) that can't be opened."""
+    has = lambda c: F.col(c) if c in found.columns else F.lit(None)
+    reason = (
+        F.when(~F.lower("path").endswith(".pdf"), "not a pdf").when(F.col("length") < 1, "empty").when(F.col("length") > LONGEST_FILE, "too large")
+        .when(has("locked").cast("boolean"), "locked").when(has("pages").cast("int") < 1, "without pages")
+    )
+    return found.select("path", reason.alias("reason")).where("reason is not null")
+
+
+def truth_of(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """truth (name, ...) with the path of the file of that name, whatever its case; of files of one name the first path."""
+    stem = F.lower(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1))
+    return truth.join(found.groupBy(stem.alias("name")).agg(F.min("path").alias("path")), "name")

@@ -1,9 +1,9 @@
 """Licence scan through a positional index of rare words.
 
-Every template is a licence notice with one mandatory key phrase. The index posts each template's rarest words, by
-their inverse document frequency over the scanned corpus, with their positions. A file's words that are posted (its
-highest-IDF licence words) look up the postings; postings of a template that agree in file position minus template
-position intersect to an alignment, and an alignment counts if the key phrase stands there word for word.
+Every template is a licence notice with one mandatory key phrase. The index posts each key phrase's rarest words, by
+their inverse document frequency over the scanned corpus, with their positions. A file's licence words look up the
+postings from the highest IDF on; what a template's postings have in common of file position minus template position is
+an alignment, and an alignment counts if the key phrase stands there word for word.
 """
 
 from __future__ import annotations
@@ -37,21 +37,24 @@ BASE = (
     Template("apache-2", "apache license version 2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", "cc by nc", True),
 )
-#: Notices as their stewards publish them, with the phrase that must be there.
+# Notices as they stand in files, with the phrase that must be there; words are told apart by what isn't a letter or digit.
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu {0} public license as published by the free software foundation either version {1} of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
 NOTICES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge to any person obtaining a copy"),
-    Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission is hereby granted free of charge to any person obtaining a copy"),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache license version 2 0"),
     Template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     Template("gpl-2", "under the terms of the gnu general public license version 2", "gnu general public license version 2"),
-    Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    Template("agpl-3", "under the terms of the gnu affero general public license", "gnu affero general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("gpl-3", _GPL.format("general", "3"), "gnu general public license as published by the free software foundation either version 3"),
+    Template("gpl-2", _GPL.format("general", "2"), "gnu general public license as published by the free software foundation either version 2"),
+    Template("lgpl", _GPL.format("lesser general", "2 1"), "gnu lesser general public license"),
+    Template("agpl-3", _GPL.format("affero general", "3"), "gnu affero general public license"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistribution and use in source and binary forms"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license v 2 0"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
-    Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
     Template("cc0", "creative commons zero v1 0 universal", "creative commons zero v1 0 universal"),
 )
 
@@ -81,20 +84,33 @@ class Index:
             self.needed.append(sum(w in rarest for w in key))
 
     def scan(self, file: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, start of its key phrase in the file, share of the template's IDF found there), every place."""
+        """(template, start of its key phrase in the file, share of the template's IDF found there), every place.
+
+        The file's licence words are looked up from the highest IDF on; each leaves of a template's alignments those that
+        agree with it, so a rare word that isn't where it should be ends a template before its common ones are asked.
+        """
         if self.postings.keys().isdisjoint(file):
             return []
-        agreed: Counter[tuple[int, int]] = Counter()
+        places: dict[bytes, list[int]] = defaultdict(list)
         for p, w in enumerate(file):
-            for k, q in self.postings.get(w, ()):
-                agreed[k, p - q] += 1
+            if w in self.postings:
+                places[w].append(p)
+        shifts: dict[int, set[int]] = {}
+        agreed: Counter[int] = Counter()
+        for w in sorted(places, key=lambda w: (-self.idf[w], w)):
+            for k, q in self.postings[w]:
+                if shifts.get(k, True):
+                    here = {p - q for p in places[w]}
+                    shifts[k] = shifts[k] & here if k in shifts else here
+                    agreed[k] += 1
         out = []
-        for (k, shift), n in agreed.items():
+        for k, some in shifts.items():
             at, key = self.key[k]
-            if n == self.needed[k] and shift + at >= 0 and file[shift + at : shift + at + len(key)] == key:
-                weights = [max(self.idf[w], 1e-9) for w in self.words[k]]
-                found = sum(x for p, (w, x) in enumerate(zip(self.words[k], weights), shift) if 0 <= p < len(file) and file[p] == w)
-                out.append((k, shift + at, min(1.0, found / sum(weights))))
+            weights = [max(self.idf[w], 1e-9) for w in self.words[k]]
+            for shift in sorted(some) if agreed[k] == self.needed[k] else ():
+                if shift + at >= 0 and file[shift + at : shift + at + len(key)] == key:
+                    found = sum(x for p, (w, x) in enumerate(zip(self.words[k], weights), shift) if 0 <= p < len(file) and file[p] == w)
+                    out.append((k, shift + at, min(1.0, found / sum(weights))))
         return out
 
 

@@ -43,9 +43,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path.toString()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and goes on from there, so that a lost executor costs no recomputation of what stands before."""
+#: How many shuffle partitions' worth of a table that is small beside the documents (ids, links, counts) go to one file of a checkpoint.
+SMALL_SHARE = 16
+
+
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Writes the rows to the shared checkpoint folder and goes on from there, so that a lost executor costs no recomputation of what stands before.
+
+    small: a table with far fewer bytes than the documents it comes from; it is dealt anew, to fewer files.
+    """
     checkpoint_dir(df.sparkSession)
+    if small:
+        df = df.repartition(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SMALL_SHARE))
     return df.checkpoint(eager=True)
 
 
@@ -58,7 +67,7 @@ def drop_keys(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
 
     A list of up to BROADCAST_ROWS keys goes to every task, and docs needn't be shuffled; a longer one is joined.
     """
-    gone = cut(gone.toDF("gone").where("gone is not null").distinct())
+    gone = cut(gone.toDF("gone").where("gone is not null").distinct(), small=True)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     names = docs.columns

@@ -122,10 +122,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, containment: float, width: int
     spark = docs.sparkSession
     number = F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null").distinct().select(number, "item_id", "text")
-    sketches = cut(items.select("item", "text").mapInArrow(partial(_sketches, width, containment), "item long, width int, least long, key long"))
+    sketches = cut(items.select("item", "text").mapInArrow(partial(_sketches, width, containment), "item long, width int, least long, key long"), small=True)
     widths = sorted(r.width for r in sketches.select("width").distinct().collect())
     sent = spark.sparkContext.broadcast(_bitmap(sketches, bits))
-    hits = cut(docs.mapInArrow(partial(_hits, sent, widths), "row long, doc_id long, text string, n_words long, width int, keys array<long>"))
+    hits = cut(docs.mapInArrow(partial(_hits, sent, widths), "row long, doc_id long, text string, n_words long, width int, keys array<long>"), small=True)
     asked = hits.select("row", "n_words", "width", F.explode("keys").alias("key")).join(sketches, ["width", "key"])
     pairs = asked.where(F.col("n_words") - F.col("width") + 1 >= F.col("least")).select("row", "item").distinct()
     asks = pairs.join(items, "item").select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "item_id", F.col("text").alias("asked"))

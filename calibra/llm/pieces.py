@@ -297,7 +297,7 @@ def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY_WORDS, text_co
     """
     model = load(path)
     step = F.floor(F.log2("n") * 64)
-    counts = cut(count_words(docs, path, text_col).where(F.length("word") <= DICTIONARY_LENGTH).withColumn("step", step))
+    counts = cut(count_words(docs, path, text_col).where(F.length("word") <= DICTIONARY_LENGTH).withColumn("step", step), small=True)
     least, room = None, size
     for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):
         if (room := room - r.words) < 0:

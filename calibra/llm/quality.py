@@ -136,7 +136,7 @@ def assess(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, t
     input) and the estimate is made from these counts. Null and empty texts have no words and fail. Repeated rows and
     null ids give a row each; an empty table an empty one. Other columns aren't read.
     """
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_features, "doc_id long, " + ", ".join(f"{x} long" for x in FEATURES)))
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_features, "doc_id long, " + ", ".join(f"{x} long" for x in FEATURES)), small=True)
     checks = rules()
     voted = rows.withColumn("votes", F.array(*[F.when(r.good, 1).when(r.bad, -1).otherwise(0) for r in checks]))
     counts = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()

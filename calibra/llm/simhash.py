@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: st
     """
     if not 0 <= radius <= 2:
         raise ValueError("two of four blocks agree for sure only up to a radius of 2")
-    fps = cut(fingerprints(docs, width, id_col, text_col))
-    firsts = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    fps = cut(fingerprints(docs, width, id_col, text_col), small=True)
+    firsts = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), small=True)
     pairs = list(combinations(range(4), 2))
     bits = lambda k, n: F.shiftrightunsigned("fp", n * k).bitwiseAND(F.lit((1 << n) - 1))
     keys = F.array(*[F.struct(F.lit(n).alias("combo"), (bits(i, 16) * 65536 + bits(j, 16)).alias("block")) for n, (i, j) in enumerate(pairs)])

@@ -130,6 +130,13 @@ def test_candidates_and_bands():
     assert [x.line_id for x in consensus.merge_candidates([r(1, "12", 0.9, 0, 0, 10, 10), r(2, "12", 0.9, 1, 0, 11, 10)])] == [2]
 
 
+def test_candidates_just_24_apart_both_stay():
+    # the centres are 24 apart, and 23.999999999999996 if all edges are added up before they are halved
+    two = [r(1, "12", 0.9, 24.0, 0, 40.4, 8, nominal=2.0), r(2, "12", 0.9, 0.0, 0, 16.400000000000006, 8, nominal=2.0)]
+    assert [x.line_id for x in consensus.dedupe_candidates(two)] == [2, 1]
+    assert [x.line_id for x in consensus.dedupe_candidates([two[0], replace(two[1], x1=16.5)])] == [1]
+
+
 def strips(spark, rows):
     """rows: readings on page 1."""
     return spark.createDataFrame([(1, *(getattr(x, c) for c in consensus.COLUMNS[1:])) for x in rows], consensus.SCHEMA)

@@ -137,6 +137,13 @@ def test_candidates_just_24_apart_both_stay():
     assert [x.line_id for x in consensus.dedupe_candidates([two[0], replace(two[1], x1=16.5)])] == [1]
 
 
+def test_detail_lines_just_8_apart_both_stay():
+    # the centres are 8 apart, and 7.999999999999998 if all edges are added up before they are halved
+    two = [r(1, "13", 0.9, 9.0, 0, 23.2, 8), r(2, "12", 0.9, 0.0, 0, 16.200000000000003, 8)]
+    assert [x.line_id for x in consensus.detail_lines(two)] == [1, 2]
+    assert [x.line_id for x in consensus.detail_lines([two[0], replace(two[1], x1=16.3)])] == [1]
+
+
 def strips(spark, rows):
     """rows: readings on page 1."""
     return spark.createDataFrame([(1, *(getattr(x, c) for c in consensus.COLUMNS[1:])) for x in rows], consensus.SCHEMA)

@@ -58,8 +58,10 @@ def reference(a: g.Rect, b: g.Rect) -> Column:
 def tolerance_attached(a: g.Rect, b: g.Rect) -> Column:
     """A tolerance in the line's own height, right behind it, or starting about its lower edge."""
     level = F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0) >= 0.35 * F.greatest(F.lit(1.0), F.least(a.height, b.height))
-    right, lower = b.x0 - a.x1, b.y0 - a.y1
-    return not_same() & level & (right.between(-0.35 * a.height, 4.5 * a.height) | lower.between(-0.35 * a.width, 4.5 * a.width))
+    # places and not gaps are compared, as in SQL: a limit that is just reached is rounded alike
+    right = b.x0.between(a.x1 - 0.35 * a.height, a.x1 + 4.5 * a.height)
+    lower = b.y0.between(a.y1 - 0.35 * a.width, a.y1 + 4.5 * a.width)
+    return not_same() & level & (right | lower)
 
 
 def tolerance_margin(a: g.Rect, b: g.Rect) -> Column:

@@ -218,6 +218,12 @@ def test_a_tolerance_is_attached_in_the_height_of_its_size(spark):
     assert pairs(spark, spatial.tolerance_attached, size, ("±0.1", 0.0, -60, 5, -40, 13)) == [0]
 
 
+def test_a_tolerance_just_within_its_reach_is_attached(spark):
+    # 10.8 - 0.35 * 8 is 8, but 8 - 10.8 is less than -0.35 * 8 by its rounding
+    size = ("20", 20.0, 0, 0, 10.8, 8)
+    assert pairs(spark, spatial.tolerance_attached, size, ("±0.1", 0.0, 8, 1, 30, 9), ("±0.1", 0.0, 7.9, 1, 30, 9)) == [0]
+
+
 def test_a_stack_is_of_short_fragments_about_a_whole_number(spark):
     schema = "page_key long, line_id int, text string, x0 double, y0 double, x1 double, y1 double"
 

@@ -793,10 +793,11 @@ WITH {LINES_SQL}
 SELECT page_key, max((x1 - x0) * (y1 - y0) / 300.0) >= 0.72 OR sum((x1 - x0) * (y1 - y0) / 300.0) >= 0.72 AS full FROM lines GROUP BY 1
 """)
 def full_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL gives its sum no order, and DuckDB takes rows as they stand in the file; so places are theirs in the file."""
     from calibra.sources import readings
 
-    r = g.Rect.of()
-    return readings.full_page_images(lines(spark, sf_dir).select("page_key", r.area.alias("area"), F.lit(300.0).alias("page_area")))
+    r, place = g.Rect.of(), F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    return readings.full_page_images(lines(spark, sf_dir, place).select("page_key", "place", r.area.alias("area"), F.lit(300.0).alias("page_area")))
 
 
 @_query(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Width and height of a synthetic page.
@@ -13,11 +13,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """(page_key, line_id, prefix, nominal, text, score, x0, y0, x1, y1, tolerance): one reading for each order line.
 
     line_id numbers a page's readings from 1 by all columns they come from; the same readings get the same numbers in
-    whatever order they are read.
+    whatever order they are read. more: columns of the order line to keep beside them.
     """
     t = read(spark, sf_dir, "lineitem")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -30,7 +30,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(prefix, digits, F.when(tolerance > 0, F.concat(F.lit("±0."), F.lpad(tolerance.cast("string"), 2, "0"))).otherwise("")).alias("text"),
         F.round(F.lit(1.0) - F.col("l_discount") * 5, 6).alias("score"),
         (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_suppkey") % 300 + 10 * F.col("l_linenumber")).cast("double").alias("y0"),
-        (8 + F.col("l_quantity") / 5).alias("w"), tolerance.alias("tolerance"),
+        (8 + F.col("l_quantity") / 5).alias("w"), tolerance.alias("tolerance"), *more,
     )
     return out.withColumn("x1", F.col("x0") + F.col("w")).withColumn("y1", F.col("y0") + 8.0).drop("w")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import itertools
 import json
 import math
 import os
@@ -97,3 +98,12 @@ def test_streams_agree_with_batches(spark, tmp_path):
     for name, fold, mode in (("selections", replay.selections, "complete"), ("activity", replay.activity, "complete")):
         replay.start(fold(replay.events(spark, f"{tmp_path}/in", schema)), name, f"{tmp_path}/{name}", mode).awaitTermination()
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, fold(df).collect()))
+
+
+def test_images_that_make_up_just_the_limit_add_up_in_order_of_place(spark):
+    shares = [0.21866666666666665, 0.21866666666666673, 0.2826666666666665]  # in this order less than 0.72 by the last bit, in others not
+    for order in itertools.permutations(range(3)):
+        want = shares[order[0]] + shares[order[1]] + shares[order[2]] >= 0.72
+        for rows in itertools.permutations(zip(range(3), (shares[k] for k in order))):
+            images = spark.createDataFrame([(1, p, s, 1.0) for p, s in rows], "page_key long, place int, area double, page_area double").coalesce(1)
+            assert [tuple(x) for x in readings.full_page_images(images).collect()] == [(1, want)]

@@ -24,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm.common import BROADCAST_ROWS, SPACED, cut, frugal, mix, release, run_hashes
@@ -191,7 +191,7 @@ def _windows(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     yield from flush()
 
 
-MET = "doc long, packed long, rep long, rep_packed long"
+MET = "key long, doc long, packed long, rep long, rep_packed long"
 
 
 @frugal
@@ -221,7 +221,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = []
         last, last_doc, last_packed, shared = key[-1], to[-1], to_packed[-1], several[-1]
         to, to_packed = np.where(linked, rep, to), np.where(linked, rep_packed, to_packed)
-        made = lambda keep: pa.RecordBatch.from_arrays([pa.array(z[keep]) for z in (doc, packed, to, to_packed)], names=["doc", "packed", "rep", "rep_packed"])  # noqa: B023, E731
+        made = lambda keep: pa.RecordBatch.from_arrays([pa.array(z[keep]) for z in (key, doc, packed, to, to_packed)], names=["key", "doc", "packed", "rep", "rep_packed"])  # noqa: B023, E731
         yield made(several[group])
         if not shared:
             waiting.append(made(group == group[-1]))
@@ -244,10 +244,12 @@ def least_of_each(x: np.ndarray, width: int) -> np.ndarray:
 
 
 @frugal
-def _wholes(core: int, slack: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wholes(core: int, slack: int, again: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (doc, text last): a document's text, then ranges of words; (key, doc, at) of runs of core words that start there.
 
-    Any slack neighbouring runs have one that is given; a run that the document holds again is given once.
+    Any slack neighbouring runs have one that is given; a run that the document holds again is given once, or each time if
+    again; then with the words before and after it, and the runs of WIDTH words that lie beside it or one word off, behind
+    it (r0, r1) and before it (l0, l1); 0 where there are none.
     """
     now, words, asked, out, n = None, None, [], [], 0
 
@@ -262,15 +264,21 @@ def _wholes(core: int, slack: int, batches: Iterator[pa.RecordBatch]) -> Iterato
                 np.add.at(edge, hi[hi > lo], -1)
             at = least_of_each(run, min(slack, len(run)))
             at = at[np.cumsum(edge)[at] > 0]
-            at = at[np.sort(np.unique(run[at], return_index=True)[1])]
-            out.append((run[at].view(np.int64), np.full(len(at), now, np.int64), at))
+            if not again:
+                at = at[np.sort(np.unique(run[at], return_index=True)[1])]
+            rows = (run[at].view(np.int64), np.full(len(at), now, np.int64), at)
+            if again:
+                side = lambda x, to: np.where((to >= 0) & (to < len(x)), x[np.clip(to, 0, len(x) - 1)], np.uint64(0)).view(np.int64)
+                near = run_hashes(words, WIDTH)
+                rows += (side(words, at - 1), side(words, at + core), side(near, at + core), side(near, at + core + 1), side(near, at - WIDTH), side(near, at - WIDTH - 1))
+            out.append(rows)
             n += len(at)
         if n >= BLOCK:
             yield batch()
             out, n = [], 0
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["key", "doc", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["key", "doc", "at", "before", "after", "r0", "r1", "l0", "l1"][: 9 if again else 3])
 
     for b in batches:
         doc = b.column(0).to_numpy()
@@ -307,6 +315,78 @@ def _meet_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(z[keep]) for z in (doc, at, to, to_at)], names=["doc", "at", "rep", "rep_at"])
 
 
+def parted_words(least: int, jaccard: float) -> int:
+    """How many words two passages must share to be similar enough by that alone, if they stand in two runs with one word changed, put in or left out between them."""
+    n = 2 * WIDTH
+    while n - 2 * (WIDTH - 1) < jaccard * (2 * max(least, n + 2 - WIDTH) - n + 2 * (WIDTH - 1)) - 1e-9:
+        n += 1
+    return n
+
+
+def parted_keys(words: np.ndarray, ends: tuple[np.ndarray, np.ndarray], starts: tuple[np.ndarray, np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of two runs of `total` words together that are one behind the other or have one word between them.
+
+    The longer run is the first and ends before one of the words at `ends`, or is the second and starts with one of those
+    at `starts` (of each: without a word between, and with one); place: where it starts. Equal keys have runs of equal
+    words and lengths.
+    """
+    n, u, base = len(words), np.uint64, 0x9E3779B97F4A7C15
+    up = np.multiply.accumulate(np.concatenate([[u(1)], np.full(n, u(base))]))
+    down = np.multiply.accumulate(np.concatenate([[u(1)], np.full(n, u(pow(base, -1, 1 << 64)))]))
+    sums = np.concatenate([[u(0)], np.cumsum(words * up[:n], dtype=np.uint64)])
+    run = lambda lo, size: mix((sums[lo + size] - sums[lo]) * down[lo] + size.astype(np.uint64))
+    longer, keys, places = np.arange((total + 1) // 2, total - WIDTH + 1), [], []
+    for gap in (0, 1):
+        for kind, side in ((1, ends[gap]), (2, starts[gap])):
+            size = np.broadcast_to(longer, (len(side), len(longer)))
+            s = side[:, None] - (size if kind == 1 else 0 * size)
+            other = side[:, None] + gap if kind == 1 else side[:, None] - gap - total + size
+            other = np.broadcast_to(other, size.shape)
+            fits = (s >= 0) & (s + size <= n) & (other >= 0) & (other + total - size <= n)
+            s, other, size = s[fits], other[fits], size[fits]
+            keys.append(mix(run(s, size) + u(kind)) + run(other, total - size))
+            places.append(s)
+    return mix(np.concatenate(keys)), np.concatenate(places)
+
+
+@frugal
+def _parted(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (doc, text last): a document's text, then places 4 * at + side (2: a run starts there, 0: it ends) + words between; (key, doc, at) of parted_keys."""
+    now, words, places, out, n = None, None, [], [], 0
+
+    def keys() -> None:
+        nonlocal n
+        if places and words is not None:
+            at = np.unique(np.concatenate(places))
+            ends, after, starts, before = (at[at % 4 == k] // 4 for k in range(4))
+            key, at = parted_keys(words, (ends, after), (starts, before), total)
+            first = np.sort(np.unique(key, return_index=True)[1])
+            out.append((key[first].view(np.int64), np.full(len(first), now, np.int64), at[first]))
+            n += len(first)
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["key", "doc", "at"])
+
+    for b in batches:
+        doc, at = b.column(0).to_numpy(), b.column(2).fill_null(-1).to_numpy()
+        asks = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+        for row, counts, found in hashed_words(b.column(1), SPACED):
+            ends, to = np.cumsum(counts), row + len(counts)
+            starts = np.flatnonzero(np.concatenate([[True], doc[row + 1 : to] != doc[row : to - 1]])) + row
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), to]):
+                if doc[s] != now:
+                    keys()
+                    if n >= BLOCK:
+                        yield batch()
+                        out, n = [], 0
+                    now, words, places = doc[s], None if asks[s] else found[ends[s - row] - counts[s - row] : ends[s - row]].copy(), []
+                if (own := asks[s:e]).any():
+                    places.append(at[s:e][own])
+    keys()
+    if out:
+        yield batch()
+
+
 @frugal
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (doc, text last): a document's text, then what is asked of it; answers with tokens as 32-bit numbers."""
@@ -417,13 +497,13 @@ def _whole_pairs(rows: DataFrame, held: DataFrame, core: int, min_words: int) ->
     hi = at + F.least(after - (core - 1), F.lit(RUN - WIDTH + slack))  # a passage starts so far behind its anchor's run at most
     asked = anchors.select("doc", F.lit(None).cast("string").alias("text"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).distinct()
     texts = rows.select("doc", "text", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
-    keys = texts.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text").mapInArrow(partial(_wholes, core, slack + 1), "key long, doc long, at long")
+    keys = texts.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text").mapInArrow(partial(_wholes, core, slack + 1, False), "key long, doc long, at long")
     met = keys.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_meet_whole, "doc long, at long, rep long, rep_at long")
     return met.select("doc", "rep", (F.col("at") - F.col("rep_at")).alias("shift"), F.floor(F.col("at") / STRETCH).alias("stretch"), (F.col("at") - slack).alias("start"), (F.col("at") + min_words).alias("end"))
 
 
-def _pairs(rows: DataFrame, least: int, core: int, min_words: int, enough: int) -> DataFrame:
-    """(doc, rep, shift, start, end, link): stretches of tokens on which enough hash functions, or core words in a row, let two documents meet, doc over rep."""
+def _pairs(rows: DataFrame, least: int, core: int, min_words: int, enough: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, rep, shift, start, end, link): stretches of tokens on which enough hash functions, or core words in a row, let two documents meet, doc over rep; and what was held."""
     held = cut(rows.mapInArrow(partial(_windows, least), ROWS).repartition("key").sortWithinPartitions("key", "linked", "doc", "packed").mapInArrow(_meet, MET), small=True)
     release(rows.sparkSession)  # the windows' shuffle is the largest here, and done with
     whole, slack = _whole_pairs(rows, held, core, min_words), min_words - core
@@ -445,7 +525,62 @@ def _pairs(rows: DataFrame, least: int, core: int, min_words: int, enough: int)
         .where((F.bit_count("functions") >= enough) & (F.col("end") - F.col("start") >= core + 2 * slack))
         .select("doc", "rep", "shift", "start", (F.col("end") - (WIDTH - 1)).alias("end"), F.xxhash64("doc", "rep", "shift", "stretch").alias("link")),
         small=True,
-    )
+    ), held
+
+
+def _unlinked(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (doc, at, rep, rep_at, ...) of which neither place lies in a passage linked to the other document, nor both in passages linked to one place of a third."""
+    sides = (F.struct(F.col("doc_id").alias("doc"), F.col("other_id").alias("rep"), F.col("start_word").alias("first"), F.col("end_word").alias("last")), F.struct(F.col("other_id").alias("doc"), F.col("doc_id").alias("rep"), F.col("other_start").alias("first"), F.col("other_end").alias("last")))
+    spans = found.select(F.explode(F.array(*sides)).alias("x")).groupBy("x.doc", "x.rep").agg(F.collect_set(F.struct("x.first", "x.last")).alias("spans"))
+    inside = F.coalesce(F.exists("spans", lambda s: (F.col("at") >= s.first) & (F.col("at") < s.last)), F.lit(False))
+    rest = cut(pairs.join(spans, ["doc", "rep"], "left").where(~inside).drop("spans"), small=True)
+    places = rest.select(F.explode(F.array(F.struct("doc", "at"), F.struct(F.col("rep").alias("doc"), F.col("rep_at").alias("at")))).alias("x")).select("x.doc", "x.at").distinct()
+    down = found.select(F.col("doc_id").alias("doc"), "start_word", "end_word", F.col("other_id").alias("root"), "other_start")
+    roots = cut(places.join(down, "doc").where("at >= start_word and at < end_word").select("doc", "at", "root", (F.col("other_start") + F.col("at") - F.col("start_word")).alias("root_at")).distinct(), small=True)
+    other = roots.select(F.col("doc").alias("rep"), F.col("at").alias("rep_at"), "root", F.col("root_at").alias("other_at"))
+    linked = rest.select("doc", "at", "rep", "rep_at").distinct().join(roots, ["doc", "at"]).join(other, ["rep", "rep_at", "root"]).where(F.abs(F.col("root_at") - F.col("other_at")) < MIN_WORDS).select("doc", "at", "rep", "rep_at").distinct()
+    return rest.join(linked, ["doc", "at", "rep", "rep_at"], "left_anti")
+
+
+def _parted_pairs(rows: DataFrame, held: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """Pairs like those of _pairs, where the first holder of a signature isn't similar to another one: two of its holders may still be.
+
+    Around all places of such a signature, runs of half of `total` words are looked for that two documents hold; where they
+    end or start with different words beside them, keys are two runs of `total` words around a changed word, and their
+    holders link to the first. These are similar by that alone, so the first stands for all. What is linked there already
+    isn't given again.
+    """
+    at, before, after = F.shiftright("packed", 28), F.shiftright("packed", 12).bitwiseAND(F.lit(4095)), F.col("packed").bitwiseAND(F.lit(4095))
+    met = held.where("doc <> rep").select("key", "doc", at.alias("at"), "rep", F.shiftright("rep_packed", 28).alias("rep_at"))
+    open_keys = cut(_unlinked(met, found).select("key").distinct(), small=True)
+    places = held.join(open_keys, "key", "left_semi").select(F.explode(F.array(F.struct("doc", "packed"), F.struct(F.col("rep").alias("doc"), F.col("rep_packed").alias("packed")))).alias("x")).select("x.doc", "x.packed")
+    release(rows.sparkSession)
+    half, null = (total + 1) // 2, F.lit(None).cast("long")
+    lo, hi = at - F.least(before, F.lit(total + 1 - RUN)), at + F.least(after + 1, F.lit(total + 1)) - half
+    asked = cut(places.select("doc", F.lit(None).cast("string").alias("text"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where("lo <= hi").distinct(), small=True)
+    texts = rows.join(asked.select("doc").distinct(), "doc", "left_semi").select("doc", "text", null.alias("lo"), null.alias("hi"))
+    runs = texts.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text").mapInArrow(partial(_wholes, half, 1, True), "key long, doc long, at long, before long, after long, r0 long, r1 long, l0 long, l1 long")
+    # nothing is open in runs whose holders are all linked to one place, nor at a side on which all go on with one word
+    down = found.select(F.col("doc_id").alias("doc"), "start_word", "end_word", F.col("other_id").alias("root"), (F.col("other_start") - F.col("start_word")).alias("by"))
+    of_key = Window.partitionBy("key")
+    differ = lambda c: F.min(c).over(of_key) != F.max(c).over(of_key)
+    runs = runs.withColumns({"several": differ("doc"), "ends": differ("after"), "starts": differ("before")}).where("several and (ends or starts)").drop("several")
+    inside = F.col("at").between(F.col("start_word"), F.col("end_word") - half)
+    root = F.when(inside, F.struct("root", (F.col("at") + F.col("by")).alias("at")))
+    runs = runs.join(down, "doc", "left").groupBy(*runs.columns).agg(F.coalesce(F.min(root), F.struct(F.col("doc").alias("root"), F.col("at").alias("at"))).alias("root"))
+    # the run and what lies beyond a changed word must both be held by others, with another word beside the run
+    side = lambda at, k, run, there, word: F.when(F.col(there) & (F.col(run) != 0), F.struct(F.xxhash64("key", F.col(run), F.lit(k // 2)).alias("key"), (4 * at + k).alias("place"), F.col(word).alias("word")))
+    ends, starts = F.col("at") + half, F.col("at")
+    sides = F.array_compact(F.array(side(ends, 0, "r0", "ends", "after"), side(ends, 1, "r1", "ends", "after"), side(starts, 2, "l0", "starts", "before"), side(starts, 3, "l1", "starts", "before")))
+    shared = runs.select("doc", "root", F.explode(sides).alias("x")).select("doc", "root", "x.*").withColumn("open", differ("doc") & differ("root") & differ("word")).where("open")
+    shared = cut(shared.select("doc", F.lit(None).cast("string").alias("text"), F.col("place").alias("at")).distinct(), small=True)
+    release(rows.sparkSession)
+    texts = rows.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "text", null.alias("at"))
+    keys = texts.unionByName(shared).repartition("doc").sortWithinPartitions("doc", F.col("at").asc_nulls_first(), "text").mapInArrow(partial(_parted, total), "key long, doc long, at long")
+    pairs = keys.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_meet_whole, "doc long, at long, rep long, rep_at long")
+    pairs = _unlinked(pairs.distinct(), found)
+    pairs = pairs.withColumn("shift", F.col("at") - F.col("rep_at")).groupBy("doc", "rep", "shift", F.floor(F.col("at") / STRETCH).alias("stretch")).agg(F.min("at").alias("start"), F.max("at").alias("end"))
+    return cut(pairs.select("doc", "rep", "shift", (F.col("start") - total).alias("start"), (F.col("end") + total + 1).alias("end"), F.xxhash64("doc", "rep", "shift", "stretch", F.lit(1)).alias("link")), small=True)
 
 
 def links(docs: DataFrame, min_words: int = MIN_WORDS, jaccard: float = JACCARD, enough: int = ENOUGH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -464,8 +599,16 @@ def links(docs: DataFrame, min_words: int = MIN_WORDS, jaccard: float = JACCARD,
     if least < RUN:
         raise ValueError(f"min_words must be at least {RUN + WIDTH - 1}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    pairs = _pairs(rows, least, shared_tokens(least, jaccard) + WIDTH - 1, min_words, enough)
+    pairs, held = _pairs(rows, least, shared_tokens(least, jaccard) + WIDTH - 1, min_words, enough)
     release(docs.sparkSession)  # the shuffles of the texts and of whole passages are done with
+    found = cut(_verified(rows, pairs, least, jaccard), small=True)
+    release(docs.sparkSession)
+    rest = _parted_pairs(rows, held, found, parted_words(least, jaccard))
+    return found.unionByName(_verified(rows, rest, least, jaccard))
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, least: int, jaccard: float) -> DataFrame:
+    """SPANS of the pairs that are similar enough."""
     asked = pairs.select(F.explode(F.array(
         F.struct(F.col("doc"), "link", F.lit(0).alias("side"), "start", "end", "shift"),
         F.struct(F.col("rep").alias("doc"), "link", F.lit(1).alias("side"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"), "shift"),

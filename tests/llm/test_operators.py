@@ -448,6 +448,32 @@ def test_a_passage_is_found_behind_documents_that_hold_pieces_of_it(spark):
     assert {(r.doc_id, r.other_id, r.start_word, r.end_word) for r in got} == want
 
 
+def test_a_changed_passage_is_found_behind_documents_that_hold_pieces_of_it(spark):
+    texts, want = [], set()
+    for k in range(0, 60, 10):
+        one = prose(3100 + k, 50).split()
+        other = list(one)
+        at = 6 + 7 * (k // 10)
+        other[at : at + 1] = (["changed"], [], ["added", one[at]])[k // 10 % 3]
+        # each first holder has the words of one side, or 14 words in the middle of them
+        pieces = [one[:at], one[at + 1 :], one[1:15], one[9:23], one[18:32], one[27:41], one[36:]]
+        texts += [(k + j, " ".join([prose(3200 + k + j, 50), *part, prose(3400 + k + j, 50)])) for j, part in enumerate([*pieces, one, other])]
+        a, b = tokens(one), tokens(other)
+        assert len(a & b) >= 0.8 * len(a | b)
+        want.add((k + 8, k + 7))
+    assert {(r.doc_id, r.other_id) for r in passages.links(docs(spark, texts)).collect()} == want
+
+
+def test_keys_of_two_runs_are_those_of_their_words():
+    rng = np.random.default_rng(3)
+    one = rng.integers(1, 1 << 62, 50).astype(np.uint64)
+    for at in range(5, 45):
+        other = np.concatenate([rng.integers(1, 1 << 62, 7).astype(np.uint64), one[:at], [np.uint64(5)], one[at + 1 :]])
+        a, b = (passages.parted_keys(x, (np.arange(len(x)),) * 2, (np.arange(len(x)),) * 2, 49)[0] for x in (one, other))
+        assert len(set(a.tolist()) & set(b.tolist())) == 1
+    assert passages.parted_words(46, 0.8) == 49
+
+
 def tokens(words):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
 

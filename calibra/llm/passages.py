@@ -43,6 +43,8 @@ BLOCK, SEGMENT, OVERLAP = 400_000, 1 << 16, 1024
 STRETCH = 4096
 #: Links that one task follows for one document; of a document that represents more the text goes to several tasks.
 ASKED = 20_000
+#: Rounds in which runs and pairs of runs are looked for around signatures whose first holder isn't similar: each shuffles its share of the keys, and frees it before the next.
+ROUNDS = 2
 #: Bits of a row's key that tell texts of one id apart, and the ids that leave room for them.
 TEXT_BITS = 23
 MOST_ID = 1 << (62 - TEXT_BITS)
@@ -244,14 +246,16 @@ def least_of_each(x: np.ndarray, width: int) -> np.ndarray:
 
 
 @frugal
-def _wholes(core: int, slack: int, again: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wholes(core: int, slack: int, again: bool, turn: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (doc, text last): a document's text, then ranges of words; (key, doc, at) of runs of core words that start there.
 
-    Any slack neighbouring runs have one that is given; a run that the document holds again is given once, or each time if
-    again; then with the words before and after it, and the runs of WIDTH words that lie beside it or one word off, behind
-    it (r0, r1) and before it (l0, l1); 0 where there are none.
+    Any slack neighbouring runs have one that is given; of a turn, those that are due in that one of ROUNDS. A run that the
+    document holds again is given once, or each time if again; then with the words before and after it, with 32 bits each of the runs of WIDTH words that lie beside it and
+    one word off, behind it and ahead of it (0: there is none), and with a hash of its root. Ranges with a root are
+    passages that were linked (root, by: the other document, and how far its place is on); a run's root is the least place
+    that it is linked to, or its own.
     """
-    now, words, asked, out, n = None, None, [], [], 0
+    now, words, asked, linked, out, n = None, None, [], [], [], 0
 
     def keys() -> Iterator[pa.RecordBatch]:
         nonlocal out, n
@@ -264,35 +268,49 @@ def _wholes(core: int, slack: int, again: bool, batches: Iterator[pa.RecordBatch
                 np.add.at(edge, hi[hi > lo], -1)
             at = least_of_each(run, min(slack, len(run)))
             at = at[np.cumsum(edge)[at] > 0]
+            if turn is not None:
+                at = at[run[at] % np.uint64(ROUNDS) == turn]
             if not again:
                 at = at[np.sort(np.unique(run[at], return_index=True)[1])]
             rows = (run[at].view(np.int64), np.full(len(at), now, np.int64), at)
             if again:
                 side = lambda x, to: np.where((to >= 0) & (to < len(x)), x[np.clip(to, 0, len(x) - 1)], np.uint64(0)).view(np.int64)
-                near = run_hashes(words, WIDTH)
-                rows += (side(words, at - 1), side(words, at + core), side(near, at + core), side(near, at + core + 1), side(near, at - WIDTH), side(near, at - WIDTH - 1))
+                near = np.maximum(run_hashes(words, WIDTH) >> np.uint64(32), np.uint64(1))
+                both = lambda x, y: (side(near, x) << 32) | side(near, y)
+                rows += (side(words, at - 1), side(words, at + core), both(at + core, at + core + 1), both(at - WIDTH, at - WIDTH - 1), roots(len(run))[at])
             out.append(rows)
             n += len(at)
         if n >= BLOCK:
             yield batch()
             out, n = [], 0
 
+    def roots(size: int) -> np.ndarray:
+        doc, at = np.full(size, now, np.int64), np.arange(size)
+        for root, by, lo, hi in sorted(linked, reverse=True):  # the least comes last and stays
+            lo, hi = max(0, lo), max(0, hi - core + 1)
+            doc[lo:hi], at[lo:hi] = root, np.arange(lo, min(hi, size)) + by
+        return mix(mix(doc.view(np.uint64)) + at.view(np.uint64)).view(np.int64)
+
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["key", "doc", "at", "before", "after", "r0", "r1", "l0", "l1"][: 9 if again else 3])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["key", "doc", "at", "before", "after", "behind", "ahead", "root"][: 8 if again else 3])
 
     for b in batches:
         doc = b.column(0).to_numpy()
         lo, hi = (b.column(k).fill_null(-1).to_numpy() for k in (2, 3))
         asks = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+        root, by = (b.column(k).fill_null(0).to_numpy() for k in (4, 5)) if again else (None, None)
+        links = b.column(4).is_valid().to_numpy(zero_copy_only=False) if again else np.zeros(len(doc), bool)
         for row, counts, found in hashed_words(b.column(1), SPACED):
             ends, to = np.cumsum(counts), row + len(counts)
             starts = np.flatnonzero(np.concatenate([[True], doc[row + 1 : to] != doc[row : to - 1]])) + row
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), to]):
                 if doc[s] != now:
                     yield from keys()
-                    now, words, asked = doc[s], None if asks[s] else found[ends[s - row] - counts[s - row] : ends[s - row]].copy(), []
-                if (own := asks[s:e]).any():
+                    now, words, asked, linked = doc[s], None if asks[s] else found[ends[s - row] - counts[s - row] : ends[s - row]].copy(), [], []
+                if (own := asks[s:e] & ~links[s:e]).any():
                     asked.append((lo[s:e][own], hi[s:e][own]))
+                if (own := links[s:e]).any():
+                    linked += zip(*(x[s:e][own].tolist() for x in (root, by, lo, hi)))
     yield from keys()
     if out:
         yield batch()
@@ -323,19 +341,19 @@ def parted_words(least: int, jaccard: float) -> int:
     return n
 
 
-def parted_keys(words: np.ndarray, ends: tuple[np.ndarray, np.ndarray], starts: tuple[np.ndarray, np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
+def parted_keys(words: np.ndarray, ends: tuple[np.ndarray, np.ndarray], starts: tuple[np.ndarray, np.ndarray], total: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(key, place) of two runs of `total` words together that are one behind the other or have one word between them.
 
     The longer run is the first and ends before one of the words at `ends`, or is the second and starts with one of those
     at `starts` (of each: without a word between, and with one); place: where it starts. Equal keys have runs of equal
-    words and lengths.
+    words and lengths, so each of `turns` gives the keys of its own lengths.
     """
     n, u, base = len(words), np.uint64, 0x9E3779B97F4A7C15
     up = np.multiply.accumulate(np.concatenate([[u(1)], np.full(n, u(base))]))
     down = np.multiply.accumulate(np.concatenate([[u(1)], np.full(n, u(pow(base, -1, 1 << 64)))]))
     sums = np.concatenate([[u(0)], np.cumsum(words * up[:n], dtype=np.uint64)])
     run = lambda lo, size: mix((sums[lo + size] - sums[lo]) * down[lo] + size.astype(np.uint64))
-    longer, keys, places = np.arange((total + 1) // 2, total - WIDTH + 1), [], []
+    longer, keys, places = np.arange((total + 1) // 2, total - WIDTH + 1)[turn::turns], [], []
     for gap in (0, 1):
         for kind, side in ((1, ends[gap]), (2, starts[gap])):
             size = np.broadcast_to(longer, (len(side), len(longer)))
@@ -350,7 +368,7 @@ def parted_keys(words: np.ndarray, ends: tuple[np.ndarray, np.ndarray], starts:
 
 
 @frugal
-def _parted(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parted(total: int, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (doc, text last): a document's text, then places 4 * at + side (2: a run starts there, 0: it ends) + words between; (key, doc, at) of parted_keys."""
     now, words, places, out, n = None, None, [], [], 0
 
@@ -359,7 +377,7 @@ def _parted(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if places and words is not None:
             at = np.unique(np.concatenate(places))
             ends, after, starts, before = (at[at % 4 == k] // 4 for k in range(4))
-            key, at = parted_keys(words, (ends, after), (starts, before), total)
+            key, at = parted_keys(words, (ends, after), (starts, before), total, turn, ROUNDS)
             first = np.sort(np.unique(key, return_index=True)[1])
             out.append((key[first].view(np.int64), np.full(len(first), now, np.int64), at[first]))
             n += len(first)
@@ -497,7 +515,7 @@ def _whole_pairs(rows: DataFrame, held: DataFrame, core: int, min_words: int) ->
     hi = at + F.least(after - (core - 1), F.lit(RUN - WIDTH + slack))  # a passage starts so far behind its anchor's run at most
     asked = anchors.select("doc", F.lit(None).cast("string").alias("text"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).distinct()
     texts = rows.select("doc", "text", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
-    keys = texts.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text").mapInArrow(partial(_wholes, core, slack + 1, False), "key long, doc long, at long")
+    keys = texts.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text").mapInArrow(partial(_wholes, core, slack + 1, False, None), "key long, doc long, at long")
     met = keys.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_meet_whole, "doc long, at long, rep long, rep_at long")
     return met.select("doc", "rep", (F.col("at") - F.col("rep_at")).alias("shift"), F.floor(F.col("at") / STRETCH).alias("stretch"), (F.col("at") - slack).alias("start"), (F.col("at") + min_words).alias("end"))
 
@@ -542,6 +560,21 @@ def _unlinked(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return rest.join(linked, ["doc", "at", "rep", "rep_at"], "left_anti")
 
 
+def _open_sides(runs: DataFrame, half: int) -> DataFrame:
+    """(doc, text null, at) as _parted takes them: the sides of runs at which holders that aren't linked to one place go on with different words."""
+    # nothing is open in runs whose holders are all linked to one place, nor at a side on which all go on with one word
+    of_key = Window.partitionBy("key")
+    differ = lambda c: F.min(c).over(of_key) != F.max(c).over(of_key)
+    runs = runs.withColumns({"open": differ("doc") & differ("root"), "ends": differ("after"), "starts": differ("before")}).where("open and (ends or starts)").drop("open")
+    # the run and what lies beyond a changed word must both be held by others, with another word beside the run
+    side = lambda at, k, run, there, word: F.when(F.col(there) & (run != 0), F.struct(F.xxhash64("key", run, F.lit(k // 2)).alias("key"), (4 * at + k).alias("place"), F.col(word).alias("word")))
+    near, off = lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    ends, starts = F.col("at") + half, F.col("at")
+    sides = F.array_compact(F.array(side(ends, 0, near("behind"), "ends", "after"), side(ends, 1, off("behind"), "ends", "after"), side(starts, 2, near("ahead"), "starts", "before"), side(starts, 3, off("ahead"), "starts", "before")))
+    shared = runs.select("doc", "root", F.explode(sides).alias("x")).select("doc", "root", "x.*").withColumn("open", differ("doc") & differ("root") & differ("word")).where("open")
+    return shared.select("doc", F.lit(None).cast("string").alias("text"), F.col("place").alias("at")).distinct()
+
+
 def _parted_pairs(rows: DataFrame, held: DataFrame, found: DataFrame, total: int) -> DataFrame:
     """Pairs like those of _pairs, where the first holder of a signature isn't similar to another one: two of its holders may still be.
 
@@ -558,26 +591,22 @@ def _parted_pairs(rows: DataFrame, held: DataFrame, found: DataFrame, total: int
     half, null = (total + 1) // 2, F.lit(None).cast("long")
     lo, hi = at - F.least(before, F.lit(total + 1 - RUN)), at + F.least(after + 1, F.lit(total + 1)) - half
     asked = cut(places.select("doc", F.lit(None).cast("string").alias("text"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).where("lo <= hi").distinct(), small=True)
-    texts = rows.join(asked.select("doc").distinct(), "doc", "left_semi").select("doc", "text", null.alias("lo"), null.alias("hi"))
-    runs = texts.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text").mapInArrow(partial(_wholes, half, 1, True), "key long, doc long, at long, before long, after long, r0 long, r1 long, l0 long, l1 long")
-    # nothing is open in runs whose holders are all linked to one place, nor at a side on which all go on with one word
-    down = found.select(F.col("doc_id").alias("doc"), "start_word", "end_word", F.col("other_id").alias("root"), (F.col("other_start") - F.col("start_word")).alias("by"))
-    of_key = Window.partitionBy("key")
-    differ = lambda c: F.min(c).over(of_key) != F.max(c).over(of_key)
-    runs = runs.withColumns({"several": differ("doc"), "ends": differ("after"), "starts": differ("before")}).where("several and (ends or starts)").drop("several")
-    inside = F.col("at").between(F.col("start_word"), F.col("end_word") - half)
-    root = F.when(inside, F.struct("root", (F.col("at") + F.col("by")).alias("at")))
-    runs = runs.join(down, "doc", "left").groupBy(*runs.columns).agg(F.coalesce(F.min(root), F.struct(F.col("doc").alias("root"), F.col("at").alias("at"))).alias("root"))
-    # the run and what lies beyond a changed word must both be held by others, with another word beside the run
-    side = lambda at, k, run, there, word: F.when(F.col(there) & (F.col(run) != 0), F.struct(F.xxhash64("key", F.col(run), F.lit(k // 2)).alias("key"), (4 * at + k).alias("place"), F.col(word).alias("word")))
-    ends, starts = F.col("at") + half, F.col("at")
-    sides = F.array_compact(F.array(side(ends, 0, "r0", "ends", "after"), side(ends, 1, "r1", "ends", "after"), side(starts, 2, "l0", "starts", "before"), side(starts, 3, "l1", "starts", "before")))
-    shared = runs.select("doc", "root", F.explode(sides).alias("x")).select("doc", "root", "x.*").withColumn("open", differ("doc") & differ("root") & differ("word")).where("open")
-    shared = cut(shared.select("doc", F.lit(None).cast("string").alias("text"), F.col("place").alias("at")).distinct(), small=True)
-    release(rows.sparkSession)
+    texts = rows.join(asked.select("doc").distinct(), "doc", "left_semi").select("doc", "text", null.alias("lo"), null.alias("hi"), null.alias("root"), null.alias("by"))
+    asked = asked.select("*", null.alias("root"), null.alias("by"))
+    down = found.select(F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("text"), F.col("start_word").alias("lo"), F.col("end_word").alias("hi"), F.col("other_id").alias("root"), (F.col("other_start") - F.col("start_word")).alias("by"))
+    ranges, shared = texts.unionByName(asked).unionByName(down).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text"), None
+    for turn in range(ROUNDS):
+        runs = ranges.mapInArrow(partial(_wholes, half, 1, True, turn), "key long, doc long, at long, before long, after long, behind long, ahead long, root long")
+        one = cut(_open_sides(runs, half), small=True)
+        shared = one if shared is None else shared.unionByName(one)
+        release(rows.sparkSession)
     texts = rows.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "text", null.alias("at"))
-    keys = texts.unionByName(shared).repartition("doc").sortWithinPartitions("doc", F.col("at").asc_nulls_first(), "text").mapInArrow(partial(_parted, total), "key long, doc long, at long")
-    pairs = keys.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_meet_whole, "doc long, at long, rep long, rep_at long")
+    ranges, pairs = texts.unionByName(shared).repartition("doc").sortWithinPartitions("doc", F.col("at").asc_nulls_first(), "text"), None
+    for turn in range(ROUNDS):
+        keys = ranges.mapInArrow(partial(_parted, total, turn), "key long, doc long, at long")
+        one = cut(keys.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_meet_whole, "doc long, at long, rep long, rep_at long").distinct(), small=True)
+        pairs = one if pairs is None else pairs.unionByName(one)
+        release(rows.sparkSession)
     pairs = _unlinked(pairs.distinct(), found)
     pairs = pairs.withColumn("shift", F.col("at") - F.col("rep_at")).groupBy("doc", "rep", "shift", F.floor(F.col("at") / STRETCH).alias("stretch")).agg(F.min("at").alias("start"), F.max("at").alias("end"))
     return cut(pairs.select("doc", "rep", "shift", (F.col("start") - total).alias("start"), (F.col("end") + total + 1).alias("end"), F.xxhash64("doc", "rep", "shift", "stretch", F.lit(1)).alias("link")), small=True)

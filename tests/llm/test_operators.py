@@ -474,6 +474,21 @@ def test_keys_of_two_runs_are_those_of_their_words():
     assert passages.parted_words(46, 0.8) == 49
 
 
+def test_rounds_give_all_runs_once_with_what_they_are_linked_to():
+    texts, n = [prose(k, 200) for k in (1, 2)], passages.ROUNDS
+    asked = [(1, texts[0], None, None, None, None), (1, None, 0, 150, None, None), (2, texts[1], None, None, None, None), (2, None, 0, 150, None, None), (2, None, 10, 60, 1, -4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(zip(*asked))], names=list("abcdef"))
+    given = lambda turn: [x for b in passages._wholes(25, 1, True, turn, iter([batch])) for x in b.to_pylist()]
+    whole, turns = given(None), [given(k) for k in range(n)]
+    assert n > 1 and all(turns) and sorted((x["doc"], x["at"]) for t in turns for x in t) == sorted((x["doc"], x["at"]) for x in whole) == [(d, k) for d in (1, 2) for k in range(151)]
+    assert all(len({k for k, t in enumerate(turns) for x in t if x["key"] == y["key"]}) == 1 for y in whole[:20])
+    root = {(x["doc"], x["at"]): x["root"] for x in whole}
+    assert [k for k in range(151) if root[2, k] in {root[1, j] for j in range(151)}] == [*range(10, 36)] and root[2, 10] == root[1, 6]
+    words, sides = np.arange(1, 90).astype(np.uint64), (np.arange(89),) * 2
+    keys = [passages.parted_keys(words, sides, sides, 49, k, n)[0].tolist() for k in range(n)]
+    assert sorted(sum(keys, [])) == sorted(passages.parted_keys(words, sides, sides, 49)[0].tolist())
+
+
 def tokens(words):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
 

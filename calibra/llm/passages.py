@@ -39,12 +39,20 @@ RUN = 12
 SIDE = 4095
 #: Words whose windows are looked for at a time, and whose first holders represent the rest; a document longer than SEGMENT is cut into segments that overlap by OVERLAP.
 BLOCK, SEGMENT, OVERLAP = 400_000, 1 << 16, 1024
+#: Ranges of keys to a shuffle partition, of which a task holds one at a time, and rows of links that go to one of them together.
+PARTS, SLICE = 4, 1024
 #: Positions to a stretch: a pair's windows are joined by stretches, which bounds what is compared at a time.
 STRETCH = 4096
 #: Links that one task follows for one document; of a document that represents more the text goes to several tasks.
 ASKED = 20_000
-#: Rounds in which runs and pairs of runs are looked for around signatures whose first holder isn't similar: each shuffles its share of the keys, and frees it before the next.
+#: Rows of a run, or of a context of parted runs, that a task holds at a time; those of one that has more are dealt out and sorted by Spark.
+GROUP = 50_000
+#: Rounds in which keys of such contexts are sorted: each shuffles its share of them, and frees it before the next.
 ROUNDS = 2
+#: Places of equal tokens of two passages that are compared at a time.
+MATCHES = 20_000
+#: Documents that are looked up by a list of their ids, which goes to every task; texts of more are dealt out and joined.
+LISTED = 50_000
 #: Bits of a row's key that tell texts of one id apart, and the ids that leave room for them.
 TEXT_BITS = 23
 MOST_ID = 1 << (62 - TEXT_BITS)
@@ -63,8 +71,12 @@ def compact_windows(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     none = np.empty(0, np.int64)
     if len(x) < least:
         return none, none, none
+    gaps = np.flatnonzero(x == 0)
+    longest = int(np.diff(np.concatenate([[-1], gaps, [len(x)]])).max()) - 1
+    if longest < least:
+        return none, none, none
     table, size = [x], 1
-    while size * 2 <= len(x):
+    while size * 2 <= longest:  # no window is longer
         low = table[-1]
         table.append(np.minimum(low[:-size], low[size:]))
         size *= 2
@@ -73,7 +85,10 @@ def compact_windows(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     starts = np.flatnonzero((low > 0) & np.concatenate([[True], low[1:] != low[:-1]]))
     if not len(starts):
         return none, none, none
-    c = np.concatenate([s + x[s[:, None] + np.arange(least)].argmin(axis=1) for s in np.array_split(starts, len(starts) // 20_000 + 1)])
+    c, v = starts.copy(), low[starts]  # the first place of the minimum: what lies before it is greater
+    for k in range(j, -1, -1):
+        to = c + (1 << k)
+        c = np.where((to <= len(x)) & (table[k][np.minimum(c, len(table[k]) - 1)] > v), to, c)
     # where the minimum stays the same for longer than its place is in reach, an equal one takes over: the farthest in reach
     last, found = np.concatenate([starts[1:], [len(low)]]), [c]
     ends = np.flatnonzero((low == 0) & np.concatenate([[True], low[:-1] > 0]))
@@ -82,7 +97,8 @@ def compact_windows(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
         c, last = c[on], last[on]
         c = c + least - np.concatenate([x[s[:, None] + 1 + np.arange(least)[::-1]].argmin(axis=1) for s in np.array_split(c, len(c) // 20_000 + 1)])
         found.append(c)
-    c = np.unique(np.concatenate(found))
+    c = np.sort(np.concatenate(found))
+    c = c[np.concatenate([[True], c[1:] != c[:-1]])]
     v, left, right = x[c], c.copy(), c + 1
     for j in range(len(table) - 1, -1, -1):
         step, low = 1 << j, table[j]
@@ -119,8 +135,14 @@ def _repeated(h: np.ndarray, sizes: np.ndarray, min_words: int) -> np.ndarray:
     return (np.cumsum(edge)[:-1] == 0) & (np.cumsum(twice)[:-1] > 0)
 
 
-def _block_rows(ids: list[int], hashes: list[np.ndarray], places: list[int], least: int) -> list[np.ndarray]:
-    """Rows (key, doc, packed, rep, rep_packed, linked) of a block; packed: anchor << 28 | function << 24 | words before << 12 | words after."""
+def _block_rows(ids: list[int], hashes: list[np.ndarray], places: list[int], least: int, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(part, firsts, same, linked) of a block; packed: anchor << 28 | function << 24 | words before << 12 | words after.
+
+    Each is columns of 64-bit numbers, one behind the other, of rows sorted by key; parts are ranges of keys. firsts: (key,
+    doc, packed) of a key's first row, packed negated (~) if another document of the block has the key. same: (key, doc,
+    packed, rep_packed) of further rows of that document. linked: (key, doc, packed, rep, rep_packed) of the other ones,
+    which any part may have.
+    """
     order = sorted(range(len(ids)), key=lambda k: (ids[k], places[k]))
     found, n, some = [], 0, []
     for k in order:  # as many documents at a time as keep what is worked on small
@@ -132,11 +154,27 @@ def _block_rows(ids: list[int], hashes: list[np.ndarray], places: list[int], lea
     if some:
         found.append(_windows_of([ids[k] for k in some], [hashes[k] for k in some], [places[k] for k in some], least))
     key, doc, pack = (np.concatenate(z) for z in zip(*found))
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")  # within a key rows stay in order of document and place
     key, doc, pack = key[order], doc[order], pack[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-    rep = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.empty(0, np.int64)
-    return [key, doc, pack, doc[rep], pack[rep], ~new]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    rep = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    linked = doc != doc[rep]
+    several = np.logical_or.reduceat(linked, np.flatnonzero(new))
+    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    out = [[], [], []]
+    for cols, to in (((key[new], doc[new], np.where(several, ~pack[new], pack[new])), out[0]), ((*(x[~new & ~linked] for x in (key, doc, pack, pack[rep])),), out[1])):
+        edges = [0, *np.searchsorted(cols[0], bounds).tolist(), len(cols[0])]
+        to += [np.concatenate([x[lo:hi].view(np.int64) for x in cols]).tobytes() if hi > lo else b"" for lo, hi in zip(edges, edges[1:])]
+    out[2], cols, start = [[] for _ in range(parts)], [x[linked].view(np.int64) for x in (key, doc, pack, doc[rep], pack[rep])], int(key[0]) % parts
+    for k, lo in enumerate(range(0, len(cols[0]), SLICE)):
+        out[2][(start + k) % parts].append(np.concatenate([x[lo : lo + SLICE] for x in cols]).tobytes())
+    for part, (firsts, same, others) in enumerate(zip(*out)):
+        if firsts or same or others:
+            yield part, firsts, same, others[0] if others else b""
+        for x in others[1:]:
+            yield part, b"", b"", x
 
 
 def _windows_of(ids: list[int], hashes: list[np.ndarray], places: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,17 +200,17 @@ def _windows_of(ids: list[int], hashes: list[np.ndarray], places: list[int], lea
         docs.append(of_doc[d])
         before, after = np.minimum(a - l, SIDE), np.minimum(r + WIDTH - 1 - a, SIDE)
         packed.append(((a - off[d] + first[d]) << 28) | (f << 24) | (before << 12) | after)
-    return np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(packed)
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(packed)
 
 
-ROWS = "key long, doc long, packed long, rep long, rep_packed long, linked boolean"
+ROWS = "part int, firsts binary, same binary, linked binary"
 
 
 @frugal
-def _windows(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(least: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in _block_rows(ids, hashes, places, least)], names=["key", "doc", "packed", "rep", "rep_packed", "linked"])
+        if ids and (found := list(_block_rows(ids, hashes, places, least, parts))):
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.binary() if k else pa.int32()) for k, z in enumerate(zip(*found))], names=["part", "firsts", "same", "linked"])
 
     ids, hashes, places, n = [], [], [], 0
     for b in batches:
@@ -198,41 +236,62 @@ MET = "key long, doc long, packed long, rep long, rep_packed long"
 
 @frugal
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, linked, doc, packed); links of a block pass, and the blocks' first rows link to the key's first.
+    """Rows of _block_rows come sorted by part; links of a block pass, and the blocks' first rows link to the key's first.
 
-    Rows of the first document itself pass too (doc = rep) if another document has the key; until one is seen they wait.
+    Rows of the first document itself pass too (doc = rep) if another document has the key.
     """
-    last, last_doc, last_packed, shared, waiting = None, 0, 0, False, []
+    names = ["key", "doc", "packed", "rep", "rep_packed"]
+
+    def made(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(cols[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+
+    def met(firsts: list[np.ndarray], same: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, doc, pack = (np.concatenate(z) for z in zip(*firsts))
+        order = np.argsort(key)
+        twice = np.concatenate([[False], key[order[1:]] == key[order[:-1]], [False]])
+        at = order[twice[1:] | twice[:-1] | (pack[order] < 0)]  # all others stand alone
+        if not len(at):
+            return
+        key, doc, pack = key[at], doc[at], pack[at]
+        held, pack = pack < 0, np.where(pack < 0, ~pack, pack)
+        order = np.lexsort((pack, doc, key))
+        key, doc, pack, held = key[order], doc[order], pack[order], held[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        to, to_pack = doc[starts][group], pack[starts][group]
+        several = np.logical_or.reduceat(held | (doc != to), starts)
+        keep = several[group]
+        yield from made([x[keep] for x in (key, doc, pack, to, to_pack)])
+        if same and (keys := key[starts][several]).size:
+            key, doc, pack, to_pack = (np.concatenate(z) for z in zip(*same))
+            keep = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+            yield from made([x[keep] for x in (key, doc, pack, doc, to_pack)])
+
+    now, firsts, same = None, [], []
     for b in batches:
-        if not b.num_rows:
-            continue
-        key, doc, packed, rep, rep_packed = (b.column(k).to_numpy() for k in range(5))
-        linked = b.column(5).to_numpy(zero_copy_only=False)
-        goes_on = key[0] == last
-        new = np.concatenate([[not goes_on], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        to = np.where(at >= 0, doc[np.maximum(at, 0)], last_doc)
-        to_packed = np.where(at >= 0, packed[np.maximum(at, 0)], last_packed)
-        group = np.cumsum(new) - int(new[0])
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[doc != to]] = True
-        several[0] |= goes_on and shared
-        if several[0] and goes_on:
-            yield from waiting
-        if not goes_on or several[0] or group[-1]:
-            waiting = []
-        last, last_doc, last_packed, shared = key[-1], to[-1], to_packed[-1], several[-1]
-        to, to_packed = np.where(linked, rep, to), np.where(linked, rep_packed, to_packed)
-        made = lambda keep: pa.RecordBatch.from_arrays([pa.array(z[keep]) for z in (key, doc, packed, to, to_packed)], names=["key", "doc", "packed", "rep", "rep_packed"])  # noqa: B023, E731
-        yield made(several[group])
-        if not shared:
-            waiting.append(made(group == group[-1]))
+        for part, *blobs in zip(*(c.to_pylist() for c in b.columns)):
+            if part != now:
+                if firsts:
+                    yield from met(firsts, same)
+                now, firsts, same = part, [], []
+            for blob, n, to in zip(blobs, (3, 4, 5), (firsts, same, None)):
+                if blob:
+                    cols = list(np.frombuffer(blob, np.int64).reshape(n, -1))
+                    if to is None:
+                        yield from made(cols)
+                    else:
+                        to.append(cols)
+    if firsts:
+        yield from met(firsts, same)
 
 
 def least_of_each(x: np.ndarray, width: int) -> np.ndarray:
     """The places of which one stands for each run of width neighbours: the first of its least."""
     if len(x) < width:
         return np.empty(0, np.int64)
+    if width == 1:
+        return np.arange(len(x))
     low, size = x, 1
     while size * 2 <= width:
         low, size = np.minimum(low[: len(low) - size], low[size:]), size * 2
@@ -277,19 +336,19 @@ def _wholes(core: int, slack: int, again: bool, turn: int | None, batches: Itera
                 side = lambda x, to: np.where((to >= 0) & (to < len(x)), x[np.clip(to, 0, len(x) - 1)], np.uint64(0)).view(np.int64)
                 near = np.maximum(run_hashes(words, WIDTH) >> np.uint64(32), np.uint64(1))
                 both = lambda x, y: (side(near, x) << 32) | side(near, y)
-                rows += (side(words, at - 1), side(words, at + core), both(at + core, at + core + 1), both(at - WIDTH, at - WIDTH - 1), roots(len(run))[at])
+                rows += (side(words, at - 1), side(words, at + core), both(at + core, at + core + 1), both(at - WIDTH, at - WIDTH - 1), roots(len(run), at))
             out.append(rows)
             n += len(at)
         if n >= BLOCK:
             yield batch()
             out, n = [], 0
 
-    def roots(size: int) -> np.ndarray:
+    def roots(size: int, of: np.ndarray) -> np.ndarray:
         doc, at = np.full(size, now, np.int64), np.arange(size)
         for root, by, lo, hi in sorted(linked, reverse=True):  # the least comes last and stays
             lo, hi = max(0, lo), max(0, hi - core + 1)
             doc[lo:hi], at[lo:hi] = root, np.arange(lo, min(hi, size)) + by
-        return mix(mix(doc.view(np.uint64)) + at.view(np.uint64)).view(np.int64)
+        return mix(mix(doc[of].view(np.uint64)) + at[of].view(np.uint64)).view(np.int64)
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["key", "doc", "at", "before", "after", "behind", "ahead", "root"][: 8 if again else 3])
@@ -341,49 +400,65 @@ def parted_words(least: int, jaccard: float) -> int:
     return n
 
 
-def parted_keys(words: np.ndarray, ends: tuple[np.ndarray, np.ndarray], starts: tuple[np.ndarray, np.ndarray], total: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of two runs of `total` words together that are one behind the other or have one word between them.
+def parted_sides(words: np.ndarray, places: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, place, keys) of two runs of `total` words together that are one behind the other or have one word between them.
 
-    The longer run is the first and ends before one of the words at `ends`, or is the second and starts with one of those
-    at `starts` (of each: without a word between, and with one); place: where it starts. Equal keys have runs of equal
-    words and lengths, so each of `turns` gives the keys of its own lengths.
+    places: 4 * at + side (0: the longer run is the first and ends there, 2: it is the second and starts there) + words
+    between. keys: one for each length of the longer run, from half of `total` on; 0 where the words don't suffice. Equal
+    keys have runs of equal words and lengths. All keys of a place hold its context, so places of equal keys have equal
+    contexts.
     """
-    n, u, base = len(words), np.uint64, 0x9E3779B97F4A7C15
+    n, u, base, least = len(words), np.uint64, 0x9E3779B97F4A7C15, (total + 1) // 2
     up = np.multiply.accumulate(np.concatenate([[u(1)], np.full(n, u(base))]))
     down = np.multiply.accumulate(np.concatenate([[u(1)], np.full(n, u(pow(base, -1, 1 << 64)))]))
     sums = np.concatenate([[u(0)], np.cumsum(words * up[:n], dtype=np.uint64)])
-    run = lambda lo, size: mix((sums[lo + size] - sums[lo]) * down[lo] + size.astype(np.uint64))
-    longer, keys, places = np.arange((total + 1) // 2, total - WIDTH + 1)[turn::turns], [], []
-    for gap in (0, 1):
-        for kind, side in ((1, ends[gap]), (2, starts[gap])):
-            size = np.broadcast_to(longer, (len(side), len(longer)))
-            s = side[:, None] - (size if kind == 1 else 0 * size)
-            other = side[:, None] + gap if kind == 1 else side[:, None] - gap - total + size
-            other = np.broadcast_to(other, size.shape)
-            fits = (s >= 0) & (s + size <= n) & (other >= 0) & (other + total - size <= n)
-            s, other, size = s[fits], other[fits], size[fits]
-            keys.append(mix(run(s, size) + u(kind)) + run(other, total - size))
-            places.append(s)
-    return mix(np.concatenate(keys)), np.concatenate(places)
+    run = lambda lo, size: mix((sums[lo + size] - sums[lo]) * down[lo] + np.asarray(size).astype(np.uint64))
+    at, first, gap = places // 4, places % 4 < 2, places % 2
+    inside = np.where(first, (at >= least) & (at + gap + WIDTH <= n), (at + least <= n) & (at - gap >= WIDTH))
+    places, at, first, gap = (x[inside] for x in (places, at, first, gap))
+    kind, longer = np.where(first, u(1), u(2)), np.arange(least, total - WIDTH + 1)
+    context = mix(mix(run(at - least * first, least) + kind) + run(np.where(first, at + gap, at - gap - WIDTH), WIDTH))
+    size, kind, at, first, gap = longer[None, :], kind[:, None], at[:, None], first[:, None], gap[:, None]
+    lo, other = at - size * first, np.where(first, at + gap, at - gap - total + size)
+    fits = (lo >= 0) & (lo + size <= n) & (other >= 0) & (other + total - size <= n)
+    size = np.broadcast_to(size, fits.shape)
+    keys = np.zeros(fits.shape, np.uint64)
+    keys[fits] = np.maximum(mix(mix(run(lo[fits], size[fits]) + np.broadcast_to(kind, fits.shape)[fits]) + run(other[fits], total - size[fits])), u(1))
+    return context, places, keys
+
+
+def parted_keys(words: np.ndarray, ends: tuple[np.ndarray, np.ndarray], starts: tuple[np.ndarray, np.ndarray], total: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of parted_sides, one behind the other; place: where the longer run starts. Each of `turns` gives the keys of its own lengths.
+
+    ends, starts: the words before which the longer run ends and with which it starts (of each: without a word between, and with one).
+    """
+    _, places, keys = parted_sides(words, np.concatenate([4 * np.asarray(x) + k for k, x in enumerate((*ends, *starts))]), total)
+    row, k = np.nonzero(keys)
+    row, k = row[k % turns == turn], k[k % turns == turn]
+    return keys[row, k], _longer_starts(places[row], k, total)
+
+
+def _longer_starts(places: np.ndarray, k: np.ndarray, total: int) -> np.ndarray:
+    """Where the longer run of a place's key number k starts."""
+    return places // 4 - np.where(places % 4 < 2, (total + 1) // 2 + k, 0)
 
 
 @frugal
-def _parted(total: int, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (doc, text last): a document's text, then places 4 * at + side (2: a run starts there, 0: it ends) + words between; (key, doc, at) of parted_keys."""
+def _parted(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (doc, text last): a document's text, then places as parted_sides takes them; what that gives of each, the keys as bytes."""
     now, words, places, out, n = None, None, [], [], 0
 
-    def keys() -> None:
+    def sides() -> None:
         nonlocal n
         if places and words is not None:
-            at = np.unique(np.concatenate(places))
-            ends, after, starts, before = (at[at % 4 == k] // 4 for k in range(4))
-            key, at = parted_keys(words, (ends, after), (starts, before), total, turn, ROUNDS)
-            first = np.sort(np.unique(key, return_index=True)[1])
-            out.append((key[first].view(np.int64), np.full(len(first), now, np.int64), at[first]))
-            n += len(first)
+            context, at, keys = parted_sides(words, np.unique(np.concatenate(places)), total)
+            out.append((context.view(np.int64), np.full(len(at), now, np.int64), at, keys))
+            n += keys.size
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["key", "doc", "at"])
+        *rows, keys = (np.concatenate(z) for z in zip(*out))
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * keys.shape[1]), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))])
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), raw.cast(pa.binary())], names=["context", "doc", "place", "keys"])
 
     for b in batches:
         doc, at = b.column(0).to_numpy(), b.column(2).fill_null(-1).to_numpy()
@@ -393,18 +468,84 @@ def _parted(total: int, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterato
             starts = np.flatnonzero(np.concatenate([[True], doc[row + 1 : to] != doc[row : to - 1]])) + row
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), to]):
                 if doc[s] != now:
-                    keys()
+                    sides()
                     if n >= BLOCK:
                         yield batch()
                         out, n = [], 0
                     now, words, places = doc[s], None if asks[s] else found[ends[s - row] - counts[s - row] : ends[s - row]].copy(), []
                 if (own := asks[s:e]).any():
                     places.append(at[s:e][own])
-    keys()
+    sides()
     if out:
         yield batch()
 
 
+def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """(False, columns) of rows that come sorted by the first column, so that no group is parted; but a group of over GROUP rows comes in parts, (True, columns). Columns are numbers, or rows of numbers where they are bytes."""
+    rest, parted = None, None  # the rows of the last group so far; the last group, if parts of it were given
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [_numbers(x) for x in b.columns]
+        if rest is not None:
+            cols = [np.concatenate(z) for z in zip(rest, cols)]
+        key, last = cols[0], cols[0][-1]
+        begins, goes_on = int(np.searchsorted(key, last)), 0
+        if parted is not None and parted != last:
+            if goes_on := int(np.searchsorted(key, parted, side="right")):
+                yield True, [x[:goes_on] for x in cols]
+            parted = None
+        if goes_on < begins:
+            yield False, [x[goes_on:begins] for x in cols]
+        rest = [x[begins:] for x in cols]
+        if parted is not None or len(rest[0]) > GROUP:
+            yield True, rest
+            rest, parted = [x[:0] for x in rest], last
+    if rest is not None and len(rest[0]):
+        yield False, rest
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy()
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64).reshape(len(column), -1)
+
+
+PLACES = "key long, doc long, at long, rep long, rep_at long"
+
+
+@frugal
+def _meet_parted(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _parted come sorted by (context, doc, place). Holders of a key in other documents link to its first: (doc, at, rep, rep_at), at the shortest and the longest run that two places share. Of contexts with very many places (key, doc, at) are given instead."""
+    for many, (context, doc, place, keys) in _in_groups(batches):
+        if not many:  # a context that stands once links nothing
+            same = np.concatenate([[False], context[1:] == context[:-1], [False]])
+            alone = ~(same[1:] | same[:-1])
+            doc, place, keys = doc[~alone], place[~alone], keys[~alone]
+        row, k = np.nonzero(keys)
+        order = np.argsort(keys[row, k], kind="stable")  # within a key rows stay in order
+        row, k = row[order], k[order]
+        key, of = keys[row, k], doc[row]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        again = ~new & np.concatenate([[False], of[1:] == of[:-1]])[: len(key)]  # of a document's places of a key the first counts
+        at = _longer_starts(place[row], k, total)
+        if many:
+            key, of, at = (x[~again] for x in (key.view(np.int64), of, at))
+            none = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(at), none, none], names=["key", "doc", "at", "rep", "rep_at"])
+            continue
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.empty(0, np.int64)
+        keep = np.flatnonzero(~again & (of != of[first]))
+        pair = row[keep] * len(doc) + row[first[keep]]
+        order = np.lexsort((k[keep], pair))
+        keep, pair = keep[order], pair[order]
+        edge = np.concatenate([[True], pair[1:] != pair[:-1], [True]])
+        keep = keep[(edge[1:] | edge[:-1])[: len(keep)]]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keep), pa.int64()), *(pa.array(x) for x in (of[keep], at[keep], of[first[keep]], at[first[keep]]))], names=["key", "doc", "at", "rep", "rep_at"])
+
+
 @frugal
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (doc, text last): a document's text, then what is asked of it; answers with tokens as 32-bit numbers."""
@@ -436,6 +577,42 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = 0) -> float:
     return len(x & y) / max(1, len(x | y) + max(0, least - len(a)) + max(0, least - len(b)))
 
 
+def common_blocks(a: np.ndarray, b: np.ndarray, least: int = 0) -> list[tuple[int, int, int]]:
+    """Longest common blocks (a, b, n) as difflib's SequenceMatcher gives them; none if fewer than `least` tokens of a stand in b."""
+    order = np.argsort(b, kind="stable")
+    lo, hi = (np.searchsorted(b, a, side, order) for side in ("left", "right"))
+    many = hi - lo
+    if np.count_nonzero(many) < least:
+        return []
+    if many.sum() > MATCHES:  # tokens that stand again and again
+        return [(x.a, x.b, x.size) for x in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks() if x.size]
+    i = np.repeat(np.arange(len(a)), many)
+    k = order[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(i))]
+    by = np.lexsort((i, i - k))
+    i, k = i[by], k[by]
+    edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (k[1:] != k[:-1] + 1), [True]]))
+    runs = list(zip(i[edge[:-1]].tolist(), k[edge[:-1]].tolist(), np.diff(edge).tolist())) if len(i) else []
+    found, todo = [], [(0, len(a), 0, len(b), runs)]
+    while todo:  # the longest in a rectangle, of equal ones the first in a, then in b; then what lies before and behind it
+        a0, a1, b0, b1, runs = todo.pop()
+        inside, best = [], (0, 0, 0)
+        for x, y, n in runs:
+            if (skip := max(a0 - x, b0 - y, 0)) < n and (n := min(n, a1 - x, b1 - y) - skip) > 0:
+                inside.append((x + skip, y + skip, n))
+                best = min(best, (-n, x + skip, y + skip))
+        if inside:
+            n, x, y = -best[0], *best[1:]
+            found.append((x, y, n))
+            todo += [(a0, x, b0, y, inside), (x + n, a1, y + n, b1, inside)]
+    out = []
+    for x, y, n in sorted(found):
+        if out and out[-1][0] + out[-1][2] == x and out[-1][1] + out[-1][2] == y:
+            out[-1] = (*out[-1][:2], out[-1][2] + n)
+        else:
+            out.append((x, y, n))
+    return out
+
+
 def _filled(start: int, end: int, least: int, size: int) -> tuple[int, int]:
     """A span of at least `least`, if size allows it: to the end first, then to the start."""
     end = min(size, max(end, start + least))
@@ -473,8 +650,8 @@ def verify(a: np.ndarray, a_at: int, b: np.ndarray, b_at: int, shift: int, least
         found = _merged(blocks, jaccard)
         whole = [(x, x + n, y, y + n) for x, y, n in blocks if n >= enough]
     if not any(a1 - a0 >= enough for a0, a1, _, _ in found) and sum(a1 - a0 for a0, a1, _, _ in found) >= least // 4:
-        blocks = SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks()
-        found = _merged([(x.a, x.b, x.size) for x in blocks if x.size], jaccard)
+        # a span of `enough` needs so many tokens in its blocks
+        found = _merged(common_blocks(a, b, shared_tokens(enough, jaccard)), jaccard)
     out = []
     for a0, a1, b0, b1 in found:
         if min(a1 - a0, b1 - b0) >= enough and (s := alike(a[a0:a1], b[b0:b1], least)) >= jaccard:
@@ -508,12 +685,11 @@ SPANS = "doc_id long, start_word long, end_word long, other_id long, other_start
 
 def _whole_pairs(rows: DataFrame, held: DataFrame, core: int, min_words: int) -> DataFrame:
     """(doc, rep, shift, stretch, start, end): the runs of core words around held anchors that a document shares with the first that has them."""
-    anchors = held.select(F.explode(F.array(F.struct("doc", "packed"), F.struct(F.col("rep").alias("doc"), F.col("rep_packed").alias("packed")))).alias("x")).select("x.doc", "x.packed")
     at, before, after = F.shiftright("packed", 28), F.shiftright("packed", 12).bitwiseAND(F.lit(4095)), F.col("packed").bitwiseAND(F.lit(4095))
     slack = min_words - core
     lo = at - F.least(before, F.lit(min_words - WIDTH))
     hi = at + F.least(after - (core - 1), F.lit(RUN - WIDTH + slack))  # a passage starts so far behind its anchor's run at most
-    asked = anchors.select("doc", F.lit(None).cast("string").alias("text"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).distinct()
+    asked = held.select("doc", F.lit(None).cast("string").alias("text"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))  # what others link to is held in rows of its own
     texts = rows.select("doc", "text", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
     keys = texts.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text").mapInArrow(partial(_wholes, core, slack + 1, False, None), "key long, doc long, at long")
     met = keys.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_meet_whole, "doc long, at long, rep long, rep_at long")
@@ -522,7 +698,9 @@ def _whole_pairs(rows: DataFrame, held: DataFrame, core: int, min_words: int) ->
 
 def _pairs(rows: DataFrame, least: int, core: int, min_words: int, enough: int) -> tuple[DataFrame, DataFrame]:
     """(doc, rep, shift, start, end, link): stretches of tokens on which enough hash functions, or core words in a row, let two documents meet, doc over rep; and what was held."""
-    held = cut(rows.mapInArrow(partial(_windows, least), ROWS).repartition("key").sortWithinPartitions("key", "linked", "doc", "packed").mapInArrow(_meet, MET), small=True)
+    dealt = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = rows.mapInArrow(partial(_windows, least, dealt * PARTS), ROWS)
+    held = cut(windows.repartitionById(dealt, F.pmod("part", F.lit(dealt)).cast("int")).sortWithinPartitions("part").mapInArrow(_meet, MET), small=True)
     release(rows.sparkSession)  # the windows' shuffle is the largest here, and done with
     whole, slack = _whole_pairs(rows, held, core, min_words), min_words - core
     met = held.where("doc <> rep")
@@ -560,6 +738,45 @@ def _unlinked(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return rest.join(linked, ["doc", "at", "rep", "rep_at"], "left_anti")
 
 
+RUNS = "key long, doc long, at long, before long, after long, behind long, ahead long, root long"
+
+
+@frugal
+def _open(half: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _open_sides gives, of RUNS sorted by key: (doc, at), the rest null. Runs that stand very often are given as they are."""
+
+    def differ(new: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+        """For each row, whether every column has two values in its group."""
+        starts, out = np.flatnonzero(new), True
+        for x in columns:
+            out = out & (np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts))
+        return out[np.cumsum(new) - 1]
+
+    for many, cols in _in_groups(batches):
+        if many:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=RUNS.replace(" long", "").split(", "))
+            continue
+        key, doc, at, before, after, behind, ahead, root = cols
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        ends, starts, group = differ(new, after), differ(new, before), np.cumsum(new)
+        open_ = differ(new, doc, root) & (ends | starts)
+        for side, fits, run, word in ((0, ends, behind, after), (2, starts, ahead, before)):
+            here, runs = np.flatnonzero(open_ & fits), []
+            if not len(here):
+                continue
+            runs = np.concatenate([run[here].view(np.uint64) >> np.uint64(32), run[here].view(np.uint64) & np.uint64(0xFFFFFFFF)])
+            place = 4 * (at[here] + (half if side == 0 else 0)) + side
+            here, place = np.concatenate([here, here])[runs != 0], np.concatenate([place, place + 1])[runs != 0]
+            by = (group[here].astype(np.uint64) << np.uint64(32)) | runs[runs != 0]
+            if not len(by):
+                continue
+            order = np.argsort(by)
+            by, here, place = by[order], here[order], place[order]
+            shared = differ(np.concatenate([[True], by[1:] != by[:-1]]), doc[here], root[here], word[here])
+            none = pa.nulls(int(shared.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(doc[here][shared]), pa.array(place[shared]), *[none] * 5], names=RUNS.replace(" long", "").split(", "))
+
+
 def _open_sides(runs: DataFrame, half: int) -> DataFrame:
     """(doc, text null, at) as _parted takes them: the sides of runs at which holders that aren't linked to one place go on with different words."""
     # nothing is open in runs whose holders are all linked to one place, nor at a side on which all go on with one word
@@ -586,7 +803,7 @@ def _parted_pairs(rows: DataFrame, held: DataFrame, found: DataFrame, total: int
     at, before, after = F.shiftright("packed", 28), F.shiftright("packed", 12).bitwiseAND(F.lit(4095)), F.col("packed").bitwiseAND(F.lit(4095))
     met = held.where("doc <> rep").select("key", "doc", at.alias("at"), "rep", F.shiftright("rep_packed", 28).alias("rep_at"))
     open_keys = cut(_unlinked(met, found).select("key").distinct(), small=True)
-    places = held.join(open_keys, "key", "left_semi").select(F.explode(F.array(F.struct("doc", "packed"), F.struct(F.col("rep").alias("doc"), F.col("rep_packed").alias("packed")))).alias("x")).select("x.doc", "x.packed")
+    places = held.join(open_keys, "key", "left_semi").select("doc", "packed")
     release(rows.sparkSession)
     half, null = (total + 1) // 2, F.lit(None).cast("long")
     lo, hi = at - F.least(before, F.lit(total + 1 - RUN)), at + F.least(after + 1, F.lit(total + 1)) - half
@@ -594,18 +811,23 @@ def _parted_pairs(rows: DataFrame, held: DataFrame, found: DataFrame, total: int
     texts = rows.join(asked.select("doc").distinct(), "doc", "left_semi").select("doc", "text", null.alias("lo"), null.alias("hi"), null.alias("root"), null.alias("by"))
     asked = asked.select("*", null.alias("root"), null.alias("by"))
     down = found.select(F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("text"), F.col("start_word").alias("lo"), F.col("end_word").alias("hi"), F.col("other_id").alias("root"), (F.col("other_start") - F.col("start_word")).alias("by"))
-    ranges, shared = texts.unionByName(asked).unionByName(down).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text"), None
-    for turn in range(ROUNDS):
-        runs = ranges.mapInArrow(partial(_wholes, half, 1, True, turn), "key long, doc long, at long, before long, after long, behind long, ahead long, root long")
-        one = cut(_open_sides(runs, half), small=True)
-        shared = one if shared is None else shared.unionByName(one)
-        release(rows.sparkSession)
+    ranges = texts.unionByName(asked).unionByName(down).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text")
+    runs = ranges.mapInArrow(partial(_wholes, half, 1, True, None), RUNS)
+    sides = cut(runs.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_open, half), RUNS), small=True)
+    release(rows.sparkSession)
+    shared = sides.where("key is null").select("doc", F.lit(None).cast("string").alias("text"), "at").distinct()
+    if not (often := sides.where("key is not null")).isEmpty():
+        shared = shared.unionByName(_open_sides(often, half)).distinct()
+    shared = cut(shared, small=True)
     texts = rows.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "text", null.alias("at"))
-    ranges, pairs = texts.unionByName(shared).repartition("doc").sortWithinPartitions("doc", F.col("at").asc_nulls_first(), "text"), None
-    for turn in range(ROUNDS):
-        keys = ranges.mapInArrow(partial(_parted, total, turn), "key long, doc long, at long")
-        one = cut(keys.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_meet_whole, "doc long, at long, rep long, rep_at long").distinct(), small=True)
-        pairs = one if pairs is None else pairs.unionByName(one)
+    ranges = texts.unionByName(shared).repartition("doc").sortWithinPartitions("doc", F.col("at").asc_nulls_first(), "text")
+    sides = ranges.mapInArrow(partial(_parted, total), "context long, doc long, place long, keys binary")
+    met = cut(sides.repartition("context").sortWithinPartitions("context", "doc", "place").mapInArrow(partial(_meet_parted, total), PLACES).distinct(), small=True)
+    release(rows.sparkSession)
+    pairs, often = met.where("key is null").drop("key"), met.where("key is not null").select("key", "doc", "at")
+    for turn in range(0 if often.isEmpty() else ROUNDS):
+        keys = often.where(F.pmod("key", F.lit(ROUNDS)) == turn)
+        pairs = pairs.unionByName(cut(keys.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_meet_whole, "doc long, at long, rep long, rep_at long").distinct(), small=True))
         release(rows.sparkSession)
     pairs = _unlinked(pairs.distinct(), found)
     pairs = pairs.withColumn("shift", F.col("at") - F.col("rep_at")).groupBy("doc", "rep", "shift", F.floor(F.col("at") / STRETCH).alias("stretch")).agg(F.min("at").alias("start"), F.max("at").alias("end"))
@@ -643,6 +865,9 @@ def _verified(rows: DataFrame, pairs: DataFrame, least: int, jaccard: float) ->
         F.struct(F.col("rep").alias("doc"), "link", F.lit(1).alias("side"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"), "shift"),
     )).alias("x")).select("x.doc", F.lit(None).cast("string").alias("text"), "x.link", "x.side", "x.start", "x.end", "x.shift")
     nothing = [F.lit(None).cast(k).alias(c) for c, k in (("link", "long"), ("side", "int"), ("start", "long"), ("end", "long"), ("shift", "long"))]
+    ids = cut(asked.select("doc").distinct(), small=True)
+    if ids.count() <= LISTED:
+        rows = rows.join(F.broadcast(ids), "doc", "left_semi")
     texts, asked = _dealt(rows.select("doc", "text", *nothing), asked)
     parts = texts.unionByName(asked).repartition("doc", "deal").sortWithinPartitions("doc", "deal", F.col("link").asc_nulls_first(), "text").drop("deal").mapInArrow(_slices, "link long, side int, doc long, start long, shift long, tokens binary")
     return parts.repartition("link").sortWithinPartitions("link", "side").mapInArrow(partial(_verify, least, jaccard), SPANS)

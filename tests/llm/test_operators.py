@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import combinations
 
@@ -489,6 +490,55 @@ def test_rounds_give_all_runs_once_with_what_they_are_linked_to():
     assert sorted(sum(keys, [])) == sorted(passages.parted_keys(words, sides, sides, 49)[0].tolist())
 
 
+def test_parted_runs_are_shuffled_by_place_and_windows_in_bulk():
+    # 20 keys of a place travel and meet together, and a block's windows as some parts
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5), pa.array([prose(1, 200), *[None] * 4]), pa.array([None, *(4 * 100 + k for k in range(4))], pa.int64())], names=list("abc"))
+    sides = [x for b in passages._parted(49, iter([batch])) for x in b.to_pylist()]
+    assert [x["place"] for x in sides] == [400, 401, 402, 403] and all(len(x["keys"]) == 8 * 20 for x in sides)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([prose(k, 300) for k in range(20)])], names=list("ab"))
+    assert 1 <= sum(b.num_rows for b in passages._windows(46, 4, iter([batch]))) <= 4
+
+
+def test_groups_too_large_for_a_task_give_what_smaller_ones_give(spark, monkeypatch):
+    one = prose(11, 120).split()
+    other, third = [*one[:60], "changed", *one[61:]], [*one[:60], *one[61:100], "end"]
+    texts = [prose(20, 30).split() + one, prose(21, 20).split() + other, one, prose(22, 40).split() + third, other + prose(23, 30).split()]
+    columns = lambda given: [pa.concat_arrays([b.column(k) for b in given]) for k in range(given[0].num_columns)]
+    batches = lambda given, order, names: iter([pa.RecordBatch.from_arrays(columns(given), names=names.replace(" long", "").split(", ")).sort_by([(x, "ascending") for x in order]).slice(k, 7) for k in range(0, sum(b.num_rows for b in given), 7)])
+    rows_ = [x for k, t in enumerate(texts) for x in ((k, " ".join(t), None, None, None, None), (k, None, 0, len(t), None, None))]
+    asked = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(zip(*rows_))], names=list("abcdef"))
+    runs = list(passages._wholes(25, 1, True, None, iter([asked])))
+    opened = lambda: [x for b in passages._open(25, batches(runs, ["key"], passages.RUNS)) for x in b.to_pylist()]
+    want = {(x["doc"], x["at"]) for x in opened()}
+    frame = spark.createDataFrame([tuple(x.values()) for b in runs for x in b.to_pylist()], passages.RUNS)
+    assert want == {(r.doc, r.at) for r in passages._open_sides(frame, 25).collect()} and len({d for d, _ in want}) == 5
+    places = [x for k, t in enumerate(texts) for x in [(k, " ".join(t), None), *((k, None, p) for d, p in sorted(want) if d == k)]]
+    sides = list(passages._parted(49, iter([pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(zip(*places))], names=list("abc"))])))
+    met = lambda: [b for b in passages._meet_parted(49, batches(sides, ["context", "doc", "place"], "context, doc, place, keys"))]
+    linked = {(x["doc"], x["rep"]) for b in met() for x in b.to_pylist()}
+    keys = {}  # by hand: the first holder of each key
+    for b in sides:
+        for x in b.to_pylist():
+            for key in np.frombuffer(x["keys"], np.uint64).tolist():
+                keys.setdefault(key, set()).add(x["doc"])
+    assert linked == {(d, min(docs_)) for key, docs_ in keys.items() if key for d in docs_ if d > min(docs_)} and linked
+    monkeypatch.setattr(passages, "GROUP", 2)
+    given = opened()
+    often = spark.createDataFrame([tuple(x.values()) for x in given if x["key"] is not None], passages.RUNS)
+    assert often.count() and {(x["doc"], x["at"]) for x in given if x["key"] is None} | {(r.doc, r.at) for r in passages._open_sides(often, 25).collect()} == want
+    given = [x for b in met() for x in b.to_pylist()]
+    held = sorted((x["key"], x["doc"], x["at"]) for x in given if x["key"] is not None)
+    again = passages._meet_whole(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names=["key", "doc", "at"])]))
+    assert held and {(x["doc"], x["rep"]) for x in given if x["key"] is None} | {(x["doc"], x["rep"]) for b in again for x in b.to_pylist()} == linked
+
+
+@given(st.lists(st.integers(0, 9), max_size=60), st.lists(st.integers(0, 9), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_common_blocks_are_those_of_difflib(a, b):
+    want = [(x.a, x.b, x.size) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
+    assert passages.common_blocks(np.array(a, "<u4"), np.array(b, "<u4")) == want
+
+
 def tokens(words):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
 

@@ -47,7 +47,7 @@ STRETCH = 4096
 ASKED = 20_000
 #: Rows of a run, or of a context of parted runs, that a task holds at a time; those of one that has more are dealt out and sorted by Spark.
 GROUP = 50_000
-#: Rounds in which keys of such contexts are sorted: each shuffles its share of them, and frees it before the next.
+#: Rounds in which runs, and keys of such contexts, are sorted: each shuffles its share of them, and frees it before the next.
 ROUNDS = 2
 #: Places of equal tokens of two passages that are compared at a time.
 MATCHES = 20_000
@@ -812,9 +812,12 @@ def _parted_pairs(rows: DataFrame, held: DataFrame, found: DataFrame, total: int
     asked = asked.select("*", null.alias("root"), null.alias("by"))
     down = found.select(F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("text"), F.col("start_word").alias("lo"), F.col("end_word").alias("hi"), F.col("other_id").alias("root"), (F.col("other_start") - F.col("start_word")).alias("by"))
     ranges = texts.unionByName(asked).unionByName(down).repartition("doc").sortWithinPartitions("doc", F.col("lo").asc_nulls_first(), "text")
-    runs = ranges.mapInArrow(partial(_wholes, half, 1, True, None), RUNS)
-    sides = cut(runs.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_open, half), RUNS), small=True)
-    release(rows.sparkSession)
+    sides = None
+    for turn in range(ROUNDS):
+        runs = ranges.mapInArrow(partial(_wholes, half, 1, True, turn), RUNS)
+        one = cut(runs.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_open, half), RUNS), small=True)
+        sides = one if sides is None else sides.unionByName(one)
+        release(rows.sparkSession)
     shared = sides.where("key is null").select("doc", F.lit(None).cast("string").alias("text"), "at").distinct()
     if not (often := sides.where("key is not null")).isEmpty():
         shared = shared.unionByName(_open_sides(often, half)).distinct()

@@ -3,7 +3,8 @@
 A text is cut into words that no piece spans. Words are counted over the whole corpus; for the dictionary's words the
 substrings up to the longest piece are exploded and equi-joined to the piece table, which gives the lattice's edges;
 edges are grouped by word, and a higher-order aggregate folds each word's lattice into its pieces. The dictionary has a
-documented bound and is broadcast; a word beyond it is folded over the same lattice where it occurs.
+documented bound and is broadcast; a word beyond it is folded by the same merges or the same Viterbi where it occurs,
+many words of a BPE model at a time (see merges.py).
 
 The fold depends on the model's kind. Of a unigram model it is Viterbi: the path with the greatest sum of scores. A BPE
 model's scores order merges and mean nothing in a sum, so there the fold joins two neighbouring edges into the edge of
@@ -19,6 +20,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -28,11 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.llm.common import CASED, Recent, cut, frugal, kept, mix
+from calibra.llm.merges import Merges
 from calibra.llm.wordtable import Chunk, WordTable, by_text, chunks
 
 SPACE = "▁"
 #: Words of the broadcast dictionary, and the longest of them; also the words kept by a worker in each of two generations.
 DICTIONARY_WORDS, DICTIONARY_LENGTH, KEPT_WORDS = 200_000, 48, 200_000
+#: So many words are faster folded together than one by one.
+TOGETHER = 128
 PART = re.compile(f"{SPACE}+[^{SPACE}]*")
 PLAIN = re.compile(rf"({SPACE}[^\W\d_]+)([^\w{SPACE}\n]*)")
 LINE_PART = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
@@ -182,14 +187,15 @@ def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """(word, n): words and their occurrences, added up over as many texts as have KEPT_WORDS different keys."""
     model = load(path)
     names: list[bytes] = []
-    table = WordTable(lambda raw: (names.append(raw) or b"", True))
+    table = WordTable(lambda raws: names.extend(raws) or [(b"", True)] * len(raws), together=True)
     seen, odd = np.zeros(0, np.int64), Counter()
 
     def flush() -> pa.RecordBatch:
-        words: Counter[str] = Counter()
-        for key, n in [*zip((x.decode("utf-8", "surrogatepass") for x in names), seen.tolist()), *odd.items()]:
-            for w in model.cut(model.part(key)):
-                words[w] += n
+        words: dict[str, int] = {}
+        part, cut, get = model.part, model.cut, words.get
+        for key, n in chain(zip((x.decode("utf-8", "surrogatepass") for x in names), seen.tolist()), odd.items()):
+            for w in cut(part(key)):
+                words[w] = get(w, 0) + n
         names.clear()
         odd.clear()
         table.empty()
@@ -312,21 +318,37 @@ class Encoder:
     """The ids of texts, from a table of the keys (see Pieces.keys) that this worker has met."""
 
     def __init__(self, model: Pieces, words: dict[str, bytes]):
-        self.model, self.words, self.table = model, words, WordTable(self._key)
+        self.model, self.words, self.table = model, words, WordTable(self._keys, together=True)
         self.folded = Recent(lambda word: array("I", model.fold(word)).tobytes(), KEPT_WORDS)
-
-    def _ids(self, part: str) -> bytes:
-        return b"".join([self.words.get(w) or self.folded[w] for w in self.model.cut(part)])
-
-    def _key(self, raw: bytes) -> tuple[bytes, bool]:
-        """The ids of a key's part, and whether they decode to it."""
-        part = self.model.part(raw.decode("utf-8", "surrogatepass"))
-        ids = self._ids(part)
-        return ids, b"".join(map(self.model.raw.__getitem__, array("I", ids))) == part.encode("utf-8", "surrogatepass")
+        self.merges = None if model.unigram else Merges(model.ids, model.scores)
+        self.sizes = np.array(list(map(len, model.raw)), np.int64)
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part. Many words beyond the dictionary are folded together, few of them one by one."""
+        cuts, get = list(map(self.model.cut, parts)), self.words.get
+        found = {w: get(w) for c in cuts for w in c}
+        rare = [w for w, ids in found.items() if ids is None]
+        if self.merges and len(rare) >= TOGETHER:
+            found.update(zip(rare, self.merges.fold(rare)))
+            rare = [w for w in rare if found[w] is None]
+        for w in rare:
+            found[w] = self.folded[w]
+        return [found[c[0]] if len(c) == 1 else b"".join([found[w] for w in c]) for c in cuts]
+
+    def _keys(self, raws: list[bytes]) -> list[tuple[bytes, bool]]:
+        """The ids of each key's part, and whether they decode to it; all are compared at once, and one by one if any differs."""
+        parts = [self.model.part(raw.decode("utf-8", "surrogatepass")) for raw in raws]
+        out, name = self._ids(parts), self.model.raw.__getitem__
+        want, ids = [part.encode("utf-8", "surrogatepass") for part in parts], np.frombuffer(b"".join(out), "<u4")
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.cumsum(np.fromiter(map(len, out), np.int64, len(out))) // 4]
+        if np.array_equal(ends, np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))) and b"".join(map(name, ids.tolist())) == b"".join(want):
+            return [(x, True) for x in out]
+        return [(x, b"".join(map(name, memoryview(x).cast("I"))) == y) for x, y in zip(out, want)]
 
     def text(self, text: str) -> tuple[bytes, bool]:
         """The same of a text by itself."""
-        ids = b"".join(map(self._ids, map(self.model.part, self.model.keys(text))))
+        parts = list(map(self.model.part, self.model.keys(text)))
+        ids = b"".join([x for k in range(0, len(parts), KEPT_WORDS) for x in self._ids(parts[k : k + KEPT_WORDS])])
         return ids, self.model.decode(array("I", ids)) == text.replace(SPACE, " ")
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

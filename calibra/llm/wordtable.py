@@ -73,13 +73,13 @@ def text_hashes(text: str | None, numbers: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Numbers of words. make(word) gives those of a new one as (little-endian 32-bit numbers, flag).
+    """Numbers of words. make(word) gives those of a new one as (little-endian 32-bit numbers, flag); with together, make(words) a list of these for a chunk's new ones.
 
     Open addressing over 2^bits slots. A table that is half full is emptied before the next chunk, so its size is bounded.
     """
 
-    def __init__(self, make: Callable[[bytes], tuple[bytes, bool]], bits: int = 20):
-        self.make, self.bits = make, bits
+    def __init__(self, make: Callable, bits: int = 20, together: bool = False):
+        self.make, self.bits = make if together else lambda words: list(map(make, words)), bits
         self.empty()
 
     def empty(self) -> None:
@@ -100,8 +100,9 @@ class WordTable:
         return found, slot
 
     def _add(self, c: Chunk, h: np.ndarray, tags: np.ndarray, where: np.ndarray) -> None:
-        made = [self.make(c.data[s:e].tobytes()) for s, e in zip(c.start[where].tolist(), c.end[where].tolist())]
-        raw = np.frombuffer(b"".join(x for x, _ in made), "<u4")
+        data = c.data.tobytes()
+        made = self.make([data[s:e] for s, e in zip(c.start[where].tolist(), c.end[where].tolist())])
+        raw = np.frombuffer(b"".join([x for x, _ in made]), "<u4")
         sizes = np.array([len(x) // 4 for x, _ in made], np.int32)
         n, to = self.words, self.words + len(made)
         while to > len(self.first):

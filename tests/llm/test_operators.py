@@ -6,7 +6,7 @@ import zlib
 from array import array
 from difflib import SequenceMatcher
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +16,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from calibra.llm import chat, decontam, graph, langid, licenses, passages, pieces, quality, simhash, tokenfiles, urls
+from calibra.llm import chat, decontam, graph, langid, licenses, merges, passages, pieces, quality, simhash, tokenfiles, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -167,6 +167,35 @@ def test_pieces_are_the_librarys(text):
     assert model.decode(ids) == text.replace("▁", " ")
 
 
+@given(st.lists(st.text(alphabet="abt he▁n.'é日😀th", min_size=1, max_size=34), max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_words_folded_together_are_folded_as_each_alone(words):
+    model, merged = pieces.load(MODEL), piece_encoder().merges.fold(words)
+    for w, ids in zip(words, merged):
+        alone = len(w) > merges.LONGEST or any(x not in model.ids for x in model._merge(w))
+        assert ids == (None if alone else array("I", model.fold(w)).tobytes())
+
+
+def test_merges_of_equal_scores_start_at_the_left():
+    scores = {"a": 0.0, "b": 0.0, "ab": -1.0, "ba": -1.0, "aa": -1.0, "aba": -2.0, "bab": -2.0}
+    model = pieces.Pieces(False, {p: k + 1 for k, p in enumerate(scores)}, scores, [b"", *(p.encode() for p in scores)], [], 0, frozenset(), 3)
+    words = ["".join(w) for n in range(1, 8) for w in product("ab", repeat=n)]
+    assert merges.Merges(model.ids, scores).fold(words) == [array("I", model.fold(w)).tobytes() for w in words]
+
+
+def test_rare_words_of_a_text_are_not_folded_one_by_one(monkeypatch):
+    import sentencepiece
+
+    alone, merge = [], pieces.Pieces._merge
+    monkeypatch.setattr(pieces.Pieces, "_merge", lambda model, word: alone.append(word) or merge(model, word))
+    rng = np.random.default_rng(11)
+    text = " ".join("".join(rng.choice(list("etaonrish"), 9)) for _ in range(2000)) + " 😀é" + " x" * 40 + " " + "y" * 40
+    encoder = pieces.Encoder(pieces.load(MODEL), {})
+    want = sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+    assert ids_of(encoder, [text, "  " + text])[0] == want
+    assert all(len(w) > merges.LONGEST or "😀" in w for w in alone)
+
+
 def test_lattice_fold_is_the_workers(spark):
     model = pieces.load(MODEL)
     words = ["▁the", "▁thereafter", "▁日本é", "▁▁▁", "xyzzy", "a", "▁" + "ab" * 20]
